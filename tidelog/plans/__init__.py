@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from tidelog.plans import filtering  # noqa: F401
+from tidelog.plans import allocating, filtering, placing, sizing  # noqa: F401
 from tidelog.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
