@@ -199,5 +199,12 @@ def circuit_breaker(calls: DataFrame, rule: Breaker = Breaker(), key: str = "key
     )
 
 
+def gated_outcome(done: DataFrame) -> DataFrame:
+    """``status`` and ``acked`` of processing behind a breaker. A rejected record is reported
+    as REJECTED; a broken rule is an error that is acknowledged all the same."""
+    status = F.when(~F.col("admitted"), "REJECTED").when(F.col("ok"), "SUCCESS").otherwise("ERROR")
+    return done.withColumn("status", status).withColumn("acked", F.lit(True))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -27,6 +27,13 @@ def rate_limit(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE) -> DataF
     return ranked.withColumn("limited", F.col("__rank") >= limit).drop("__rank", "__minute")
 
 
+def limited_counts(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE) -> DataFrame:
+    """How many failures of each topic the limit held back: counting needs no order."""
+    minutes = failures.groupBy("topic", F.date_trunc("minute", "failed_at").alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return minutes.filter(F.col("n") > limit).groupBy("topic").agg(F.sum(F.col("n") - limit).alias("limited"))
+
+
 def service_breaker(failures: DataFrame, threshold: int = BREAKER_FAILURES) -> DataFrame:
     """Failures with a service, with its running count and breaker state. Only failures are
     reported to this breaker, so once open it stays open; it opens once."""

@@ -107,7 +107,7 @@ def part_priority(t: Tables):
 
 
 @query("part_time", "logs", f"""SELECT topic, {_ID},
-  CAST((epoch_ms(ts) // 60000) % {N} AS INTEGER) AS target_partition FROM logs""")
+  CAST(((epoch_us(ts) // 1000) // 60000) % {N} AS INTEGER) AS target_partition FROM logs""")
 def part_time(t: Tables):
     return parts.part_time(t.all_logs(), N).select("topic", *_COLUMNS)
 

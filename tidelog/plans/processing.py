@@ -129,7 +129,7 @@ def outcome(t: Tables):
 @query("parse_order", "order_events items", """SELECT e.k, k % 29 = 0 AS corrupt,
   CASE WHEN k % 29 <> 0 THEN order_id END AS order_id, CASE WHEN k % 29 <> 0 THEN status END AS status,
   CASE WHEN k % 29 <> 0 THEN total_amount END AS total_amount,
-  CASE WHEN k % 29 <> 0 THEN epoch_ms(o_orderdate) END AS placed_ms,
+  CASE WHEN k % 29 <> 0 THEN (epoch_us(o_orderdate) // 1000) END AS placed_ms,
   CASE WHEN k % 29 <> 0 THEN CAST((SELECT count(*) FROM items i WHERE i.k = e.k) AS INTEGER) END AS item_count
   FROM order_events e JOIN orders ON o_orderkey = e.k""")
 def parse_order(t: Tables):
@@ -152,7 +152,7 @@ def parse_order(t: Tables):
   CASE WHEN o_orderkey % 47 = 0 THEN '' ELSE 'ORD-' || o_orderkey END AS order_id,
   CAST(CASE WHEN o_orderkey % 30 = 0 THEN 0 ELSE o_totalprice END AS DECIMAL(18,2)) AS amount,
   CASE WHEN o_orderkey % 59 <> 0 AND o_orderkey % 31 <> 0 THEN 'CREDIT_CARD' END AS type,
-  epoch_ms(o_orderdate) AS paid_ms FROM orders""")
+  (epoch_us(o_orderdate) // 1000) AS paid_ms FROM orders""")
 def parse_payment(t: Tables):
     text = F.to_json(
         F.struct("payment_id", "order_id", "customer_id", "status", "amount", "currency",

@@ -95,7 +95,7 @@ def size_recommendations(t: Tables):
   span_ms, CASE WHEN span_ms = 0 THEN total_bytes ELSE total_bytes * 1000 // span_ms END
     AS bytes_per_second
   FROM (SELECT topic, p AS "partition", o // 500 AS batch, count(*) AS messages,
-    CAST(sum(size) AS BIGINT) AS total_bytes, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS span_ms
+    CAST(sum(size) AS BIGINT) AS total_bytes, (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS span_ms
     FROM sized GROUP BY ALL)""")
 def batch_throughput(t: Tables):
     return sizes.batch_throughput(t.payloads())
@@ -148,7 +148,7 @@ def split_chunks(t: Tables):
   md5(head || substr(repeat('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(fill // 26 + 1 AS BIGINT)), 1,
     CAST(fill AS BIGINT)) || '"}') AS digest
   FROM (SELECT k, head, greatest(0, 100 + k % 900 - (strlen(head) + 2)) AS fill
-    FROM (SELECT k, '{"id":' || k || ',"timestamp":' || epoch_ms(ts) || ',"data":"' AS head
+    FROM (SELECT k, '{"id":' || k || ',"timestamp":' || (epoch_us(ts) // 1000) || ',"data":"' AS head
           FROM orders_log))""")
 def generate_messages(t: Tables):
     """One generated message per order, sizes between 100 and 999 bytes."""
