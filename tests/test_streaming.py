@@ -129,6 +129,6 @@ def test_consumer_writes_whole_batches(spark, tables, tmp_path):
 def test_limited_counts(spark, tables, tmp_path):
     failures = tables.failures()
     stream = stream_of(spark, failures, tmp_path, "failed_at", schema.FAILURES)
-    got = collected(aggregates.limited_counts(stream, 2), tmp_path, "complete")
-    want = tracking.limited_counts(failures, 2).agg(F.sum("limited")).first()[0]
-    assert sum(r[-1] for r in got) == want
+    got = collected(aggregates.limited_counts(stream, 1), tmp_path, "complete")
+    want = tracking.limited_counts(failures, 1).agg(F.sum("limited")).first()[0]
+    assert sum(r[-1] for r in got) == want > 0

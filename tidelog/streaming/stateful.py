@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.operators.breaker import INITIAL, STATE_NAMES, Breaker
 from tidelog.operators.tracking import POISON_FAILURES, RECORD
+from tidelog.streaming.reading import WATERMARK
 
 COOLDOWN_MS = 5 * 60 * 1000
 
@@ -45,28 +46,34 @@ def circuit_breaker(calls: DataFrame, rule: Breaker = Breaker(), key: str = "key
         "kind int, count int, opened bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def poison_pills(failures: DataFrame, threshold: int = POISON_FAILURES,
-                 cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+def poison_pills(failures: DataFrame, threshold: int = POISON_FAILURES, cooldown_ms: int = COOLDOWN_MS,
+                 watermark: str = WATERMARK) -> DataFrame:
     """Each failure with the running count of its record and whether that makes it poison.
-    A record that stays quiet for the cooldown is forgotten."""
+
+    A record without a failure for the cooldown is forgotten. That goes by event time: a
+    replay decides the same, and a stream over what is available now comes to an end (with a
+    processing-time limit Spark would go on starting empty batches).
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["failed_at", "attempt"], kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["__at", "attempt"], kind="stable")
         counts = range(count + 1, count + len(rows) + 1)
         state.update((count + len(rows),))
-        state.setTimeoutDuration(cooldown_ms)
+        quiet = int(rows["__at"].iloc[-1]) + cooldown_ms
+        state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({
             "topic": key[0], "partition": key[1], "offset": key[2], "attempt": rows["attempt"].to_numpy(),
             "failure_count": list(counts), "poison": [c >= threshold for c in counts]})
 
-    slim = failures.select(*RECORD, "attempt", "failed_at")
+    slim = failures.withWatermark("failed_at", watermark).select(
+        *RECORD, "attempt", "failed_at", F.unix_millis("failed_at").alias("__at"))
     return slim.groupBy(*RECORD).applyInPandasWithState(
         run, "topic string, partition int, offset bigint, attempt int, failure_count bigint, poison boolean",
-        "count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "count bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def service_breaker(failures: DataFrame, threshold: int) -> DataFrame:
