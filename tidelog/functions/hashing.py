@@ -6,31 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-_WORD = 4294967296  # 2^32
-
-
 def string_hash(c: Column) -> Column:
-    """The 31-multiplier string hash over UTF-16 units, as a signed 32-bit value in a bigint.
+    """The 31-multiplier hash over UTF-16 units, signed 32-bit, as a bigint; null stays null.
 
-    Pure ASCII (all keys in practice) is read character by character; other text goes
-    through its UTF-16 hex form so that surrogate pairs count as two units.
+    Spark strings become JVM strings at this call, whose own hash is this very function.
     """
-    def step(acc: Column, unit: Column) -> Column:
-        return F.pmod(acc * F.lit(31) + unit, F.lit(_WORD))
-
-    zero = F.lit(0).cast("bigint")
-    ascii_units = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("bigint"))
-    wide_hex = F.hex(F.encode(c, "UTF-16BE"))
-    wide_units = F.transform(
-        F.sequence(F.lit(1), F.length(wide_hex) - 3, F.lit(4)),
-        lambda i: F.conv(F.substr(wide_hex, i, F.lit(4)), 16, 10).cast("bigint"),
-    )
-    unsigned = (
-        F.when(F.length(c) == 0, zero)
-        .when(F.octet_length(c) == F.length(c), F.aggregate(ascii_units, zero, step))
-        .otherwise(F.aggregate(wide_units, zero, step))
-    )
-    return F.when(unsigned >= _WORD // 2, unsigned - _WORD).otherwise(unsigned)
+    hashed = F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), c).cast("bigint")
+    return F.when(c.isNotNull(), hashed)
 
 
 # Seed, multiplier and shift of the murmur2 variant log clients use for keys.

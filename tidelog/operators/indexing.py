@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidelog.session import durable
 
 ARRIVAL = ("timestamp", "topic", "partition", "offset")
+PLACE = ("topic", "partition", "offset")
 _TASK_BITS = 33  # layout of monotonically_increasing_id: task number above, row number below
 
 
@@ -23,12 +24,19 @@ def rank_within(
     order: Sequence[str | Column],
     group: Sequence[str] = (),
     name: str = "rank",
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in ``order`` within ``group``. ``order`` must break all ties.
 
-    The layout is checkpointed before it is counted: both the numbering and the block
-    sizes have to see the same split, also when an executor is lost in between.
+    The laid-out rows are written before they are counted: both the numbering and the block
+    sizes have to see the same split, also when an executor is lost in between. Where
+    ``identity`` names columns that are unique and never null, only those and the columns of
+    group and order are laid out, and the numbers are joined back to the (wide) rows.
     """
+    if identity:
+        narrow = list(dict.fromkeys([*identity, *group, *order]))
+        numbers = rank_within(df.select(*narrow), order, group, name).select(*identity, name)
+        return df.join(numbers, list(identity)).select(*df.columns, name)
     keys = list(group)
     layout = [*keys, *order]
     laid = durable(
@@ -57,5 +65,6 @@ def rank_within(
 
 
 def arrival_index(df: DataFrame, name: str = "arrival") -> DataFrame:
-    """Position of each record in the order in which the log received it."""
-    return rank_within(df, ARRIVAL, name=name)
+    """Position of each record in the order in which the log received it. Only the places
+    and times of the records are sorted, not their values."""
+    return rank_within(df, ARRIVAL, name=name, identity=PLACE)

@@ -39,13 +39,13 @@ def _in_turn(df: DataFrame, partitions: int) -> DataFrame:
     return indexed.withColumn(TARGET, turn).drop("__arrival")
 
 
-def _or_hash(df: DataFrame, partitions: int, direct: Column) -> DataFrame:
-    """``direct`` where it applies, else the key hash; records with neither take turns.
+def _or_hash(df: DataFrame, partitions: int, applies: Column, target: Column) -> DataFrame:
+    """``target`` where it ``applies``, else the key hash; records with neither take turns.
     Only those last ones need an arrival position, so only they are sorted."""
-    has_target = direct.isNotNull() | F.col("key").isNotNull()
-    hashed = key_partition(F.when(direct.isNull(), F.col("key")), partitions)
-    settled = df.filter(has_target).withColumn(TARGET, F.coalesce(direct.cast("int"), hashed))
-    return settled.unionByName(_in_turn(df.filter(~has_target), partitions))
+    settled = applies | F.col("key").isNotNull()
+    hashed = key_partition(F.when(~applies, F.col("key")), partitions)
+    placed = df.filter(settled).withColumn(TARGET, F.when(applies, target.cast("int")).otherwise(hashed))
+    return placed.unionByName(_in_turn(df.filter(~settled), partitions))
 
 
 def _key_hash_size() -> Column:
@@ -58,7 +58,7 @@ def part_round_robin(df: DataFrame, partitions: int) -> DataFrame:
 
 
 def part_hash(df: DataFrame, partitions: int) -> DataFrame:
-    return _or_hash(df, _check(partitions), F.lit(None).cast("int"))
+    return _or_hash(df, _check(partitions), F.lit(False), F.lit(None))
 
 
 def part_sticky(df: DataFrame, partitions: int, producer: Column,
@@ -81,7 +81,7 @@ def part_customer(df: DataFrame, partitions: int, seed: int = CUSTOMER_SEED) ->
         key.startswith(CUSTOMER_PREFIXES[0]) | key.startswith(CUSTOMER_PREFIXES[1]), key
     ).otherwise(F.get_json_object("value", "$.customerId"))
     mixed = string_hash(customer).bitwiseXOR(F.lit(seed).cast("bigint"))
-    return _or_hash(df, _check(partitions), F.abs(mixed) % partitions)
+    return _or_hash(df, _check(partitions), customer.isNotNull(), F.abs(mixed) % partitions)
 
 
 def part_geo(df: DataFrame, partitions: int, regions: Sequence[str] = REGIONS) -> DataFrame:
@@ -89,9 +89,10 @@ def part_geo(df: DataFrame, partitions: int, regions: Sequence[str] = REGIONS) -
     partitions is no multiple of the regions the last partitions stay unused."""
     each = max(1, _check(partitions) // len(regions))
     region = F.lower(F.get_json_object("value", "$.region"))
-    at = F.array_position(F.array(*[F.lit(r.lower()) for r in regions]), region)
+    known = [r.lower() for r in regions]
+    at = F.array_position(F.array(*[F.lit(r) for r in known]), region)
     place = F.least((at - 1) * each + _key_hash_size() % each, F.lit(partitions - 1))
-    return _or_hash(df, partitions, F.when(at > 0, place))
+    return _or_hash(df, partitions, F.coalesce(region.isin(known), F.lit(False)), place)
 
 
 def part_priority(df: DataFrame, partitions: int, ratio: float = PRIORITY_RATIO) -> DataFrame:
@@ -99,9 +100,11 @@ def part_priority(df: DataFrame, partitions: int, ratio: float = PRIORITY_RATIO)
     normal = partitions - reserved
     priority = F.coalesce(F.get_json_object("value", "$.priority"), F.lit(DEFAULT_PRIORITY))
     high = F.upper(priority).isin(HIGH_PRIORITIES)
-    rest = reserved + _key_hash_size() % normal if normal > 0 else F.lit(None).cast("bigint")
-    direct = F.when(high, _key_hash_size() % reserved).otherwise(rest)
-    return _or_hash(df, partitions, direct)
+    if normal <= 0:
+        return _or_hash(df, partitions, high, _key_hash_size() % reserved)
+    block = F.when(high, F.lit(reserved)).otherwise(F.lit(normal))
+    start = F.when(high, F.lit(0)).otherwise(F.lit(reserved))
+    return _or_hash(df, partitions, F.lit(True), start + _key_hash_size() % block)
 
 
 def part_time(df: DataFrame, partitions: int, window_ms: int = TIME_WINDOW_MS) -> DataFrame:

@@ -16,6 +16,7 @@ POISON_COOLDOWN = "5 minutes"
 BREAKER_FAILURES = 5
 MAX_ERRORS_PER_MINUTE = 100
 RECORD = ["topic", "partition", "offset"]
+ATTEMPT = [*RECORD, "attempt"]
 QUARANTINE_SUFFIX = ".poison-pill.quarantine"
 
 
@@ -23,7 +24,7 @@ def rate_limit(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE) -> DataF
     """``limited``: the failure came after ``limit`` others of its topic in the same minute."""
     timed = failures.withColumn("__minute", F.date_trunc("minute", "failed_at"))
     order = ["failed_at", "partition", "offset", "attempt"]
-    ranked = rank_within(timed, order, group=["topic", "__minute"], name="__rank")
+    ranked = rank_within(timed, order, group=["topic", "__minute"], name="__rank", identity=ATTEMPT)
     return ranked.withColumn("limited", F.col("__rank") >= limit).drop("__rank", "__minute")
 
 
@@ -39,7 +40,7 @@ def service_breaker(failures: DataFrame, threshold: int = BREAKER_FAILURES) -> D
     reported to this breaker, so once open it stays open; it opens once."""
     named = failures.filter(F.col("service_name").isNotNull())
     order = ["failed_at", *RECORD, "attempt"]
-    ranked = rank_within(named, order, group=["service_name"], name="__rank")
+    ranked = rank_within(named, order, group=["service_name"], name="__rank", identity=ATTEMPT)
     count = F.col("__rank") + 1
     return (
         ranked.withColumn("breaker_failures", count)

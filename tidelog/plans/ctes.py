@@ -75,18 +75,21 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(conv_id AS VARCHAR), text, 0, {AS_OF} FROM conversations"""),
     "sized": (("payloads",), """SELECT *, coalesce(strlen(key), 0) + coalesce(strlen(value), 0)
         + header_bytes + 30 AS size FROM payloads"""),
-    "items": ((), """SELECT l_orderkey AS k, l_linenumber AS line,
-      CAST(l_partkey AS VARCHAR) AS product_id, 'part ' || l_partkey AS product_name,
-      CAST(CASE WHEN l_orderkey % 41 = 0 THEN 0 ELSE l_quantity END AS INTEGER) AS quantity,
-      CAST(l_extendedprice / l_quantity AS DECIMAL(18,2)) AS unit_price,
-      CAST(l_extendedprice AS DECIMAL(18,2)) AS total_price
-      FROM lineitem WHERE l_orderkey % 43 <> 0"""),
-    "order_events": ((), """SELECT o_orderkey AS k,
-      CASE WHEN o_orderkey % 47 = 0 THEN ' ' ELSE 'ORD-' || o_orderkey END AS order_id,
-      CASE WHEN o_orderkey % 25 = 1 THEN NULL WHEN o_orderstatus = 'P' THEN 'PENDING'
-           WHEN o_orderstatus = 'O' THEN 'CONFIRMED' WHEN o_orderkey % 53 = 2 THEN 'LOST'
-           ELSE 'DELIVERED' END AS status,
-      CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount FROM orders"""),
+    "order_events": ((), """SELECT *, CAST(CASE WHEN k % 4 = 0 THEN price ELSE
+        CASE WHEN k % 43 = 0 THEN 0 ELSE price * quantity END
+        + CASE WHEN k % 3 = 0 THEN freight ELSE 0 END END AS DECIMAL(18,2)) AS total_amount
+      FROM (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderdate,
+        CAST(CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey % 5 + 1 END AS INTEGER) AS quantity,
+        CAST(o_orderkey % 7 AS DECIMAL(18,2)) AS freight,
+        CASE WHEN o_orderkey % 47 = 0 THEN ' ' ELSE 'ORD-' || o_orderkey END AS order_id,
+        CASE WHEN o_orderkey % 25 = 1 THEN NULL WHEN o_orderstatus = 'P' THEN 'PENDING'
+             WHEN o_orderstatus = 'O' THEN 'CONFIRMED' WHEN o_orderkey % 53 = 2 THEN 'LOST'
+             ELSE 'DELIVERED' END AS status FROM orders)"""),
+    "items": (("order_events",), """SELECT k, CAST(0 AS INTEGER) AS pos, 'P' || (k % 2000) AS product_id,
+        quantity, price AS unit_price, CAST(price * quantity AS DECIMAL(18,2)) AS total_price
+      FROM order_events WHERE k % 43 <> 0
+      UNION ALL SELECT k, CAST(CASE WHEN k % 43 = 0 THEN 0 ELSE 1 END AS INTEGER), 'FREIGHT', 1, freight, freight
+      FROM order_events WHERE k % 3 = 0"""),
     "failed": ((), """SELECT event_id AS k,
       ['orders-topic','payments-topic','notifications-topic'][event_id % 3 + 1] AS topic,
       CAST((event_id // 3) % 3 AS INTEGER) AS p, event_id // 9 AS o, 'user-' || user_id AS key,

@@ -131,7 +131,7 @@ def outcome(t: Tables):
   CASE WHEN k % 29 <> 0 THEN total_amount END AS total_amount,
   CASE WHEN k % 29 <> 0 THEN (epoch_us(o_orderdate) // 1000) END AS placed_ms,
   CASE WHEN k % 29 <> 0 THEN CAST((SELECT count(*) FROM items i WHERE i.k = e.k) AS INTEGER) END AS item_count
-  FROM order_events e JOIN orders ON o_orderkey = e.k""")
+  FROM order_events e""")
 def parse_order(t: Tables):
     """Typed orders written as JSON, every 29th cut off, then parsed."""
     text = F.to_json(
@@ -179,10 +179,9 @@ def parse_generic(t: Tables):
 
 @query("order_items", "order_events items", """SELECT e.k, e.total_amount,
   CAST(coalesce(s.total, 0) AS DECIMAL(18,2)) AS items_total,
-  coalesce(s.total, 0) = e.total_amount AS adds_up, CAST(i.pos AS INTEGER) AS "position", i.product_id, i.quantity, i.total_price
+  coalesce(s.total, 0) = e.total_amount AS adds_up, i.pos AS "position", i.product_id, i.quantity, i.total_price
   FROM order_events e LEFT JOIN (SELECT k, sum(total_price) AS total FROM items GROUP BY k) s ON s.k = e.k
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY line, product_id, product_name, quantity,
-    unit_price, total_price) - 1 AS pos FROM items) i ON i.k = e.k""")
+  LEFT JOIN items i ON i.k = e.k""")
 def order_items(t: Tables):
     rows = enrich.order_items(t.order_events(), "k")
     return rows.select("k", "total_amount", F.col("items_total").cast("decimal(18,2)").alias("items_total"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,16 +14,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see: the one the cluster names in ``spark.checkpoint.dir``.
+    Only a session without that setting (tests, a laptop) gets a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+    return named or context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs read the same rows in the same layout.
+    """The rows written as a table in the shared folder, and that table.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session
-    without that setting (tests, a laptop) gets a temporary one.
+    Later jobs read the same rows with the same values, whatever executors are lost, and
+    each of them only the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelog-"))
-    return df.checkpoint()
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,8 +1,7 @@
 """Logs and snapshots derived row by row from the shared tables.
 
 Everything is a projection of a table, except the order log with regions (customer and
-nation look-ups), the typed orders (grouped lineitems) and the offset and member snapshots
-(aggregates of the notification log). Nothing is collected or generated on the driver.
+nation look-ups) and the offset and member snapshots (aggregates of the notification log). Nothing is collected or generated on the driver.
 """
 
 from __future__ import annotations
@@ -221,35 +220,32 @@ class Tables:
     # ---- typed events ------------------------------------------------------------
 
     def order_events(self) -> DataFrame:
-        """Typed orders with their items; some break the constraints on purpose."""
+        """Typed orders with one or two items; some break the constraints on purpose."""
         money = "decimal(18,2)"
-        qty = F.when(F.col("l_orderkey") % 41 == 0, 0).otherwise(F.col("l_quantity"))
-        item = F.struct(
-            F.col("l_linenumber").alias("line"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            _text("part ", F.col("l_partkey")).alias("product_name"),
-            qty.cast("int").alias("quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).cast(money).alias("unit_price"),
-            F.col("l_extendedprice").cast(money).alias("total_price"),
-        )
-        # an order has a handful of lines, so the list per order is small
-        lines = self.table("lineitem").groupBy("l_orderkey").agg(
-            F.array_sort(F.collect_list(item)).alias("lines")
-        )
-        orders = self.table("orders").withColumnRenamed("o_orderkey", "k")
-        bare = F.transform(F.coalesce("lines", F.array().cast(
-            "array<struct<line:int,product_id:string,product_name:string,quantity:int,"
-            f"unit_price:{money},total_price:{money}>>")), lambda i: i.dropFields("line"))
-        return orders.join(lines, F.col("k") == F.col("l_orderkey"), "left").select(
+        k, price = F.col("k"), F.col("o_totalprice").cast(money)
+        quantity = F.when(_every(41, 0), 0).otherwise(k % 5 + 1).cast("int")
+        freight = (k % 7).cast(money)
+        items_total = (price * quantity).cast(money)
+
+        def item(product: Column, name: Column, n: Column, unit: Column, total: Column) -> Column:
+            return F.struct(product.alias("product_id"), name.alias("product_name"), n.alias("quantity"),
+                            unit.alias("unit_price"), total.alias("total_price"))
+
+        basket = item(_text("P", k % 2000), _text("part ", k % 2000), quantity, price, items_total)
+        shipping = item(F.lit("FREIGHT"), F.lit("freight"), F.lit(1), freight, freight)
+        both = F.array_compact(F.array(F.when(~_every(43, 0), basket), F.when(_every(3, 0), shipping)))
+        added = F.when(_every(43, 0), F.lit(0)).otherwise(items_total) + F.when(
+            _every(3, 0), freight).otherwise(F.lit(0))
+        return self.table("orders").withColumnRenamed("o_orderkey", "k").select(
             "k",
-            F.when(_every(47, 0), " ").otherwise(_text("ORD-", F.col("k"))).alias("order_id"),
+            F.when(_every(47, 0), " ").otherwise(_text("ORD-", k)).alias("order_id"),
             _text("CUST-", F.col("o_custkey")).alias("customer_id"),
             F.when(_every(25, 1), F.lit(None).cast("string"))
             .when(F.col("o_orderstatus") == "P", "PENDING")
             .when(F.col("o_orderstatus") == "O", "CONFIRMED")
             .when(_every(53, 2), "LOST").otherwise("DELIVERED").alias("status"),
-            F.when(_every(43, 0), F.slice(bare, 1, 0)).otherwise(bare).alias("items"),
-            F.col("o_totalprice").cast(money).alias("total_amount"),
+            both.alias("items"),
+            F.when(_every(4, 0), price).otherwise(added).cast(money).alias("total_amount"),
             F.col("o_orderdate").alias("order_timestamp"),
         )
 
