@@ -34,14 +34,14 @@ def has_header(headers: Column, name: str) -> Column:
 
 
 def header_map(headers: Column) -> Column:
-    """name -> text. Names are few per record, so looking each one up again is cheap."""
-    names = F.array_distinct(F.transform(headers, lambda h: h["key"]))
-
-    def entry(name: Column) -> Column:
-        found = F.filter(headers, lambda h: h["key"] == name)
-        return F.struct(
-            name.alias("key"),
-            F.decode(F.element_at(found, -1)["value"], "UTF-8").alias("value"),
-        )
-
-    return F.map_from_entries(F.transform(names, entry))
+    """name -> text. Records whose names are all different, nearly all of them, become a map
+    in one go; only the others look for the last value of each name."""
+    def text(h: Column) -> Column:
+        return F.struct(h["key"].alias("key"), F.decode(h["value"], "UTF-8").alias("value"))
+
+    names = F.transform(headers, lambda h: h["key"])
+    distinct = F.array_distinct(names)
+    last = F.transform(distinct, lambda name: text(
+        F.element_at(F.filter(headers, lambda h: h["key"] == name), -1)))
+    return F.when(F.size(distinct) == F.size(headers), F.map_from_entries(F.transform(headers, text))).otherwise(
+        F.map_from_entries(last))

@@ -1,17 +1,18 @@
 """Allocation of many units of work to the owners that serve their queue.
 
-``units`` has ``queue`` and ``unit``; ``owners`` has one row per queue it serves. Units are
+``units`` has ``queue`` and ``unit``; ``owners`` has one row per queue it serves. Both are
 numbered within their queue (see ``indexing``), each strategy turns owners into positions,
-and an equi-join brings both together. Units may be any number; owners are workers, so a
-window over the owners of one queue is small beside the units. No side is ever forced to
-be broadcast: the adaptive planner does that when it finds a side small at run time.
+and an equi-join brings both together. Neither a queue nor the owners of one are ever held
+in one task, and no side is forced to be broadcast: the adaptive planner does that when it
+finds a side small at run time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.operators.indexing import rank_within
+from tidelog.operators.indexing import rank_within, running_total
+from tidelog.session import durable
 
 # Shares of the priority levels and factors of the workload score.
 PRIORITY_SHARES = [("HIGH", 0.5), ("MEDIUM", 0.3), ("LOW", 0.2)]
@@ -26,44 +27,46 @@ def _ranked(units: DataFrame, *group: str) -> DataFrame:
     return rank_within(units, ["unit"], group=group or ("queue",), name="__rank")
 
 
-def _queue_sizes(ranked: DataFrame) -> DataFrame:
-    return ranked.groupBy("queue").agg(F.count(F.lit(1)).alias("__units"))
+def _queue_sizes(units: DataFrame) -> DataFrame:
+    return units.groupBy("queue").agg(F.count(F.lit(1)).alias("__units"))
 
 
 def _numbered(owners: DataFrame, *group: str) -> DataFrame:
-    """Owners of a group in name order: 0, 1, ... with the size of the group."""
-    over = Window.partitionBy(*group)
-    return owners.select(
-        *group, "owner",
-        (F.row_number().over(over.orderBy("owner")) - 1).alias("__turn"),
-        F.count(F.lit(1)).over(over).alias("__owners"),
-    )
+    """Owners of a group in name order: 0, 1, ..."""
+    return rank_within(owners.select(*group, "owner"), ["owner"], group=group, name="__turn")
 
 
-def _by_weight(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
-    """Heaviest owner first: each gets a block of round(weight share x units), never more
-    than what is left; units beyond all blocks go round in the same order."""
-    ranked = _ranked(units)
-    over = Window.partitionBy("queue")
+def _group_sizes(owners: DataFrame, *group: str) -> DataFrame:
+    return owners.groupBy(*group).agg(F.count(F.lit(1)).alias("__of"))
+
+
+def _blocks(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
+    """Per owner, heaviest first, the positions [__from, __end) it gets: round(share x units)
+    of them, never more than what is left."""
     weighed = owners.select("queue", "owner", weight.alias("__weight"))
-    falling = over.orderBy(F.desc("__weight"), "owner")
+    ranked = rank_within(weighed, [F.desc("__weight"), "owner"], group=["queue"], name="__turn")
+    totals = weighed.groupBy("queue").agg(
+        F.sum("__weight").alias("__total"), F.count(F.lit(1)).alias("__of")).join(_queue_sizes(units), "queue")
     quota = F.floor(
-        F.col("__weight").cast("double") / F.sum("__weight").over(over).cast("double")
-        * F.col("__units") + 0.5)
-    blocks = (
-        weighed.join(_queue_sizes(ranked), "queue")
-        .withColumn("__turn", F.row_number().over(falling) - 1)
-        .withColumn("__owners", F.count(F.lit(1)).over(over))
-        .withColumn("__quota", quota)
-        .withColumn("__end", F.sum("__quota").over(falling.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__from", F.least("__units", F.col("__end") - F.col("__quota")))
-        .withColumn("__end", F.least("__units", "__end"))
-        .withColumn("__width", F.greatest(F.lit(1), F.least(
-            F.lit(MAX_BUCKET), F.expr("__units div __owners"))))
+        F.col("__weight").cast("double") / F.col("__total").cast("double") * F.col("__units") + 0.5)
+    quotas = ranked.join(totals, "queue").withColumn("__quota", quota)
+    return (
+        running_total(quotas, "__quota", "__turn", ["queue"], "__sum")
+        .withColumn("__from", F.least("__units", F.col("__sum") - F.col("__quota")))
+        .withColumn("__end", F.least("__units", "__sum"))
+        .withColumn("__width", F.greatest(F.lit(1), F.least(F.lit(MAX_BUCKET), F.expr("__units div __of"))))
+        .select("queue", "owner", "__turn", "__of", "__from", "__end", "__width")
     )
+
+
+def _by_weight(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
+    """Each owner a block in proportion to its weight; units beyond all blocks go round in the
+    same order. A block meets its units by bucket: buckets are as wide as the average block,
+    so all of them together are compared about twice as often as there are units."""
+    ranked = _ranked(units)
+    blocks = durable(_blocks(units, owners, weight))  # one row per owner, read three times
     per_queue = blocks.groupBy("queue").agg(
-        F.max("__end").alias("__settled"), F.max("__owners").alias("__of"),
-        F.max("__width").alias("__wide"))
+        F.max("__end").alias("__settled"), F.max("__of").alias("__of"), F.max("__width").alias("__wide"))
     placed = ranked.join(per_queue, "queue", "left")
     inside = placed.filter("__rank < __settled").withColumn("__bucket", F.expr("__rank div __wide"))
     spans = (
@@ -77,11 +80,8 @@ def _by_weight(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame
         & (inside["__rank"] >= spans["__from"]) & (inside["__rank"] < spans["__end"]))
     over_all = placed.filter("__rank >= __settled or __settled is null").withColumn(
         "__seat", F.expr("(__rank - __settled) % __of"))
-    seats = blocks.select(F.col("queue").alias("__queue"), "owner", F.col("__turn").alias("__no"))
-    round_again = over_all.join(
-        seats, (over_all["queue"] == seats["__queue"]) & (over_all["__seat"] == seats["__no"]), "left")
     columns = [*units.columns, "owner"]
-    return taken.select(columns).unionByName(round_again.select(columns))
+    return taken.select(columns).unionByName(_seat(over_all, blocks, [], units).select(columns))
 
 
 def alloc_capacity(units: DataFrame, owners: DataFrame) -> DataFrame:
@@ -111,9 +111,9 @@ def alloc_workload(units: DataFrame, owners: DataFrame) -> DataFrame:
 def alloc_locality(units: DataFrame, owners: DataFrame) -> DataFrame:
     """Units go round the owners in their own rack, or all owners if it has none."""
     ranked = _ranked(units, "queue", "rack")
-    pools = _numbered(owners, "queue", "rack").unionByName(
-        _numbered(owners.withColumn("rack", F.lit("*")), "queue", "rack"))
-    sizes = pools.groupBy("queue", "rack").agg(F.max("__owners").alias("__of"))
+    pools = owners.select("queue", "rack", "owner").withColumn(
+        "rack", F.explode(F.array("rack", F.lit("*"))))
+    sizes = _group_sizes(pools, "queue", "rack")
     own, everyone = sizes.alias("own"), sizes.filter("rack = '*'").alias("every")
     u = ranked.alias("u")
     sited = (
@@ -123,14 +123,15 @@ def alloc_locality(units: DataFrame, owners: DataFrame) -> DataFrame:
                 F.coalesce("own.__of", "every.__of").alias("__of"))
         .withColumn("__seat", F.expr("__rank % __of"))
     )
-    return _seat(sited, pools.withColumnRenamed("rack", "__pool"), ["__pool"], units)
+    seats = _numbered(pools, "queue", "rack").withColumnRenamed("rack", "__pool")
+    return _seat(sited, seats, ["__pool"], units)
 
 
 def _seat(sited: DataFrame, numbered: DataFrame, also: list[str], units: DataFrame) -> DataFrame:
     """Left join on queue, the further columns and the seat number; no seat, no owner."""
     seats = numbered.select(
-        F.col("queue").alias("__q"), *[F.col(c).alias(f"{c}_"
-        ) for c in also], F.col("__turn").alias("__no"), "owner")
+        F.col("queue").alias("__q"), *[F.col(c).alias(f"{c}_") for c in also],
+        F.col("__turn").alias("__no"), "owner")
     match = (F.col("queue") == F.col("__q")) & (F.col("__seat") == F.col("__no"))
     for c in also:
         match = match & (F.col(c) == F.col(f"{c}_"))
@@ -143,7 +144,7 @@ def alloc_priority(units: DataFrame, owners: DataFrame) -> DataFrame:
     ranked = _ranked(units)
     levels = owners.groupBy("queue").agg(*[
         F.count_if(F.col("priority") == level).alias(f"__{level}") for level, _ in PRIORITY_SHARES])
-    shares = _queue_sizes(ranked).join(levels, "queue")
+    shares = _queue_sizes(units).join(levels, "queue")
     left, start = F.col("__units"), F.lit(0).cast("bigint")
     columns = []
     for level, share in PRIORITY_SHARES:
@@ -166,11 +167,11 @@ def alloc_region(units: DataFrame, owners: DataFrame) -> DataFrame:
     """Even blocks over the regions in name order, the first ones one larger; round the
     owners inside a region."""
     ranked = _ranked(units)
-    numbered = _numbered(owners, "queue", "region")
-    regions = numbered.groupBy("queue", "region").agg(F.max("__owners").alias("__of")).withColumn(
+    # a queue has few regions, whatever the number of owners in them
+    regions = _group_sizes(owners, "queue", "region").withColumn(
         "__region", F.row_number().over(Window.partitionBy("queue").orderBy("region")) - 1)
     counts = regions.groupBy("queue").agg(F.count(F.lit(1)).alias("__regions"))
-    even = _queue_sizes(ranked).join(counts, "queue").select(
+    even = _queue_sizes(units).join(counts, "queue").select(
         "queue", F.expr("__units div __regions").alias("__each"),
         (F.col("__units") % F.col("__regions")).alias("__extra"))
     placed = ranked.join(even, "queue", "left").withColumn("__big", F.expr("__extra * (__each + 1)"))
@@ -180,7 +181,8 @@ def alloc_region(units: DataFrame, owners: DataFrame) -> DataFrame:
         "if(__rank < __big, __rank % (__each + 1), (__rank - __big) % nullif(__each, 0))"))
     sited = placed.join(regions.select("queue", "__region", "__of"), ["queue", "__region"], "left")
     sited = sited.withColumn("__seat", F.expr("__pos % __of"))
-    seats = numbered.join(regions.select("queue", "region", "__region"), ["queue", "region"])
+    seats = _numbered(owners, "queue", "region").join(
+        regions.select("queue", "region", "__region"), ["queue", "region"])
     return _seat(sited, seats, ["__region"], units)
 
 
@@ -191,8 +193,7 @@ def alloc_sticky(units: DataFrame, owners: DataFrame, previous: str = "previous_
         valid, (F.col("queue") == F.col("__q")) & (F.col(previous) == F.col("__valid")), "left"
     ).drop("__q")
     kept = checked.filter("__valid is not null").withColumnRenamed("__valid", "owner")
-    numbered = _numbered(owners, "queue")
-    sizes = numbered.groupBy("queue").agg(F.max("__owners").alias("__of"))
+    numbered, sizes = _numbered(owners, "queue"), _group_sizes(owners, "queue")
     rest = _ranked(checked.filter("__valid is null").drop("__valid"))
     sited = rest.join(sizes, "queue", "left").withColumn("__seat", F.expr("__rank % __of"))
     return kept.unionByName(_seat(sited, numbered, [], units))

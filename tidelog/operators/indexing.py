@@ -68,3 +68,20 @@ def arrival_index(df: DataFrame, name: str = "arrival") -> DataFrame:
     """Position of each record in the order in which the log received it. Only the places
     and times of the records are sorted, not their values."""
     return rank_within(df, ARRIVAL, name=name, identity=PLACE)
+
+
+def running_total(df: DataFrame, value: str, rank: str, group: Sequence[str], name: str,
+                  chunk: int = 100_000) -> DataFrame:
+    """Add ``name``: sum of ``value`` up to and with each row, in ``rank`` order within ``group``.
+
+    ``rank`` is dense, so ``chunk`` bounds the rows of every window; the totals of the chunks
+    are ``chunk`` times fewer and are summed in a second, small window.
+    """
+    keys = [*group, "__chunk"]
+    cut = df.withColumn("__chunk", F.expr(f"`{rank}` div {chunk}"))
+    upto = Window.partitionBy(*group).orderBy("__chunk")
+    before = cut.groupBy(*keys).agg(F.sum(value).alias("__sum")).select(
+        *keys, (F.sum("__sum").over(upto) - F.col("__sum")).alias("__before"))
+    inside = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("__inside", F.sum(value).over(inside)).join(before, keys)
+    return summed.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(name))
