@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog import schema
-from tidelog.functions.headers import add_headers, has_header, header, header_if, header_map
+from tidelog.functions.headers import add_headers, has_header, header, header_if, header_map, no_headers
 from tidelog.functions.text import instant_text
 from tidelog.operators.indexing import arrival_index
 
@@ -35,21 +35,20 @@ def enrich_headers(df: DataFrame, application: str = "event-log", version: str =
     number = sequence.cast("string")
     correlation = F.concat_ws("-", F.lit(application), F.unix_millis(at).cast("string"), number)
     topic, headers = F.col("topic"), F.col("headers")
-    by_topic, claimed = [], F.lit(False)
-    for word, extra in TOPIC_HEADERS:
-        mine = topic.contains(word) & ~claimed
-        by_topic += [header_if(mine, name, F.lit(text)) for name, text in extra]
-        claimed = claimed | topic.contains(word)
-    enriched = add_headers(
-        headers,
-        header_if(~has_header(headers, "x-timestamp"), "x-timestamp", instant_text(at)),
-        header_if(~has_header(headers, "x-correlation-id"), "x-correlation-id", correlation),
-        header("x-application", F.lit(application)),
-        header("x-version", F.lit(version)),
-        header("x-environment", F.lit(environment)),
-        header("x-message-sequence", number),
-        *by_topic,
-        header("x-schema-version", F.lit(SCHEMA_VERSION)),
+    constant = lambda pairs: F.array(*[header(n, F.lit(t)) for n, t in pairs])
+    by_topic = no_headers()
+    for word, extra in reversed(TOPIC_HEADERS):
+        by_topic = F.when(topic.contains(word), constant(extra)).otherwise(by_topic)
+    # all but the first three arrays fold to constants at planning time
+    enriched = F.concat(
+        add_headers(
+            headers,
+            header_if(~has_header(headers, "x-timestamp"), "x-timestamp", instant_text(at)),
+            header_if(~has_header(headers, "x-correlation-id"), "x-correlation-id", correlation)),
+        constant([("x-application", application), ("x-version", version), ("x-environment", environment)]),
+        F.array(header("x-message-sequence", number)),
+        by_topic,
+        constant([("x-schema-version", SCHEMA_VERSION)]),
     )
     return df.withColumn("headers", enriched).drop("__sequence")
 

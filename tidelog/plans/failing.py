@@ -376,25 +376,56 @@ def error_patterns(t: Tables):
     return types.unionByName(opens).unionByName(pills).unionByName(limited)
 
 
-# No SQL for the two breaker queries: a fold over an ordered series. They are tested
-# against a plain fold instead.
+# ---- breakers: the SQL walks each key call by call, which is what Spark must not do -----------
 
+def _walk(calls: str, rule: breaker.Breaker) -> str:
+    """SQL of the breaker over ``calls`` (key, tick in microseconds, ok, n from 1 within key)."""
+    first = "SELECT *, 0 AS kind, 0 AS count, CAST(0 AS BIGINT) AS opened FROM calls WHERE n = 1"
+    following = "SELECT c.*, s.kind, s.count, s.opened FROM s JOIN calls c ON c.key = s.key AND c.n = s.n + 1"
+
+    def step(source: str) -> str:
+        return f"""SELECT * EXCLUDE (kind, count, opened, k, c, blocked), NOT blocked AS admitted,
+      CASE WHEN blocked THEN 2 WHEN k = 1 AND NOT ok THEN 2 WHEN k = 1 AND c + 1 < {rule.successes} THEN 1
+        WHEN k = 0 AND NOT ok AND c + 1 >= {rule.failures} THEN 2 ELSE 0 END AS kind,
+      CASE WHEN blocked THEN count WHEN k = 1 AND NOT ok THEN {rule.failures}
+        WHEN k = 1 AND c + 1 < {rule.successes} THEN c + 1 WHEN k = 0 AND NOT ok THEN c + 1 ELSE 0 END AS count,
+      CASE WHEN blocked THEN opened WHEN k = 1 AND NOT ok THEN tick
+        WHEN k = 0 AND NOT ok AND c + 1 >= {rule.failures} THEN tick ELSE 0 END AS opened
+    FROM (SELECT *, kind = 2 AND tick - opened < {rule.reset} AS blocked,
+        CASE WHEN kind = 2 THEN 1 ELSE kind END AS k, CASE WHEN kind = 2 THEN 0 ELSE count END AS c
+      FROM ({source}))"""
+
+    return f""", calls AS ({calls}), s AS ({step(first)} UNION ALL {step(following)})"""
+
+
+_STATE = "['CLOSED','HALF_OPEN','OPEN'][kind + 1]"
 SPARSE = breaker.Breaker(failures=3, reset_ms=12 * 3600 * 1000, successes=2)
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", "metrics", _walk("""SELECT 'user-' || user_id AS key, event_id AS seq,
+    event_type <> 'error' AS ok, epoch_us(ts) AS tick,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events""", SPARSE) + f"""
+  SELECT key, tick // 1000 AS ts_ms, seq, ok, admitted, {_STATE} AS state FROM s""", recursive=True)
 def circuit_breaker(t: Tables):
     """Three errors open, twelve hours rest, two successes close: the calls are sparse."""
-    return breaker.circuit_breaker(t.calls(), SPARSE)
+    done = breaker.circuit_breaker(t.calls(), SPARSE)
+    return done.select("key", F.unix_millis("ts").alias("ts_ms"), "seq", "ok", "admitted", "state")
+
+
+_SHARDED = breaker.Breaker(failures=2, reset_ms=600_000, successes=2)
 
 
-@query("consume_with_breaker")
+@query("consume_with_breaker", "orders_log payments_log", _walk("""SELECT *,
+    row_number() OVER (PARTITION BY key ORDER BY tick, o, p) AS n FROM (SELECT topic, p, o, epoch_us(ts) AS tick,
+    topic || ':' || (o % 50) AS key, NOT (value IS NULL OR trim(value) = '') AS ok
+    FROM (SELECT * FROM orders_log UNION ALL SELECT * FROM payments_log))""", _SHARDED) + f"""
+  SELECT topic, p AS "partition", o AS "offset", CASE WHEN NOT admitted THEN 'REJECTED' WHEN ok THEN 'SUCCESS'
+    ELSE 'ERROR' END AS status, true AS acked, {_STATE} AS state FROM s""", recursive=True)
 def consume_with_breaker(t: Tables):
-    """Orders and payments through one breaker per topic partition."""
+    """Orders and payments, each through fifty workers with a breaker of their own."""
     rows = process.process_by_topic(t.orders_log().unionByName(t.payments_log()))
     calls = rows.select(
-        *_ID, "timestamp", F.concat_ws(":", "topic", "partition").alias("key"), "error_rule",
+        *_ID, "timestamp", F.concat_ws(":", "topic", F.col("offset") % 50).alias("key"),
         F.col("error_rule").isNull().alias("ok"))
-    rule = breaker.Breaker(failures=2, reset_ms=600_000, successes=2)
-    done = breaker.circuit_breaker(calls, rule, time="timestamp", order=("timestamp", "offset"))
-    return breaker.gated_outcome(done).select(*_ID, "status", "acked", "error_rule", "state")
+    done = breaker.circuit_breaker(calls, _SHARDED, time="timestamp", order=("timestamp", "offset", "partition"))
+    return breaker.gated_outcome(done).select(*_ID, "status", "acked", "state")

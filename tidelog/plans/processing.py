@@ -129,8 +129,8 @@ def outcome(t: Tables):
 @query("parse_order", "order_events items", """SELECT e.k, k % 29 = 0 AS corrupt,
   CASE WHEN k % 29 <> 0 THEN order_id END AS order_id, CASE WHEN k % 29 <> 0 THEN status END AS status,
   CASE WHEN k % 29 <> 0 THEN total_amount END AS total_amount,
-  CASE WHEN k % 29 <> 0 THEN (epoch_us(o_orderdate) // 1000) END AS placed_ms,
-  CASE WHEN k % 29 <> 0 THEN CAST((SELECT count(*) FROM items i WHERE i.k = e.k) AS INTEGER) END AS item_count
+  CASE WHEN k % 29 <> 0 THEN (epoch_us(o_orderdate) // 1000) ELSE -1 END AS placed_ms,
+  CASE WHEN k % 29 <> 0 THEN CAST((SELECT count(*) FROM items i WHERE i.k = e.k) AS INTEGER) ELSE -1 END AS item_count
   FROM order_events e""")
 def parse_order(t: Tables):
     """Typed orders written as JSON, every 29th cut off, then parsed."""
@@ -144,8 +144,8 @@ def parse_order(t: Tables):
     return enrich.parse_order(rows).select(
         "k", corrupt.alias("corrupt"), good(F.col("order.order_id")).alias("order_id"),
         good(F.col("order.status")).alias("status"), good(F.col("order.total_amount")).alias("total_amount"),
-        good(F.unix_millis(F.col("order.order_timestamp").cast("timestamp"))).alias("placed_ms"),
-        good(F.size("order.items")).alias("item_count"))
+        F.coalesce(good(F.unix_millis(F.col("order.order_timestamp").cast("timestamp"))), F.lit(-1)).alias("placed_ms"),
+        F.coalesce(good(F.size("order.items")), F.lit(-1)).alias("item_count"))
 
 
 @query("parse_payment", "", """SELECT o_orderkey AS k,
@@ -164,7 +164,7 @@ def parse_payment(t: Tables):
 
 
 @query("parse_generic", "", """SELECT event_id AS k, CASE WHEN event_id % 31 <> 0 THEN event_type END AS type,
-  CASE WHEN event_id % 31 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS data_k,
+  CASE WHEN event_id % 31 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS data_k,
   CASE WHEN event_id % 31 <> 0 THEN '1.0' END AS schema_version FROM events""")
 def parse_generic(t: Tables):
     text = F.concat(F.lit('{"type":"'), "event_type", F.lit('","data":'), "props",
@@ -173,19 +173,20 @@ def parse_generic(t: Tables):
         F.col("event_id").alias("k"),
         F.when(F.col("event_id") % 31 == 0, "{broken").otherwise(text).alias("value"))
     return enrich.parse_generic(rows).select(
-        "k", "message.type", F.try_variant_get("message.data", "$.k", "bigint").alias("data_k"),
+        "k", "message.type", F.coalesce(F.try_variant_get("message.data", "$.k", "bigint"), F.lit(-1)).alias("data_k"),
         "message.schema_version")
 
 
 @query("order_items", "order_events items", """SELECT e.k, e.total_amount,
   CAST(coalesce(s.total, 0) AS DECIMAL(18,2)) AS items_total,
-  coalesce(s.total, 0) = e.total_amount AS adds_up, i.pos AS "position", i.product_id, i.quantity, i.total_price
-  FROM order_events e LEFT JOIN (SELECT k, sum(total_price) AS total FROM items GROUP BY k) s ON s.k = e.k
+  coalesce(s.total, 0) = e.total_amount AS adds_up, coalesce(i.pos, -1) AS "position", i.product_id,
+  coalesce(i.quantity, -1) AS quantity, i.total_price FROM order_events e LEFT JOIN (SELECT k, sum(total_price) AS total FROM items GROUP BY k) s ON s.k = e.k
   LEFT JOIN items i ON i.k = e.k""")
 def order_items(t: Tables):
     rows = enrich.order_items(t.order_events(), "k")
     return rows.select("k", "total_amount", F.col("items_total").cast("decimal(18,2)").alias("items_total"),
-                       "adds_up", "position", "item.product_id", "item.quantity", "item.total_price")
+                       "adds_up", F.coalesce("position", F.lit(-1)).alias("position"), "item.product_id",
+                       F.coalesce("item.quantity", F.lit(-1)).alias("quantity"), "item.total_price")
 
 
 _NOW_TEXT = "2024-01-31T00:00:00.000Z"

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, uses: str = "", sql: str | None = None):
+def query(name: str, uses: str = "", sql: str | None = None, recursive: bool = False):
     """Register ``fn(tables) -> DataFrame`` as ``name``; ``uses`` lists the derived logs that
     the SQL counterpart reads."""
 
@@ -22,7 +22,8 @@ def query(name: str, uses: str = "", sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_ctes(uses, sql) if uses else sql
+            whole = with_ctes(uses, sql) if uses else sql
+            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else whole
         return fn
 
     return register
