@@ -10,7 +10,7 @@ from tidelog.functions.hashing import murmur2, string_hash
 from tidelog.functions.headers import header_map, last_header
 from tidelog.functions.text import trim_low, utf16_length
 from tidelog.operators import (allocate, deadletter, enrich, errors, filters, lag, monitor, partitioners, process,
-                               replay, series, sizes)
+                               replay, series, sizes, tracking)
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -303,3 +303,19 @@ def test_replay_targets(spark):
     assert counts == {"OFFSET": 2, "RELATIVE": 7, "BEGINNING": 10, "END": 0, "TIMESTAMP": 6}
     assert replay.replay_end(df).count() == 0
     assert replay.compact_latest(df.withColumn("key", F.lit("k"))).first().offset == 9
+
+
+def test_limited_failures_are_not_tracked(spark):
+    def failure(offset, attempt, service="Mail", at=0):
+        when = NOW + dt.timedelta(seconds=at)
+        return ("t", 0, offset, None, "v", [], NOW, "RecoverableException", "m", None, service, None, None, None, attempt, when)
+
+    rows = [failure(0, a, at=a) for a in (1, 2, 3)] + [failure(1, a, None, at=10 + a) for a in (1, 2, 3)]
+    failures = spark.createDataFrame(rows, schema.FAILURES)
+    flags = {r.offset: (r.failure_count, r.poison, r.breaker_state, r.breaker_failures, r.attempt)
+             for r in tracking.failure_flags(failures, breaker_threshold=3).collect()}
+    assert flags == {0: (3, True, "OPEN", 3, 3), 1: (3, True, None, None, 3)}
+    limited = tracking.rate_limit(failures, 2)
+    flags = {r.offset: (r.failure_count, r.poison, r.breaker_state, r.breaker_failures, r.attempt)
+             for r in tracking.failure_flags(limited, breaker_threshold=3).collect()}
+    assert flags == {0: (2, False, "CLOSED", 2, 3), 1: (0, False, None, None, 3)}

@@ -132,3 +132,12 @@ def test_limited_counts(spark, tables, tmp_path):
     got = collected(aggregates.limited_counts(stream, 1), tmp_path, "complete")
     want = tracking.limited_counts(failures, 1).agg(F.sum("limited")).first()[0]
     assert sum(r[-1] for r in got) == want > 0
+
+
+def test_rate_limit(spark, tables, tmp_path):
+    failures = tables.failures()
+    stream = stream_of(spark, failures, tmp_path, "failed_at", schema.FAILURES)
+    got = collected(stateful.rate_limit(stream, 1), tmp_path)
+    want = tracking.rate_limit(failures, 1).select("topic", "partition", "offset", "attempt", "limited").collect()
+    assert sorted(got) == sorted(tuple(r) for r in want)
+    assert any(r.limited for r in want)

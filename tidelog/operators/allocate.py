@@ -128,13 +128,18 @@ def alloc_locality(units: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _seat(sited: DataFrame, numbered: DataFrame, also: list[str], units: DataFrame) -> DataFrame:
-    """Left join on queue, the further columns and the seat number; no seat, no owner."""
+    """Left join on queue, the further columns and the seat number; no seat, no owner.
+
+    Units without a seat get a negative one of their own: as nulls they would all meet in one
+    task, and they can be a third of a queue.
+    """
     seats = numbered.select(
         F.col("queue").alias("__q"), *[F.col(c).alias(f"{c}_") for c in also],
         F.col("__turn").alias("__no"), "owner")
-    match = (F.col("queue") == F.col("__q")) & (F.col("__seat") == F.col("__no"))
+    seat = F.coalesce("__seat", -1 - F.col("__rank"))
+    match = (F.col("queue") == F.col("__q")) & (seat == F.col("__no"))
     for c in also:
-        match = match & (F.col(c) == F.col(f"{c}_"))
+        match = match & F.col(c).eqNullSafe(F.col(f"{c}_"))
     return sited.join(seats, match, "left").select(*units.columns, "owner")
 
 
@@ -189,12 +194,14 @@ def alloc_region(units: DataFrame, owners: DataFrame) -> DataFrame:
 def alloc_sticky(units: DataFrame, owners: DataFrame, previous: str = "previous_owner") -> DataFrame:
     """Units keep a previous owner that still serves the queue; the rest go round."""
     valid = owners.select(F.col("queue").alias("__q"), F.col("owner").alias("__valid"))
-    checked = units.join(
+    known, new = units.filter(F.col(previous).isNotNull()), units.filter(F.col(previous).isNull())
+    checked = known.join(
         valid, (F.col("queue") == F.col("__q")) & (F.col(previous) == F.col("__valid")), "left"
     ).drop("__q")
     kept = checked.filter("__valid is not null").withColumnRenamed("__valid", "owner")
+    free = checked.filter("__valid is null").drop("__valid").unionByName(new)
     numbered, sizes = _numbered(owners, "queue"), _group_sizes(owners, "queue")
-    rest = _ranked(checked.filter("__valid is null").drop("__valid"))
+    rest = _ranked(free)
     sited = rest.join(sizes, "queue", "left").withColumn("__seat", F.expr("__rank % __of"))
     return kept.unionByName(_seat(sited, numbered, [], units))
 

@@ -108,7 +108,7 @@ def part_priority(df: DataFrame, partitions: int, ratio: float = PRIORITY_RATIO)
 
 
 def part_time(df: DataFrame, partitions: int, window_ms: int = TIME_WINDOW_MS) -> DataFrame:
-    slot = F.floor(F.unix_millis("timestamp") / window_ms)
+    slot = F.expr(f"unix_millis(timestamp) div {window_ms}")
     return df.withColumn(TARGET, (slot % _check(partitions)).cast("int"))
 
 

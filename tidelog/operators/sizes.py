@@ -57,7 +57,7 @@ def with_size(df: DataFrame) -> DataFrame:
 
 def batch_number(poll_size: int = POLL_SIZE) -> Column:
     """A batch is one poll: the next ``poll_size`` offsets of a partition."""
-    return F.floor(F.col("offset") / poll_size).cast("bigint")
+    return F.expr(f"offset div {poll_size}")
 
 
 def micro_batches(df: DataFrame, poll_size: int = POLL_SIZE) -> DataFrame:

@@ -70,16 +70,23 @@ def poison_pills(failures: DataFrame, as_of=None, threshold: int = POISON_FAILUR
 
 def failure_flags(failures: DataFrame, threshold: int = POISON_FAILURES,
                   breaker_threshold: int = BREAKER_FAILURES) -> DataFrame:
-    """The last failure of each record with the flags that routing and headers read."""
+    """The last failure of each record with the flags that routing and headers read.
+
+    Failures that ``rate_limit`` marked as ``limited`` (where it ran before) are published
+    too, but count neither towards poison nor towards the breaker.
+    """
+    tracked = ~F.col("limited") if "limited" in failures.columns else F.lit(True)
     by_record = failures.groupBy(*RECORD).agg(
-        F.count(F.lit(1)).alias("failure_count"),
+        F.count_if(tracked).alias("failure_count"),
         F.max(F.struct("failed_at", "attempt", F.struct(*failures.columns).alias("row"))).alias("last"))
-    services = service_states(failures, breaker_threshold).select(
+    services = service_states(failures.filter(tracked), breaker_threshold).select(
         F.col("service_name").alias("__service"), F.col("state").alias("breaker_state"),
         F.col("failures").alias("breaker_failures"))
     rows = by_record.select("last.row.*", "failure_count",
                             (F.col("failure_count") >= threshold).alias("poison"))
-    return rows.join(services, F.col("service_name") == F.col("__service"), "left").drop("__service")
+    # most failures name no service: nulls would all go to one task, so they get many names
+    named = F.coalesce("service_name", F.concat(F.lit("\0"), F.col("offset").cast("string")))
+    return rows.join(services, named == F.col("__service"), "left").drop("__service")
 
 
 def quarantine(failures: DataFrame, host: str = "unknown", environment: str = "unknown",

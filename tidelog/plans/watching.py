@@ -111,14 +111,13 @@ def publish(t: Tables):
     return placed.select("topic", "partition", "offset", "key", "value")
 
 
-@query("publish_batch", "orders_log", """SELECT key, max(p) AS top_partition, count(*) AS given, 1 AS sent
-  FROM orders_log WHERE key IS NOT NULL GROUP BY key""")
+@query("publish_batch", "orders_log", f"""SELECT 'batch-topic' AS topic, key, p AS "partition", o AS "offset", value
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, p DESC, o DESC) AS r FROM orders_log
+    WHERE key IS NOT NULL) WHERE r = 1""")
 def publish_batch(t: Tables):
-    """A batch is a map: one record per key goes out."""
-    batch = t.orders_log().filter("key is not null")
-    sent = sinks.batch_records(batch, "batch-topic").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("sent"))
-    given = batch.groupBy("key").agg(F.max("partition").alias("top_partition"), F.count(F.lit(1)).alias("given"))
-    return given.join(sent, "key")
+    """A batch is a map: one record per key goes out, the last one given."""
+    sent = sinks.batch_records(t.orders_log().filter("key is not null"), "batch-topic")
+    return sent.select("topic", "key", "partition", "offset", "value")
 
 
 @query("publish_atomic", "orders_log", """SELECT txn_id, count(*) AS records, count(DISTINCT topic) AS topics FROM (

@@ -24,8 +24,10 @@ def next_offsets(records: DataFrame, existing: DataFrame | None, order: Sequence
 
 
 def batch_records(records: DataFrame, topic: str) -> DataFrame:
-    """A batch maps keys to messages, so each key goes out once."""
-    return records.dropDuplicates(["key"]).withColumn("topic", F.lit(topic))
+    """A batch maps keys to messages, so each key goes out once, with its last message."""
+    last = records.groupBy("key").agg(
+        F.max_by(F.struct(*records.columns), F.struct("timestamp", "partition", "offset")).alias("row"))
+    return last.select("row.*").withColumn("topic", F.lit(topic))
 
 
 def deduplicated(records: DataFrame, correlation: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.operators.breaker import INITIAL, STATE_NAMES, Breaker
-from tidelog.operators.tracking import POISON_FAILURES, RECORD
+from tidelog.operators.tracking import MAX_ERRORS_PER_MINUTE, POISON_FAILURES, RECORD
 from tidelog.streaming.reading import WATERMARK
 
 COOLDOWN_MS = 5 * 60 * 1000
@@ -76,6 +76,30 @@ def poison_pills(failures: DataFrame, threshold: int = POISON_FAILURES, cooldown
         "count bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def rate_limit(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE, watermark: str = WATERMARK) -> DataFrame:
+    """Each failure with whether its topic minute was already full. The count of a minute is
+    dropped once the watermark has passed it."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["__at", "partition", "offset", "attempt"], kind="stable")
+        state.update((seen + len(rows),))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({
+            "topic": key[0], "partition": rows["partition"].to_numpy(), "offset": rows["offset"].to_numpy(),
+            "attempt": rows["attempt"].to_numpy(), "limited": [seen + i >= limit for i in range(len(rows))]})
+
+    slim = failures.withWatermark("failed_at", watermark).select(
+        *RECORD, "attempt", "failed_at", F.unix_millis("failed_at").alias("__at"),
+        F.expr("unix_millis(failed_at) div 60000").alias("__minute"))
+    return slim.groupBy("topic", "__minute").applyInPandasWithState(
+        run, "topic string, partition int, offset bigint, attempt int, limited boolean",
+        "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def service_breaker(failures: DataFrame, threshold: int) -> DataFrame:
     """Failures per service and whether that opens its breaker: for update or complete mode."""
     counted = failures.filter(F.col("service_name").isNotNull()).groupBy("service_name").agg(
