@@ -1,4 +1,8 @@
-"""Run queries against their SQL at one scale: python tests/check.py [name-part ...]"""
+"""Run queries against their SQL at one scale: python tests/check.py [name-part ...]
+
+CHECK_DIR names the tables. CHECK_BROADCAST=-1 turns measured broadcasts off, so that the joins
+meant for two large sides are checked.
+"""
 
 import os
 import sys
@@ -14,7 +18,9 @@ from oracle import connect, difference  # noqa: E402
 
 folder = os.environ.get("CHECK_DIR", "/root/testdata/sf0.01")
 spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
+         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+         .config("spark.sql.autoBroadcastJoinThreshold", os.environ.get("CHECK_BROADCAST", "10MB"))
+         .getOrCreate())
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(folder)
 sqls = entry.oracle_sql()

@@ -3,8 +3,8 @@
 ``units`` has ``queue`` and ``unit``; ``owners`` has one row per queue it serves. Both are
 numbered within their queue (see ``indexing``), each strategy turns owners into positions,
 and an equi-join brings both together. Neither a queue nor the owners of one are ever held
-in one task, and no side is forced to be broadcast: the adaptive planner does that when it
-finds a side small at run time.
+in one task, and no side is forced to be broadcast: small ones are measured first and the
+planner decides.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.operators.indexing import rank_within, running_total
-from tidelog.session import durable
+from tidelog.session import durable, measured
 
 # Shares of the priority levels and factors of the workload score.
 PRIORITY_SHARES = [("HIGH", 0.5), ("MEDIUM", 0.3), ("LOW", 0.2)]
@@ -37,7 +37,7 @@ def _numbered(owners: DataFrame, *group: str) -> DataFrame:
 
 
 def _group_sizes(owners: DataFrame, *group: str) -> DataFrame:
-    return owners.groupBy(*group).agg(F.count(F.lit(1)).alias("__of"))
+    return measured(owners.groupBy(*group).agg(F.count(F.lit(1)).alias("__of")))
 
 
 def _blocks(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
@@ -45,8 +45,8 @@ def _blocks(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
     of them, never more than what is left."""
     weighed = owners.select("queue", "owner", weight.alias("__weight"))
     ranked = rank_within(weighed, [F.desc("__weight"), "owner"], group=["queue"], name="__turn")
-    totals = weighed.groupBy("queue").agg(
-        F.sum("__weight").alias("__total"), F.count(F.lit(1)).alias("__of")).join(_queue_sizes(units), "queue")
+    totals = measured(weighed.groupBy("queue").agg(
+        F.sum("__weight").alias("__total"), F.count(F.lit(1)).alias("__of")).join(_queue_sizes(units), "queue"))
     quota = F.floor(
         F.col("__weight").cast("double") / F.col("__total").cast("double") * F.col("__units") + 0.5)
     quotas = ranked.join(totals, "queue").withColumn("__quota", quota)
@@ -157,7 +157,7 @@ def alloc_priority(units: DataFrame, owners: DataFrame) -> DataFrame:
         take = F.when((F.col(f"__{level}") > 0) & (left > 0), wanted).otherwise(0)
         columns += [start.alias(f"__{level}_from"), (start + take).alias(f"__{level}_end")]
         left, start = left - take, start + take
-    bounds = shares.select("queue", *[f"__{level}" for level, _ in PRIORITY_SHARES], *columns)
+    bounds = measured(shares.select("queue", *[f"__{level}" for level, _ in PRIORITY_SHARES], *columns))
     level_of, seat = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for level, _ in reversed(PRIORITY_SHARES):
         inside = (F.col("__rank") >= F.col(f"__{level}_from")) & (F.col("__rank") < F.col(f"__{level}_end"))
@@ -176,9 +176,9 @@ def alloc_region(units: DataFrame, owners: DataFrame) -> DataFrame:
     regions = _group_sizes(owners, "queue", "region").withColumn(
         "__region", F.row_number().over(Window.partitionBy("queue").orderBy("region")) - 1)
     counts = regions.groupBy("queue").agg(F.count(F.lit(1)).alias("__regions"))
-    even = _queue_sizes(units).join(counts, "queue").select(
+    even = measured(_queue_sizes(units).join(counts, "queue").select(
         "queue", F.expr("__units div __regions").alias("__each"),
-        (F.col("__units") % F.col("__regions")).alias("__extra"))
+        (F.col("__units") % F.col("__regions")).alias("__extra")))
     placed = ranked.join(even, "queue", "left").withColumn("__big", F.expr("__extra * (__each + 1)"))
     placed = placed.withColumn("__region", F.expr(
         "if(__rank < __big, __rank div (__each + 1), __extra + (__rank - __big) div nullif(__each, 0))"

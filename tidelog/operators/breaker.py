@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.operators.indexing import rank_within
+from tidelog.session import measured
 
 CLOSED, HALF_OPEN, OPEN = 0, 1, 2
 STATE_NAMES = ["CLOSED", "HALF_OPEN", "OPEN"]
@@ -29,6 +30,7 @@ INITIAL = (CLOSED, 0, 0)
 CHUNK = 50_000
 
 STATE_DDL = "struct<kind:int,count:int,opened:bigint>"
+ENTRY = [("__kind", "int"), ("__count", "int"), ("__opened", "bigint")]
 
 
 @dataclass(frozen=True)
@@ -177,7 +179,11 @@ def circuit_breaker(calls: DataFrame, rule: Breaker = Breaker(), key: str = "key
         *calls.columns, "__rank", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"),
         F.expr(f"__rank div {chunk}").alias("__chunk"), F.unix_micros(F.col(time)).alias("__at"),
         F.coalesce(F.col(ok), F.lit(False)).alias("__ok"))
-    hot = placed.filter("__chunk > 0").select(F.col("__key").alias("__hot")).distinct()
+    layout = f"{_ddl(calls)}, admitted boolean, state string"
+    hot = measured(placed.filter("__chunk > 0").select(F.col("__key").alias("__hot")).distinct())
+    if hot.isEmpty():  # every key fits into its first chunk and starts closed
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in ENTRY]
+        return _replayed(placed.select("*", *none), rule, layout, len(calls.columns))
     split = placed.select("__key", "__chunk", "__rank", "__at", "__ok").join(
         hot, F.col("__key") == F.col("__hot"), "left_semi")
     summaries = (
@@ -190,12 +196,15 @@ def circuit_breaker(calls: DataFrame, rule: Breaker = Breaker(), key: str = "key
         .select(F.col("key").alias("__k"), F.col("chunk").alias("__c"), F.col("kind").alias("__kind"),
                 F.col("count").alias("__count"), F.col("opened").alias("__opened")))
     entered = placed.join(
-        entries, (F.col("__key") == F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left"
+        measured(entries), (F.col("__key") == F.col("__k")) & (F.col("__chunk") == F.col("__c")), "left"
     ).drop("__k", "__c")
-    layout = f"{_ddl(calls)}, admitted boolean, state string"
+    return _replayed(entered, rule, layout, len(calls.columns))
+
+
+def _replayed(entered: DataFrame, rule: Breaker, layout: str, width: int) -> DataFrame:
     return (
         entered.repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__rank")
-        .mapInArrow(_replay(rule, len(calls.columns)), layout)
+        .mapInArrow(_replay(rule, width), layout)
     )
 
 

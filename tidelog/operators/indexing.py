@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.session import durable
+from tidelog.session import durable, measured
 
 ARRIVAL = ("timestamp", "topic", "partition", "offset")
 PLACE = ("topic", "partition", "offset")
@@ -49,13 +49,11 @@ def rank_within(
     )
     # at most one row per task for each group, so this window stays small
     earlier = Window.partitionBy(*keys).orderBy("__task")
-    starts = blocks.select(
+    starts = measured(blocks.select(
         "__task",
         *[F.col(k).alias(f"__{k}") for k in keys],
         (F.sum("__rows").over(earlier) - F.col("__rows") - F.col("__first")).alias("__shift"),
-    )
-    if not keys:
-        starts = F.broadcast(starts)  # one row per task
+    ))
     match = F.shiftright(laid["__row"], _TASK_BITS) == starts["__task"]
     for k in keys:
         match = match & laid[k].eqNullSafe(starts[f"__{k}"])

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.operators.sizes import record_size
+from tidelog.session import measured
 
 # Bounds, weights and texts of the health rules.
 HOT_RECORDS_PER_SECOND = 1000
@@ -70,8 +71,8 @@ def rebalance_events(members: DataFrame) -> DataFrame:
     present = members.select("group", "ts", "consumer_id").distinct()
     # the window runs over snapshots, not members
     by_time = Window.partitionBy("group").orderBy("ts")
-    snapshots = present.select("group", "ts").distinct().select(
-        "group", "ts", F.lead("ts").over(by_time).alias("next_ts"), F.lag("ts").over(by_time).alias("last_ts"))
+    snapshots = measured(present.select("group", "ts").distinct().select(
+        "group", "ts", F.lead("ts").over(by_time).alias("next_ts"), F.lag("ts").over(by_time).alias("last_ts")))
     tagged = present.join(snapshots, ["group", "ts"])
     # a member that stays is once "expected" and once "present" at the next snapshot
     seen = tagged.filter("last_ts is not null").select("group", "ts", "consumer_id")
@@ -97,7 +98,7 @@ def rebalance_frequency(events: DataFrame, as_of=None) -> DataFrame:
 
 def latest_members(members: DataFrame) -> DataFrame:
     """Members of the last snapshot of each group."""
-    last = members.groupBy("group").agg(F.max("ts").alias("ts"))
+    last = measured(members.groupBy("group").agg(F.max("ts").alias("ts")))
     return members.join(last, ["group", "ts"], "left_semi")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions.hashing import key_partition, string_hash
 from tidelog.operators.indexing import ARRIVAL, arrival_index, rank_within
+from tidelog.session import measured
 
 # Defaults of the strategies.
 REGIONS = ["us-east", "us-west", "eu", "asia"]
@@ -68,9 +69,9 @@ def part_sticky(df: DataFrame, partitions: int, producer: Column,
     named = df.withColumn("__producer", producer)
     first = named.groupBy("topic", "__producer").agg(
         F.min(F.struct(*ARRIVAL)).alias("__first"))
-    ranked = rank_within(first, ["__first", "__producer"], name="__newcomer").select(
+    ranked = measured(rank_within(first, ["__first", "__producer"], name="__newcomer").select(
         F.col("topic").alias("__topic"), F.col("__producer").alias("__name"),
-        (F.col("__newcomer") % width).cast("int").alias(TARGET))
+        (F.col("__newcomer") % width).cast("int").alias(TARGET)))
     match = (named["topic"] == ranked["__topic"]) & named["__producer"].eqNullSafe(ranked["__name"])
     return named.join(ranked, match).drop("__producer", "__topic", "__name")
 

@@ -1,13 +1,15 @@
 """Reading a log again from chosen positions, and keeping only the newest per key.
 
-Start positions are one row per topic partition. They meet the log in an equi-join whose
-small side the adaptive planner broadcasts after it has measured it.
+Start positions are one row per topic partition. They are measured first, so that joining
+them does not shuffle the log.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidelog.session import measured
+
 PLACE = ["topic", "partition"]
 
 
@@ -17,7 +19,7 @@ def _now(as_of) -> Column:
 
 def from_starts(df: DataFrame, starts: DataFrame) -> DataFrame:
     """Records at or after ``start`` of their partition; partitions without one are left out."""
-    begun = df.join(starts.select(*PLACE, "start"), PLACE)
+    begun = df.join(measured(starts.select(*PLACE, "start")), PLACE)
     return begun.filter(F.col("offset") >= F.col("start")).select(*df.columns)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.operators.indexing import rank_within
+from tidelog.session import measured
 
 # Thresholds of the rules.
 POISON_FAILURES = 3
@@ -79,9 +80,9 @@ def failure_flags(failures: DataFrame, threshold: int = POISON_FAILURES,
     by_record = failures.groupBy(*RECORD).agg(
         F.count_if(tracked).alias("failure_count"),
         F.max(F.struct("failed_at", "attempt", F.struct(*failures.columns).alias("row"))).alias("last"))
-    services = service_states(failures.filter(tracked), breaker_threshold).select(
+    services = measured(service_states(failures.filter(tracked), breaker_threshold).select(
         F.col("service_name").alias("__service"), F.col("state").alias("breaker_state"),
-        F.col("failures").alias("breaker_failures"))
+        F.col("failures").alias("breaker_failures")))
     rows = by_record.select("last.row.*", "failure_count",
                             (F.col("failure_count") >= threshold).alias("poison"))
     # most failures name no service: nulls would all go to one task, so they get many names

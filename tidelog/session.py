@@ -33,3 +33,13 @@ def durable(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A result that is expected to be much smaller than its input, written first.
+
+    Before it runs, an aggregate counts as large as its input, and joining it would shuffle
+    the big side. Of a written table the planner knows the true size: it broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides above.
+    """
+    return durable(df)

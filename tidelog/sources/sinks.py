@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog import schema
 from tidelog.operators.indexing import rank_within
+from tidelog.session import measured
 
 PLACE = ["topic", "partition"]
 
@@ -17,7 +18,7 @@ def next_offsets(records: DataFrame, existing: DataFrame | None, order: Sequence
     ranked = rank_within(records, list(order), group=PLACE, name="__rank")
     if existing is None:
         return ranked.withColumn("offset", F.col("__rank")).drop("__rank")
-    ends = existing.groupBy(*PLACE).agg(F.max("offset").alias("__end"))
+    ends = measured(existing.groupBy(*PLACE).agg(F.max("offset").alias("__end")))
     placed = ranked.join(ends, PLACE, "left")
     after = F.coalesce(F.col("__end") + 1, F.lit(0).cast("bigint")) + F.col("__rank")
     return placed.withColumn("offset", after).drop("__rank", "__end")
