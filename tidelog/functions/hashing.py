@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 def string_hash(c: Column) -> Column:
@@ -43,18 +43,21 @@ def murmur2_same_length(rows: np.ndarray) -> np.ndarray:
     return h.view(np.int32)
 
 
-@F.pandas_udf(T.IntegerType())
-def murmur2(keys: pd.Series) -> pd.Series:
-    """Signed murmur2 of the UTF-8 bytes; null stays null. Works per length, in numpy."""
-    encoded = [None if k is None else k.encode("utf-8") for k in keys]
-    lengths = np.array([-1 if b is None else len(b) for b in encoded])
-    out = np.zeros(len(encoded), dtype=np.int32)
+@F.arrow_udf(T.IntegerType())
+def murmur2(keys: pa.Array) -> pa.Array:
+    """Signed murmur2 of the UTF-8 bytes; null stays null. Reads the Arrow buffers as they
+    are and works on all keys of one length at a time, so no key becomes a Python object."""
+    raw = keys.cast(pa.large_binary())
+    _, offset_buffer, data_buffer = raw.buffers()
+    offsets = np.frombuffer(offset_buffer, dtype=np.int64)[raw.offset: raw.offset + len(raw) + 1]
+    data = np.frombuffer(data_buffer or b"", dtype=np.uint8)
+    missing = np.asarray(raw.is_null())
+    lengths = np.where(missing, -1, np.diff(offsets))
+    out = np.zeros(len(raw), dtype=np.int32)
     for length in np.unique(lengths[lengths >= 0]):
         where = np.flatnonzero(lengths == length)
-        joined = b"".join(encoded[i] for i in where)
-        rows = np.frombuffer(joined, dtype=np.uint8).reshape(len(where), int(length))
-        out[where] = murmur2_same_length(rows)
-    return pd.Series(out, dtype="Int32").mask(pd.Series(lengths < 0))
+        out[where] = murmur2_same_length(data[offsets[where][:, None] + np.arange(length)])
+    return pa.array(out, mask=missing)
 
 
 def key_partition(key: Column, partitions: int) -> Column:

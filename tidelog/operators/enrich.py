@@ -107,6 +107,13 @@ def parse_payment(df: DataFrame, name: str = "payment") -> DataFrame:
     return df.withColumn(name, _parsed(F.col("value"), schema.PAYMENT_EVENT))
 
 
+def parse_flat(df: DataFrame, kind: str, name: str = "message") -> DataFrame:
+    """The flat messages that ``order_message`` and its like build: kind order, payment or
+    notification."""
+    layouts = {"order": schema.FLAT_ORDER, "payment": schema.FLAT_PAYMENT, "notification": schema.NOTIFICATION}
+    return df.withColumn(name, _parsed(F.col("value"), layouts[kind]))
+
+
 def parse_generic(df: DataFrame, name: str = "message") -> DataFrame:
     """Message with free-form data and metadata, kept as variants."""
     whole = F.try_parse_json(F.col("value"))

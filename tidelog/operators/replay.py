@@ -6,6 +6,8 @@ them does not shuffle the log.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.session import measured
@@ -84,11 +86,18 @@ def replay_conditional(df: DataFrame, trigger: Column, target: str, value=None)
 def compact_latest(df: DataFrame) -> DataFrame:
     """Newest record of each key; records without key are not compacted away.
 
-    ``max_by`` combines before the shuffle, so a hot key sends one row per task.
+    Only keys, places and times are aggregated (combining before the shuffle, so a hot key
+    sends one row per task); the values of the winners are then picked by their places.
     """
-    newest = df.filter(F.col("key").isNotNull()).groupBy("topic", "key").agg(
-        F.max_by(F.struct(*df.columns), F.struct("timestamp", "partition", "offset")).alias("row"))
-    return newest.select("row.*").unionByName(df.filter(F.col("key").isNull()))
+    return at_places(df.filter(F.col("key").isNotNull()), ["topic", "key"], F.max).unionByName(
+        df.filter(F.col("key").isNull()))
+
+
+def at_places(df: DataFrame, by: list[str], best: Callable[[Column], Column]) -> DataFrame:
+    """The first or last record (``best`` is min or max of time, partition, offset) per group."""
+    winners = df.groupBy(*by).agg(best(F.struct("timestamp", "partition", "offset")).alias("w"))
+    places = measured(winners.select("topic", "w.partition", "w.offset"))
+    return df.join(places, [*PLACE, "offset"], "left_semi").select(*df.columns)
 
 
 def topic_catalog(df: DataFrame) -> DataFrame:

@@ -163,6 +163,16 @@ def parse_payment(t: Tables):
         F.unix_millis(F.col("payment.payment_timestamp").cast("timestamp")).alias("paid_ms"))
 
 
+@query("parse_flat", "", """SELECT o_orderkey AS k, 'ORD-' || o_orderkey AS order_id, 'CUST-' || o_custkey AS customer_id,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderstatus AS status FROM orders""")
+def parse_flat(t: Tables):
+    text = enrich.order_message(F.concat(F.lit("ORD-"), "o_orderkey"), F.concat(F.lit("CUST-"), "o_custkey"),
+                                F.col("o_totalprice"), F.col("o_orderstatus"), F.lit("2024-01-31T00:00:00.000Z"))
+    rows = enrich.parse_flat(t.table("orders").select(F.col("o_orderkey").alias("k"), text.alias("value")), "order")
+    return rows.select("k", F.col("message.orderId").alias("order_id"), F.col("message.customerId").alias("customer_id"),
+                       F.col("message.amount").cast("decimal(18,2)").alias("amount"), "message.status")
+
+
 @query("parse_generic", "", """SELECT event_id AS k, CASE WHEN event_id % 31 <> 0 THEN event_type END AS type,
   CASE WHEN event_id % 31 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS data_k,
   CASE WHEN event_id % 31 <> 0 THEN '1.0' END AS schema_version FROM events""")

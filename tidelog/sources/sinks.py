@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog import schema
 from tidelog.operators.indexing import rank_within
+from tidelog.operators.replay import at_places
 from tidelog.session import measured
 
 PLACE = ["topic", "partition"]
@@ -34,9 +35,7 @@ def batch_records(records: DataFrame, topic: str) -> DataFrame:
 def deduplicated(records: DataFrame, correlation: Column) -> DataFrame:
     """One record per topic and correlation id, the first by position."""
     named = records.withColumn("__id", correlation)
-    first = named.groupBy("topic", "__id").agg(
-        F.min_by(F.struct(*records.columns), F.struct("timestamp", "partition", "offset")).alias("row"))
-    return first.select("row.*")
+    return at_places(named, ["topic", "__id"], F.min).drop("__id")
 
 
 def committed(records: DataFrame, markers: DataFrame) -> DataFrame:
