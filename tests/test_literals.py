@@ -287,6 +287,30 @@ def test_capacity_modes(spark):
     assert still.rate == 0 and still.partitions is None
 
 
+def test_health_forms(spark):
+    rows = [(0, 0.04, 999), (1, 0.05, 10), (2, 0.0, 1000)]
+    df = spark.createDataFrame(rows, "offset int, error_rate double, lag long")
+    assert column(df, process.lag_health(F.col("error_rate"), F.col("lag"))) == [True, False, False]
+    stats = process.stage_health(df, F.col("lag"), F.col("offset") == 2).orderBy("offset").collect()
+    assert [(r.errors_ok, r.backlog_ok, r.breaker_ok, r.healthy) for r in stats] == [
+        (True, False, True, False), (False, True, True, False), (True, False, False, False)]
+    statuses = spark.createDataFrame([(0, s) for s in ["SUCCESS"] * 4 + ["ERROR", "REJECTED"]], "offset int, status string")
+    row = process.processor_stats(statuses).first()
+    assert (row.processed, row.errors, row.rejected, row.error_rate) == (4, 1, 1, 0.25)
+    assert process.processor_stats(statuses.filter("status = 'ERROR'")).first().error_rate == 0.0
+
+
+def test_batch_accepts_nine_of_ten(spark):
+    def batch(topic, bad):
+        return [(topic, None, "RETRY_ERROR PAYMENT_SERVICE_DOWN" if i < bad else "fine") for i in range(10)]
+
+    rows = {}
+    for name, topic, bad in [("one", "orders-topic", 1), ("two", "orders-topic", 2), ("pay", "payments-topic", 9)]:
+        r = process.batch_outcome(process.outcome(log(spark, *batch(topic, bad)))).first()
+        rows[name] = (r.processed, r.accepted, r.size_range)
+    assert rows == {"one": (9, True, "small"), "two": (8, False, "small"), "pay": (10, True, "small")}
+
+
 def test_alert_needs_its_time(spark):
     rows = [("s", NOW + dt.timedelta(minutes=i), 1, v) for i, v in enumerate([9.0, 9.0, 1.0, 9.0, 9.0, 9.0, 9.0])]
     steps = spark.createDataFrame(rows, "s string, step timestamp, n long, total double")

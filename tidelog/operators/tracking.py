@@ -69,6 +69,21 @@ def poison_pills(failures: DataFrame, as_of=None, threshold: int = POISON_FAILUR
         "active", F.col("poison") & (F.col("last_failure") > now - F.expr(f"INTERVAL {cooldown}")))
 
 
+def handler_status(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE, threshold: int = POISON_FAILURES,
+                   breaker_threshold: int = BREAKER_FAILURES) -> DataFrame:
+    """Error handling in one row. Each count is aggregated on its own and the partial results
+    are added up, so nothing has to be joined."""
+    one = F.lit(1).cast("bigint")
+    records = failures.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n")).select(
+        one.alias("tracked_messages"), (F.col("n") >= threshold).cast("bigint").alias("poison_pills"))
+    services = service_states(failures, breaker_threshold).select(
+        one.alias("active_breakers"), (F.col("state") == "OPEN").cast("bigint").alias("breaker_opens"))
+    held = limited_counts(failures, limit).select(F.col("limited").alias("rate_limited"))
+    parts = records.unionByName(services, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
+    names = ["poison_pills", "breaker_opens", "rate_limited", "active_breakers", "tracked_messages"]
+    return parts.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names])
+
+
 def failure_flags(failures: DataFrame, threshold: int = POISON_FAILURES,
                   breaker_threshold: int = BREAKER_FAILURES) -> DataFrame:
     """The last failure of each record with the flags that routing and headers read.

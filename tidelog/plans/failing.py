@@ -376,6 +376,18 @@ def error_patterns(t: Tables):
     return types.unionByName(opens).unionByName(pills).unionByName(limited)
 
 
+@query("error_handler_status", "failures", """SELECT
+  (SELECT count(*) FROM (SELECT 1 FROM failures GROUP BY topic, p, o HAVING count(*) >= 3)) AS poison_pills,
+  (SELECT count(*) FROM (SELECT 1 FROM failures WHERE service_name IS NOT NULL GROUP BY service_name
+    HAVING count(*) >= 5)) AS breaker_opens,
+  (SELECT CAST(sum(n - 2) AS BIGINT) FROM (SELECT count(*) AS n FROM failures
+    GROUP BY topic, date_trunc('minute', failed_at) HAVING count(*) > 2)) AS rate_limited,
+  (SELECT count(DISTINCT service_name) FROM failures) AS active_breakers,
+  (SELECT count(DISTINCT (topic, p, o)) FROM failures) AS tracked_messages""")
+def error_handler_status(t: Tables):
+    return tracking.handler_status(t.failures(), limit=2)
+
+
 # ---- breakers: the SQL walks each key call by call, which is what Spark must not do -----------
 
 def _walk(calls: str, rule: breaker.Breaker) -> str:

@@ -63,6 +63,15 @@ def size_histogram(t: Tables):
     return sizes.size_histogram(t.payloads(), "topic")
 
 
+@query("batch_size_histogram", "sized", """SELECT topic, count(*) FILTER (b <= 10240) AS le_10240,
+  count(*) FILTER (b <= 102400) AS le_102400, count(*) FILTER (b <= 1048576) AS le_1048576,
+  count(*) FILTER (b <= 10485760) AS le_10485760, count(*) AS le_inf
+  FROM (SELECT topic, sum(strlen(value) + 30) + 50 AS b FROM sized GROUP BY topic, p, o // 500) GROUP BY topic""")
+def batch_size_histogram(t: Tables):
+    batches = sizes.batch_sizes(t.payloads())
+    return sizes.size_histogram(batches, "topic", size=F.col("batch_bytes"), bounds=sizes.BATCH_BUCKETS)
+
+
 _SUMMARY = f"""SELECT count(*) AS messages, CAST(sum(size) AS BIGINT) AS total_bytes,
   CAST(sum(size) AS DOUBLE) / count(*) AS average_size, max(size) AS max_size, min(size) AS min_size,
   count(*) FILTER ({_CATEGORY} = 'SMALL') AS small_messages,
