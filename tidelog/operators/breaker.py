@@ -155,11 +155,11 @@ def _replay(rule: Breaker, width: int):
         place, state = None, INITIAL
         for batch in batches:
             admitted, states = [], []
-            for key, chunk, at, ok, kind, count, opened in _runs(
-                    batch, "__key", "__chunk", "__at", "__ok", "__kind", "__count", "__opened"):
+            for i, (key, chunk, at, ok) in enumerate(_runs(batch, "__key", "__chunk", "__at", "__ok")):
                 if (key, chunk) != place:
                     place = (key, chunk)
-                    state = INITIAL if kind is None else (kind, count, opened)
+                    entry = tuple(batch.column(name)[i].as_py() for name, _ in ENTRY)
+                    state = INITIAL if entry[0] is None else entry
                 state, let_through = rule.step(state, at, ok)
                 admitted.append(let_through)
                 states.append(STATE_NAMES[state[0]])
