@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import packing, simhash, token_counts
+from tidelog.llm import language, packing, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,30 @@ def op4(documents):
     return simhash.near_duplicates(documents).drop("fp")
 
 
+OP6_SQL = """
+WITH rows AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT vec_id, len(v) AS dims, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM rows),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM flat q JOIN flat c ON q.d = c.d AND q.dims = c.dims AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 5
+"""
+
+
+@query("op6_topk_search", "embeddings", sql=OP6_SQL)
+def op6(embeddings):
+    return topk.search(embeddings)
+
+
+@query("op9_language_id", "documents")
+def op9(documents):
+    return language.identify(documents)
+
+
 @query("op10_token_counts", "documents")
 def op10(documents):
     return token_counts.token_counts(documents)
