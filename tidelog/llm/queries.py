@@ -40,9 +40,9 @@ def op4(documents):
 
 
 OP6_SQL = """
-WITH rows AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH rows AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 flat AS (SELECT vec_id, len(v) AS dims, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM rows),
 scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM flat q JOIN flat c ON q.d = c.d AND q.dims = c.dims AND q.vec_id <> c.vec_id

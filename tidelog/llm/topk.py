@@ -23,6 +23,10 @@ def integers(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
+def _all(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+
+
 def threshold_search(query: np.ndarray, own, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray,
                      k: int) -> list[tuple[int, int]]:
     """The k best (score, id) of a block, best first, ties to the smaller id.
@@ -81,12 +85,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, ca
     total, asking = rows.agg(F.count(F.lit(1)), F.count_if(asked)).first()
     blocks, lots = max(1, -(-total // candidates)), max(1, -(-asking // queries))
     dims, mixed = F.size("v").alias("dims"), F.xxhash64("vec_id")
-    there = rows.select(F.lit(False).alias("asks"), "vec_id", "v", dims, F.pmod(mixed, F.lit(blocks)).alias("block"),
-                        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).cast("bigint").alias("lot"))
+    there = rows.select(F.lit(False).alias("asks"), "vec_id", "v", dims, F.pmod(mixed, F.lit(blocks).cast("bigint")).alias("block"),
+                        _all(lots).alias("lot"))
     here = rows.filter(asked).select(
         F.lit(True).alias("asks"), "vec_id", "v", dims,
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"),
-        F.pmod(mixed, F.lit(lots)).alias("lot"))
+        _all(blocks).alias("block"),
+        F.pmod(mixed, F.lit(lots).cast("bigint")).alias("lot"))
 
     def run(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
