@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language, packing, simhash, token_counts, topk
+from tidelog.llm import decontaminate, language, packing, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1(documents):
     return packing.pack(documents)
 
 
+@query("op2_decontamination", "documents", "benchmark")
+def op2(documents, benchmark):
+    return decontaminate.find(documents, benchmark)
+
+
 @query("op4_simhash_dedup", "documents")
 def op4(documents):
     return simhash.near_duplicates(documents).drop("fp")
