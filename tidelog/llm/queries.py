@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, language, packing, simhash, token_counts, topk
+from tidelog.llm import decontaminate, language, packing, pii, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op6(embeddings):
     return topk.search(embeddings)
 
 
+@query("op7_pii_pseudonyms", "documents")
+def op7(documents):
+    """With a fixed key, so that results can be compared; a user's key is a secret."""
+    return pii.pseudonyms(documents, b"fixed key of the registered query")
+
+
 @query("op9_language_id", "documents")
 def op9(documents):
     return language.identify(documents)
