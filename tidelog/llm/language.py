@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ SAMPLE_DOCS = 3000
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Distinct words whose code lengths a worker keeps; bounds memory, not results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Bytes of words that are taken apart at once; bounds memory, not results.
+LOT_BYTES = 1 << 18
 
 
 def words(text: str) -> list[bytes]:
@@ -44,16 +47,30 @@ def _windows(some: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.
     return flat[1:], before[1:], depth[1:]
 
 
+def _lots(some: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in order, about LOT_BYTES at a time."""
+    ends = np.cumsum([len(w) + 1 for w in some])
+    cuts = np.searchsorted(ends, np.arange(LOT_BYTES, ends[-1] if some else 0, LOT_BYTES), side="right")
+    for begin, end in pairwise([0, *dict.fromkeys(cuts.tolist()), len(some)]):
+        if begin < end:
+            yield some[begin:end]
+
+
 def context_counts(some: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(depth, context and symbol as one number, count) over words, all depths up to ``order``."""
-    symbol, before, depth = _windows(some, order)
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+    for lot in _lots(some):
+        symbol, before, depth = _windows(lot, order)
+        for k in range(order + 1):
+            there = depth >= k
+            parts[k].append(np.unique((before[there] & ((1 << 8 * k) - 1)) << 8 | symbol[there], return_counts=True))
     levels, keys, counts = [], [], []
-    for k in range(order + 1):
-        there = depth >= k
-        key, n = np.unique((before[there] & ((1 << 8 * k) - 1)) << 8 | symbol[there], return_counts=True)
+    for k, found in enumerate(parts):
+        key, of = np.unique(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), return_inverse=True)
+        n = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
         levels.append(np.full(len(key), k))
         keys.append(key)
-        counts.append(n)
+        counts.append(np.bincount(of, n, len(key)).astype(np.int64))
     return np.concatenate(levels), np.concatenate(keys), np.concatenate(counts)
 
 
@@ -118,7 +135,7 @@ class Scorer:
         new = list({w for some in word_lists for w in some if w not in self.place})
         if new:
             self.place.update(zip(new, range(len(self.costs), len(self.costs) + len(new)), strict=True))
-            parts = [self.model.code_lengths(new[k:k + 20_000]) for k in range(0, len(new), 20_000)]
+            parts = [self.model.code_lengths(lot) for lot in _lots(new)]
             self.costs = np.concatenate([self.costs, *parts])
         out = np.zeros((len(word_lists), len(self.model.languages)))
         for k, some in enumerate(word_lists):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, language, packing, pii, simhash, token_counts, topk
+from tidelog.llm import decontaminate, extract, language, packing, pii, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op7(documents):
     return pii.pseudonyms(documents, b"fixed key of the registered query")
 
 
+@query("op8_html_extraction", "pages")
+def op8(pages):
+    return extract.extract(pages)
+
+
 @query("op9_language_id", "documents")
 def op9(documents):
     return language.identify(documents)
