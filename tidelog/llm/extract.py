@@ -14,7 +14,7 @@ from tidelog.llm.blocks import Block, leaf_blocks
 from tidelog.llm.common import arrays, nonempty, strings
 
 #: Labelled pages that the model is trained on, gradient steps, and weight of the penalty.
-TRAINING_PAGES, STEPS, PENALTY = 300, 60, 0.02
+TRAINING_PAGES, STEPS, PENALTY = 400, 200, 0.02
 
 # Parts of names that tell what an element is for.
 ROLES = {
