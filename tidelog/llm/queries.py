@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import decontaminate, extract, language, packing, pii, simhash, token_counts, topk
+from tidelog.llm import decontaminate, extract, language, line_dedup, packing, pii, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,29 @@ def op4(documents):
     return simhash.near_duplicates(documents).drop("fp")
 
 
+OP5_SQL = """
+WITH lines AS (
+  SELECT d, i - 1 AS line_no, translate(lower(parts[i]), chr(9) || chr(13) || chr(11) || chr(12), '    ') AS line
+  FROM (SELECT d, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id AS d, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+places AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY d, line_no) AS nth FROM lines WHERE trim(line) <> ''),
+sets AS (SELECT d, line_no, list_distinct([w FOR w IN string_split(line, ' ') IF w <> '']) AS words FROM places WHERE nth = 1),
+flat AS (SELECT d, line_no, len(words) AS n, unnest(words) AS w FROM sets),
+df AS (SELECT w, count(*) AS df FROM flat GROUP BY w),
+ranked AS (SELECT f.*, row_number() OVER (PARTITION BY d, line_no ORDER BY df, w) AS place FROM flat f JOIN df USING (w)),
+prefix AS (SELECT * FROM ranked WHERE place <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.d AS a_d, a.line_no AS a_line_no, b.d, b.line_no FROM prefix a JOIN prefix b ON a.w = b.w
+  AND (a.d < b.d OR (a.d = b.d AND a.line_no < b.line_no)) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+matched AS (SELECT DISTINCT p.d, p.line_no FROM pairs p JOIN sets a ON a.d = a_d AND a.line_no = a_line_no
+  JOIN sets b ON b.d = p.d AND b.line_no = p.line_no
+  WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (len(a.words) + len(b.words))),
+gone AS (SELECT d, line_no FROM places WHERE nth > 1 UNION SELECT d, line_no FROM matched),
+by_doc AS (SELECT d, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed FROM gone GROUP BY d)
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n_lines,
+  CAST(coalesce(n, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN by_doc ON d = doc_id
+"""
+
 OP6_SQL = """
 WITH rows AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings
@@ -58,6 +81,13 @@ WHERE rank <= 5
 """
 
 
+@query("op5_line_dedup", "documents", sql=OP5_SQL)
+def op5(documents):
+    report = line_dedup.line_report(documents)
+    return report.select("doc_id", "n_lines", F.size("removed").alias("n_removed"),
+                         F.array_join("removed", ",").alias("removed"))
+
+
 @query("op6_topk_search", "embeddings", sql=OP6_SQL)
 def op6(embeddings):
     return topk.search(embeddings)
