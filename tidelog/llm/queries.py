@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import decontaminate, extract, language, line_dedup, packing, pii, simhash, token_counts, topk
+from tidelog.llm import decontaminate, extract, language, line_dedup, mixing, packing, pii, simhash, token_counts, topk
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2(documents, benchmark):
     return decontaminate.find(documents, benchmark)
 
 
+@query("op3_context_mixing", "documents")
+def op3(documents):
+    return mixing.score(documents)
+
+
 @query("op4_simhash_dedup", "documents")
 def op4(documents):
     return simhash.near_duplicates(documents).drop("fp")
