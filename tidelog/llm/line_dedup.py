@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.session import durable
@@ -30,56 +34,67 @@ def _clean(text: Column) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(d, line_no, line): lines with at least one word, cleaned."""
-    return rows.select("d", F.posexplode(F.split(_clean(F.col("text")), "\n")).alias("line_no", "line")).filter(
-        F.trim("line") != "")
+    """(d, line_no, line): lines with at least one word, cleaned, one blank between words."""
+    line = F.trim("line")
+    single = F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+    return rows.select("d", F.posexplode(F.split(_clean(F.col("text")), "\n")).alias("line_no", "line")).select(
+        "d", "line_no", single.alias("line")).filter("line <> ''")
 
 
-def _words(line: str) -> str:
-    """SQL: hashes of the different words of a line."""
-    return f"array_distinct(transform(filter(split({line}, ' '), w -> w <> ''), w -> xxhash64(w)))"
+def _by_bucket(counts: DataFrame) -> DataFrame:
+    """Numbers by bucket as one row with an array of fixed length."""
+    none = counts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
+    whole = counts.union(none).groupBy("bucket").agg(F.sum("n").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("bucket", F.least("n", F.lit((1 << 20) - 1)).cast("int").alias("n"))))
+    return whole.agg(F.transform(listed, lambda x: x["n"]).alias("counts"))
 
 
-def _flags(hashes: DataFrame, name: str) -> Column:
-    """A table of bits that says, for a hash, whether it may be among these: of fixed size."""
-    places = hashes.select(F.shiftrightunsigned(name, 64 - BUCKET_BITS).alias("bucket"))
-    return _table(places.groupBy("bucket").agg(F.lit(1).cast("bigint").alias("n")))
+def _bucket(of_hash: Column) -> Column:
+    return F.shiftrightunsigned(of_hash, 64 - BUCKET_BITS)
 
 
-def _table(counts: DataFrame) -> Column:
-    """Numbers by bucket as one array of fixed length, read by the planner before the rest runs."""
-    none = counts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    whole = counts.union(none).groupBy("bucket").agg(F.sum("n").alias("n"))
-    listed = F.sort_array(F.collect_list(F.struct("bucket", F.least("n", F.lit((1 << 20) - 1)).cast("int").alias("n"))))
-    return whole.agg(F.transform(listed, lambda x: x["n"]).alias("counts")).scalar()
+@contextmanager
+def _variable(counts: DataFrame) -> Iterator[str]:
+    """The table as a variable of the session: functions of arrays can look into it without a copy
+    of it in every row."""
+    spark, name = counts.sparkSession, f"line_dedup_{uuid.uuid4().hex}"
+    counts.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<INT>")
+    spark.sql(f"SET VAR {name} = (SELECT counts FROM {name})")
+    spark.catalog.dropTempView(name)
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
 
 
-def word_counts(rows: DataFrame) -> Column:
+def word_counts(rows: DataFrame) -> DataFrame:
     """How often the words of each bucket occur, over all lines of all documents."""
     every = rows.select(F.explode(F.split(F.replace(_clean(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS)
-    return _table(every.filter("w <> ''").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    return _by_bucket(every.filter("w <> ''").groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")))
 
 
 def line_sets(rows: DataFrame) -> DataFrame:
-    """One row per different line: where it first stands (d, line_no), the number of its words, 64
-    bits of its words, and its prefix.
+    """One row per different line, written: where it first stands (d, line_no), the number of its words,
+    64 bits of its words, and its prefix.
 
     The words of a line are ordered by rarity: by the count of their bucket, then by hash. Lines that match
     share one of the first n - ceil(0.8 n) + 1 words of each.
     """
     hashed = _lines(rows).select(
         "d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
-        F.expr(_words("line")).alias("words"))
-    order = (f"slice(sort_array(transform(words, h -> shiftleft(cast(t[cast(shiftrightunsigned(h, {64 - BUCKET_BITS})"
-             f" as int)] as bigint), 43) | shiftrightunsigned(h, 21))), 1, size(words) - (4 * size(words) + 4) div 5 + 1)")
-    ordered = hashed.withColumn("tables", F.array(word_counts(rows))).select(
-        "h1", "h2", "d", "line_no", F.size("words").alias("n"),
-        F.expr("aggregate(words, 0L, (b, h) -> b | shiftleft(1L, cast(h & 63 as int)))").alias("bits"),
-        F.expr(f"transform(tables, t -> {order})[0]").alias("prefix"))
-    return ordered.groupBy("h1", "h2").agg(
-        F.min(F.struct("d", "line_no")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"),
-        F.first("prefix").alias("prefix")).select("at.d", "at.line_no", "n", "bits", "prefix")
+        F.expr("array_distinct(transform(split(line, ' '), w -> xxhash64(w)))").alias("words"))
+    with _variable(word_counts(rows)) as table:
+        ordered = hashed.select(
+            "h1", "h2", "d", "line_no", F.size("words").alias("n"),
+            F.expr("aggregate(words, 0L, (b, h) -> b | shiftleft(1L, cast(h & 63 as int)))").alias("bits"),
+            F.expr(f"slice(sort_array(transform(words, h -> shiftleft(cast({table}[cast(shiftrightunsigned(h, "
+                   f"{64 - BUCKET_BITS}) as int)] as bigint), 43) | shiftrightunsigned(h, 21))), 1, "
+                   "size(words) - (4 * size(words) + 4) div 5 + 1)").alias("prefix"))
+        return durable(ordered.groupBy("h1", "h2").agg(
+            F.min(F.struct("d", "line_no")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            F.first("prefix").alias("prefix")).select("at.d", "at.line_no", "n", "bits", "prefix"))
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
@@ -96,11 +111,12 @@ def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(d, line_no) of lines that match an earlier line, by their words."""
-    ends = pairs.select("d", "line_no").union(pairs.select("a_d", "a_line_no")).select(F.xxhash64("d", "line_no").alias("at"))
-    needed = _lines(rows).filter(F.get(_flags(ends, "at"), F.shiftrightunsigned(
-        F.xxhash64("d", "line_no"), 64 - BUCKET_BITS).cast("int")) > 0).select(
-        "d", "line_no", F.expr("array_distinct(filter(split(line, ' '), w -> w <> ''))").alias("words"))
+    """(d, line_no) of lines that match an earlier line, by their words. Lines are read again; a table of
+    bits of fixed size passes over most that are in no pair before they are moved."""
+    ends = pairs.select("d", "line_no").union(pairs.select("a_d", "a_line_no")).select(
+        _bucket(F.xxhash64("d", "line_no")).alias("bucket")).distinct().withColumn("n", F.lit(1).cast("bigint"))
+    needed = _lines(rows).filter(F.get(_by_bucket(ends).scalar(), _bucket(F.xxhash64("d", "line_no")).cast("int")) > 0)
+    needed = needed.select("d", "line_no", F.array_distinct(F.split("line", " ")).alias("words"))
     other = needed.select(F.col("d").alias("a_d"), F.col("line_no").alias("a_line_no"), F.col("words").alias("a_words"))
     common = F.size(F.array_intersect("words", "a_words"))
     return pairs.join(needed, ["d", "line_no"]).join(other, ["a_d", "a_line_no"]).filter(
@@ -115,13 +131,20 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     documents share. Only the lines that are still undecided are compared with whole long lists.
     """
     rows = _with_ids(docs)
-    sets = durable(line_sets(rows))
-    entries = sets.select("d", "line_no", "n", "bits", F.posexplode("prefix").alias("place", "word"))
-    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no")))
-    first = durable(_candidates(ranked.filter(F.col("rank") <= pivots), entries))
-    found = durable(_verified(first, rows))
-    long = durable(ranked.filter(F.col("rank") == pivots + 2).select("word"))
-    within = entries.join(long, "word", "left_semi")
+    sets = line_sets(rows)
+    listed = sets.select("d", "line_no", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    entries = listed.repartition("word")  # once for the ranks and both sides of the join
+    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no"))).filter(
+        F.col("rank") <= pivots + 2)
+    none = F.lit(None).cast("bigint")
+    pairs = _candidates(ranked.filter(F.col("rank") <= pivots), entries).withColumn("long", none)
+    long = ranked.filter(F.col("rank") == pivots + 2).select(
+        none.alias("a_d"), none.cast("int").alias("a_line_no"), none.alias("d"), none.cast("int").alias("line_no"),
+        F.col("word").alias("long"))
+    first = durable(pairs.union(long))
+    found = durable(_verified(first.filter("long is null").drop("long"), rows))
+    words = durable(first.filter("long is not null").select(F.col("long").alias("word")))
+    within = listed.join(words, "word", "left_semi")
     undecided = within.join(found, ["d", "line_no"], "left_anti")
     second = durable(_candidates(within, undecided))
     return sets, durable(found.union(_verified(second, rows)).distinct())
