@@ -82,32 +82,35 @@ def line_sets(rows: DataFrame) -> DataFrame:
     The words of a line are ordered by rarity: by the count of their bucket, then by hash. Lines that match
     share one of the first n - ceil(0.8 n) + 1 words of each.
     """
-    hashed = _lines(rows).select(
-        "d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
-        F.expr("array_distinct(transform(split(line, ' '), w -> xxhash64(w)))").alias("words"))
     with _variable(word_counts(rows)) as table:
+        place = f"cast({table}[cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) as int)] as bigint)"
+        hashed = _lines(rows).select(
+            "d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
+            F.expr(f"sort_array(array_distinct(transform(split(line, ' '), w -> shiftleft({place}, 43) | "
+                   "shiftrightunsigned(xxhash64(w), 21))))").alias("words"))
         ordered = hashed.select(
             "h1", "h2", "d", "line_no", F.size("words").alias("n"),
             F.expr("aggregate(words, 0L, (b, h) -> b | shiftleft(1L, cast(h & 63 as int)))").alias("bits"),
-            F.expr(f"slice(sort_array(transform(words, h -> shiftleft(cast({table}[cast(shiftrightunsigned(h, "
-                   f"{64 - BUCKET_BITS}) as int)] as bigint), 43) | shiftrightunsigned(h, 21))), 1, "
-                   "size(words) - (4 * size(words) + 4) div 5 + 1)").alias("prefix"))
+            F.expr("slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)").alias("prefix"))
         return durable(ordered.groupBy("h1", "h2").agg(
             F.min(F.struct("d", "line_no")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"),
             F.first("prefix").alias("prefix")).select("at.d", "at.line_no", "n", "bits", "prefix"))
 
 
-def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs that share a prefix word and pass the filters: order, length, position, and bits (words
-    of one line alone set at most as many different bits)."""
-    a = earlier.select("word", *[F.col(c).alias(f"a_{c}") for c in ("d", "line_no", "n", "bits", "place")])
-    both = later.join(a, "word").filter(
-        ((F.col("a_d") < F.col("d")) | ((F.col("a_d") == F.col("d")) & (F.col("a_line_no") < F.col("line_no"))))
-        & (F.least("a_n", "n") * 5 >= F.greatest("a_n", "n") * 4)
-        & (F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) * DENOMINATOR
-           >= (F.col("a_n") + F.col("n")) * NUMERATOR)
-        & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))) * DENOMINATOR <= F.col("a_n") + F.col("n")))
-    return both.select("a_d", "a_line_no", "d", "line_no").distinct()
+def _may_match() -> Column:
+    """Order, length, position and bits: words of one line alone set at most as many different bits."""
+    return (((F.col("a_d") < F.col("d")) | ((F.col("a_d") == F.col("d")) & (F.col("a_line_no") < F.col("line_no"))))
+            & (F.least("a_n", "n") * 5 >= F.greatest("a_n", "n") * 4)
+            & (F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) * DENOMINATOR
+               >= (F.col("a_n") + F.col("n")) * NUMERATOR)
+            & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))) * DENOMINATOR <= F.col("a_n") + F.col("n")))
+
+
+def _earlier(entries: DataFrame) -> DataFrame:
+    return entries.withColumnsRenamed({c: f"a_{c}" for c in ("d", "line_no", "n", "bits", "place")})
+
+
+PAIR = ["a_d", "a_line_no", "d", "line_no"]
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -136,17 +139,16 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     entries = listed.repartition("word")  # once for the ranks and both sides of the join
     ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no"))).filter(
         F.col("rank") <= pivots + 2)
-    none = F.lit(None).cast("bigint")
-    pairs = _candidates(ranked.filter(F.col("rank") <= pivots), entries).withColumn("long", none)
-    long = ranked.filter(F.col("rank") == pivots + 2).select(
-        none.alias("a_d"), none.cast("int").alias("a_line_no"), none.alias("d"), none.cast("int").alias("line_no"),
-        F.col("word").alias("long"))
-    first = durable(pairs.union(long))
+    itself = (F.col("a_d") == F.col("d")) & (F.col("a_line_no") == F.col("line_no"))
+    over = F.col("rank") == pivots + 2  # its list is long: it is noted once, by the line of this rank itself
+    first = durable(entries.join(_earlier(ranked), "word").filter(
+        ((F.col("rank") <= pivots) & _may_match()) | (over & itself)).select(
+        *PAIR, F.when(over, F.col("word")).alias("long")).distinct())
     found = durable(_verified(first.filter("long is null").drop("long"), rows))
     words = durable(first.filter("long is not null").select(F.col("long").alias("word")))
     within = listed.join(words, "word", "left_semi")
     undecided = within.join(found, ["d", "line_no"], "left_anti")
-    second = durable(_candidates(within, undecided))
+    second = durable(undecided.join(_earlier(within), "word").filter(_may_match()).select(*PAIR).distinct())
     return sets, durable(found.union(_verified(second, rows)).distinct())
 
 
