@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidelog.session import durable
+
 #: Rows that Spark hands to a Python worker at once. Whole texts travel, so the default of
 #: 10,000 rows would let a batch of long documents outgrow a worker.
 ROWS_PER_BATCH = 1000
@@ -16,6 +19,19 @@ ROWS_PER_BATCH = 1000
 WORD_SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``durable(df)``, after which the shuffle files of the steps behind it are let go.
+
+    Spark deletes them when the driver collects its garbage, which may not happen for long; until then
+    all steps of an operator would lie on the executors' disks together.
+    """
+    out = durable(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

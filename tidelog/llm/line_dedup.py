@@ -8,13 +8,15 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.session import durable
+from tidelog.llm.common import written
 
 #: Buckets of the table of word counts that orders words by rarity: its size has a bound whatever
 #: the vocabulary. Words that share a bucket only make the order less sharp, not the join inexact.
 BUCKET_BITS = 20
+#: Bits of the tables that tell which lines are needed.
+FLAG_BITS = 23
 #: Lines of a word's list that all others of the list are compared with first.
-PIVOTS = 16
+PIVOTS = 32
 # Two lines match if their common words are at least 4/9 of both lines' words: Jaccard 0.8.
 NUMERATOR, DENOMINATOR = 4, 9
 
@@ -77,7 +79,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def line_sets(rows: DataFrame) -> DataFrame:
     """One row per different line, written: where it first stands (d, line_no), the number of its words,
-    64 bits of its words, and its prefix.
+    128 bits of its words, and its prefix. A bit is the parity of the words that fall on it, so two lines
+    differ in no more bits than in words.
 
     The words of a line are ordered by rarity: by the count of their bucket, then by hash. Lines that match
     share one of the first n - ceil(0.8 n) + 1 words of each.
@@ -90,36 +93,57 @@ def line_sets(rows: DataFrame) -> DataFrame:
                    "shiftrightunsigned(xxhash64(w), 21))))").alias("words"))
         ordered = hashed.select(
             "h1", "h2", "d", "line_no", F.size("words").alias("n"),
-            F.expr("aggregate(words, 0L, (b, h) -> b | shiftleft(1L, cast(h & 63 as int)))").alias("bits"),
+            *[F.expr(f"aggregate(words, 0L, (b, h) -> b ^ if(h & 64 = {64 * k}, shiftleft(1L, cast(h & 63 as int)), 0L))")
+              .alias(f"bits{k}") for k in (0, 1)],
             F.expr("slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)").alias("prefix"))
-        return durable(ordered.groupBy("h1", "h2").agg(
-            F.min(F.struct("d", "line_no")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"),
-            F.first("prefix").alias("prefix")).select("at.d", "at.line_no", "n", "bits", "prefix"))
+        return written(ordered.groupBy("h1", "h2").agg(
+            F.min(F.struct("d", "line_no")).alias("at"), *[F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")]).select(
+            "at.d", "at.line_no", "n", "bits0", "bits1", "prefix"))
 
 
 def _may_match() -> Column:
-    """Order, length, position and bits: words of one line alone set at most as many different bits."""
+    """Order, length, position and bits: matching lines differ in at most a ninth of both lines' words."""
     return (((F.col("a_d") < F.col("d")) | ((F.col("a_d") == F.col("d")) & (F.col("a_line_no") < F.col("line_no"))))
             & (F.least("a_n", "n") * 5 >= F.greatest("a_n", "n") * 4)
             & (F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) * DENOMINATOR
                >= (F.col("a_n") + F.col("n")) * NUMERATOR)
-            & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))) * DENOMINATOR <= F.col("a_n") + F.col("n")))
+            & ((F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("bits0"))) + F.bit_count(F.col("a_bits1").bitwiseXOR(
+                F.col("bits1")))) * DENOMINATOR <= F.col("a_n") + F.col("n")))
 
 
 def _earlier(entries: DataFrame) -> DataFrame:
-    return entries.withColumnsRenamed({c: f"a_{c}" for c in ("d", "line_no", "n", "bits", "place")})
+    return entries.withColumnsRenamed({c: f"a_{c}" for c in ("d", "line_no", "n", "bits0", "bits1", "place")})
 
 
 PAIR = ["a_d", "a_line_no", "d", "line_no"]
 
 
+def _bits(hashes: DataFrame) -> Column:
+    """A table of 2^FLAG_BITS bits of the hashes in ``at``, as an array of numbers of 64 bits each."""
+    place = F.shiftrightunsigned("at", 64 - FLAG_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(at, {64 - FLAG_BITS}) & 63 as int))")
+    set_ = hashes.select(F.shiftrightunsigned(place, 6).alias("word"), bit.alias("bits"))
+    none = hashes.sparkSession.range(1 << (FLAG_BITS - 6)).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    whole = set_.union(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return whole.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")).scalar()
+
+
+def _among(table: Column, hashed: Column) -> Column:
+    """Whether the hash may be among those of the table; always true if it is."""
+    place = F.shiftrightunsigned(hashed, 64 - FLAG_BITS)
+    word = F.get(table, F.shiftrightunsigned(hashed, 64 - FLAG_BITS + 6).cast("int"))
+    return F.call_function("getbit", word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(d, line_no) of lines that match an earlier line, by their words. Lines are read again; a table of
-    bits of fixed size passes over most that are in no pair before they are moved."""
-    ends = pairs.select("d", "line_no").union(pairs.select("a_d", "a_line_no")).select(
-        _bucket(F.xxhash64("d", "line_no")).alias("bucket")).distinct().withColumn("n", F.lit(1).cast("bigint"))
-    needed = _lines(rows).filter(F.get(_by_bucket(ends).scalar(), _bucket(F.xxhash64("d", "line_no")).cast("int")) > 0)
-    needed = needed.select("d", "line_no", F.array_distinct(F.split("line", " ")).alias("words"))
+    """(d, line_no) of lines that match an earlier line, by their words. Texts are read again; tables of
+    bits of fixed size pass over most documents and lines that are in no pair."""
+    ends = pairs.select("d", "line_no").union(pairs.select("a_d", "a_line_no"))
+    own, line = F.xxhash64("d"), F.xxhash64("d", "line_no")
+    needed = _lines(rows.filter(_among(_bits(ends.select(own.alias("at"))), own))).filter(
+        _among(_bits(ends.select(line.alias("at"))), line)).select(
+        "d", "line_no", F.array_distinct(F.split("line", " ")).alias("words"))
     other = needed.select(F.col("d").alias("a_d"), F.col("line_no").alias("a_line_no"), F.col("words").alias("a_words"))
     common = F.size(F.array_intersect("words", "a_words"))
     return pairs.join(needed, ["d", "line_no"]).join(other, ["a_d", "a_line_no"]).filter(
@@ -135,21 +159,21 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     """
     rows = _with_ids(docs)
     sets = line_sets(rows)
-    listed = sets.select("d", "line_no", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    listed = sets.select("d", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "word"))
     entries = listed.repartition("word")  # once for the ranks and both sides of the join
     ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no"))).filter(
         F.col("rank") <= pivots + 2)
     itself = (F.col("a_d") == F.col("d")) & (F.col("a_line_no") == F.col("line_no"))
     over = F.col("rank") == pivots + 2  # its list is long: it is noted once, by the line of this rank itself
-    first = durable(entries.join(_earlier(ranked), "word").filter(
+    first = written(entries.join(_earlier(ranked), "word").filter(
         ((F.col("rank") <= pivots) & _may_match()) | (over & itself)).select(
         *PAIR, F.when(over, F.col("word")).alias("long")).distinct())
-    found = durable(_verified(first.filter("long is null").drop("long"), rows))
-    words = durable(first.filter("long is not null").select(F.col("long").alias("word")))
+    found = written(_verified(first.filter("long is null").drop("long"), rows))
+    words = written(first.filter("long is not null").select(F.col("long").alias("word")))
     within = listed.join(words, "word", "left_semi")
     undecided = within.join(found, ["d", "line_no"], "left_anti")
-    second = durable(undecided.join(_earlier(within), "word").filter(_may_match()).select(*PAIR).distinct())
-    return sets, durable(found.union(_verified(second, rows)).distinct())
+    second = written(undecided.join(_earlier(within), "word").filter(_may_match()).select(*PAIR).distinct())
+    return sets, written(found.union(_verified(second, rows)).distinct())
 
 
 def removed_lines(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
