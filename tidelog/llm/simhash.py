@@ -7,9 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.llm.common import arrays, nonempty, strings, words_of
+from tidelog.llm.common import arrays, nonempty, strings, words_of, written
 from tidelog.llm.components import components
-from tidelog.session import durable
 
 #: Two segments of 32 bits: fingerprints that differ in at most 2 or 3 bits differ in at most one
 #: bit in one of them, so balls of radius 1 around each segment find every link.
@@ -84,7 +83,7 @@ def links(prints: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFra
         ball = prints.select("fp", _flips(F.col("fp"), k * SEGMENT_BITS, (k + 1) * SEGMENT_BITS).alias("near"))
         asked.append(ball.select(F.lit(k).alias("segment"), _segment(k, F.col("near")).alias("value"), "fp"))
     entry, ask, key = entries[0].union(entries[1]), asked[0].union(asked[1]), ["segment", "value"]
-    sizes = durable(entry.groupBy(*key).agg(F.count(F.lit(1)).alias("members")))
+    sizes = written(entry.groupBy(*key).agg(F.count(F.lit(1)).alias("members")))
     full = sizes.filter(F.col("members") > crowded).select(*key)
     # only a table value that exists can be fetched; each fetched entry says whether it is crowded
     held = entry.join(sizes, key).select(*key, F.col("fp").alias("found"), (F.col("members") > crowded).alias("full"))
@@ -116,9 +115,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, crowded: in
     any others. Null ids stay null and are passed over as component ids if there is another;
     equal rows come out once each; an empty table gives no rows; other columns are not read.
     """
-    prints = durable(fingerprints(docs, size))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = durable(components(links(distinct.select("fp"), radius, crowded), "a", "b"))
+    prints = written(fingerprints(docs, size))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = written(components(links(distinct.select("fp"), radius, crowded), "a", "b"))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -131,5 +130,5 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """The documents that are the first of their component, with all their columns. Documents
     with a null id are kept."""
     found = near_duplicates(docs, size, radius)
-    later = durable(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    later = written(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(later, "doc_id", "left_anti")
