@@ -16,7 +16,7 @@ BUCKET_BITS = 20
 #: Bits of the tables that tell which lines are needed.
 FLAG_BITS = 23
 #: Lines of a word's list that all others of the list are compared with first.
-PIVOTS = 32
+PIVOTS = 64
 # Two lines match if their common words are at least 4/9 of both lines' words: Jaccard 0.8.
 NUMERATOR, DENOMINATOR = 4, 9
 
@@ -93,8 +93,8 @@ def line_sets(rows: DataFrame) -> DataFrame:
                    "shiftrightunsigned(xxhash64(w), 21))))").alias("words"))
         ordered = hashed.select(
             "h1", "h2", "d", "line_no", F.size("words").alias("n"),
-            *[F.expr(f"aggregate(words, 0L, (b, h) -> b ^ if(h & 64 = {64 * k}, shiftleft(1L, cast(h & 63 as int)), 0L))")
-              .alias(f"bits{k}") for k in (0, 1)],
+            F.expr("aggregate(words, 0L, (b, h) -> b ^ shiftleft(1L, cast(h & 63 as int)))").alias("bits0"),
+            F.expr("aggregate(words, 0L, (b, h) -> b ^ shiftleft(shiftright(h, 6) & 1L, cast(h & 63 as int)))").alias("bits1"),
             F.expr("slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)").alias("prefix"))
         return written(ordered.groupBy("h1", "h2").agg(
             F.min(F.struct("d", "line_no")).alias("at"), *[F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")]).select(
@@ -103,12 +103,13 @@ def line_sets(rows: DataFrame) -> DataFrame:
 
 def _may_match() -> Column:
     """Order, length, position and bits: matching lines differ in at most a ninth of both lines' words."""
+    # bits0 has the parity of all words that fall on a bit, bits1 of every second one of them
+    all_bits, odd_bits = (F.col(f"a_bits{k}").bitwiseXOR(F.col(f"bits{k}")) for k in (0, 1))
     return (((F.col("a_d") < F.col("d")) | ((F.col("a_d") == F.col("d")) & (F.col("a_line_no") < F.col("line_no"))))
             & (F.least("a_n", "n") * 5 >= F.greatest("a_n", "n") * 4)
             & (F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) * DENOMINATOR
                >= (F.col("a_n") + F.col("n")) * NUMERATOR)
-            & ((F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("bits0"))) + F.bit_count(F.col("a_bits1").bitwiseXOR(
-                F.col("bits1")))) * DENOMINATOR <= F.col("a_n") + F.col("n")))
+            & ((F.bit_count(all_bits.bitwiseXOR(odd_bits)) + F.bit_count(odd_bits)) * DENOMINATOR <= F.col("a_n") + F.col("n")))
 
 
 def _earlier(entries: DataFrame) -> DataFrame:
@@ -155,24 +156,21 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
 
     A word's list is first compared with its ``pivots`` earliest lines, which decides short lists
     altogether and most lines of long ones, such as the variants of a passage that thousands of
-    documents share. Only the lines that are still undecided are compared with whole long lists.
+    documents share. Only the lines that are still undecided are compared with the rest of long lists.
     """
     rows = _with_ids(docs)
     sets = line_sets(rows)
     listed = sets.select("d", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "word"))
     entries = listed.repartition("word")  # once for the ranks and both sides of the join
-    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no"))).filter(
-        F.col("rank") <= pivots + 2)
-    itself = (F.col("a_d") == F.col("d")) & (F.col("a_line_no") == F.col("line_no"))
-    over = F.col("rank") == pivots + 2  # its list is long: it is noted once, by the line of this rank itself
-    first = written(entries.join(_earlier(ranked), "word").filter(
-        ((F.col("rank") <= pivots) & _may_match()) | (over & itself)).select(
-        *PAIR, F.when(over, F.col("word")).alias("long")).distinct())
-    found = written(_verified(first.filter("long is null").drop("long"), rows))
-    words = written(first.filter("long is not null").select(F.col("long").alias("word")))
-    within = listed.join(words, "word", "left_semi")
-    undecided = within.join(found, ["d", "line_no"], "left_anti")
-    second = written(undecided.join(_earlier(within), "word").filter(_may_match()).select(*PAIR).distinct())
+    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no")))
+    early = _earlier(ranked.filter(F.col("rank") <= pivots).drop("rank"))
+    pairs = entries.join(early, "word").filter(_may_match()).select(*PAIR).distinct()
+    late = ranked.filter(F.col("rank") > pivots).drop("rank")
+    first = written(pairs.unionByName(late, allowMissingColumns=True))
+    found = written(_verified(first.filter("word is null").select(*PAIR), rows))
+    late = first.filter("word is not null").drop("a_d", "a_line_no")
+    undecided = late.join(found, ["d", "line_no"], "left_anti")
+    second = written(undecided.join(_earlier(late), "word").filter(_may_match()).select(*PAIR).distinct())
     return sets, written(found.union(_verified(second, rows)).distinct())
 
 
