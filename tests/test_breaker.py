@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.breaker import INITIAL, STATE_NAMES, Breaker, circuit_breaker
+from tidelog.operators.breaker import INITIAL, STATE_NAMES, Breaker, circuit_breaker, gated_outcome
 
 
 def fold(rule, events):
@@ -61,3 +61,16 @@ def test_states_step_by_step():
     assert fold(rule, events) == [
         (True, "CLOSED"), (True, "CLOSED"), (True, "CLOSED"), (True, "OPEN"), (False, "OPEN"),
         (True, "HALF_OPEN"), (True, "CLOSED"), (True, "CLOSED")]
+
+
+def test_null_and_empty_keys_are_two(spark):
+    rows = spark.createDataFrame([(None, 1, False), ("", 2, False), ("-", 3, False)], "key string, seq long, ok boolean")
+    done = circuit_breaker(rows.withColumn("ts", F.timestamp_seconds("seq")), Breaker(failures=2))
+    assert [r.state for r in done.collect()] == ["CLOSED"] * 3
+
+
+def test_recoverable_errors_are_not_acknowledged(spark):
+    rows = [(True, True, False), (True, False, False), (True, False, True), (False, False, True)]
+    done = spark.createDataFrame(rows, "admitted boolean, ok boolean, recoverable boolean")
+    assert [(r.status, r.acked) for r in gated_outcome(done).collect()] == [
+        ("SUCCESS", True), ("ERROR", True), ("ERROR", False), ("REJECTED", True)]

@@ -172,6 +172,9 @@ def test_least_loaded_against_a_plain_loop(spark):
         now[best] += 1
         want.append(best)
     assert column(partitioners.part_load_aware(df, 5, loads, threshold), F.col("target_partition")) == want
+    both = log(spark, *[("a", None, "v"), ("b", None, "v")] * 6)
+    placed = partitioners.part_load_aware(both, 3).orderBy("topic", "offset").collect()
+    assert [r.target_partition for r in placed] == [0, 1, 2, 0, 1, 2] * 2
 
 
 def owners(spark, *rows):
@@ -246,6 +249,10 @@ def test_retry_delays(spark):
     assert [(r.retry, r.delay_ms) for r in plan] == [(1, 1000), (2, 2000), (3, 4000)]
     moved = errors.retry_schedule(failures, "fixed", jitter_key=F.col("offset")).collect()
     assert len(moved) == 3 and all(4500 <= r.delay_ms <= 5500 for r in moved)
+    began, waits = int(NOW.replace(tzinfo=dt.timezone.utc).timestamp() * 1000), [r.delay_ms for r in sorted(moved, key=lambda r: r.retry)]
+    assert [r.due_ms - began for r in sorted(moved, key=lambda r: r.retry)] == [sum(waits[:k]) for k in (1, 2, 3)]
+    many = spark.createDataFrame([(f"t{k}", 5000) for k in range(12)], "topic string, messages long")
+    assert deadletter.problem_topics(many).count() == 10 and deadletter.problem_topics(many, n=None).count() == 12
     assert failures.orderBy("offset").select(errors.log_map()).first()[0]["errorCode"] == "UNKNOWN"
 
 
@@ -314,10 +321,27 @@ def test_batch_accepts_nine_of_ten(spark):
 def test_alert_needs_its_time(spark):
     rows = [("s", NOW + dt.timedelta(minutes=i), 1, v) for i, v in enumerate([9.0, 9.0, 1.0, 9.0, 9.0, 9.0, 9.0])]
     steps = spark.createDataFrame(rows, "s string, step timestamp, n long, total double")
-    found = series.alert_for(steps, "s", F.col("total") > 5, "3 minutes").collect()
+    found = series.alert_for(steps, "s", F.col("total") > 5, "3 minutes", "1 minute").collect()
     assert [(r.since, r.steps) for r in found] == [(NOW + dt.timedelta(minutes=3), 4)]
 
 
+def test_alert_ends_where_samples_are_missing(spark):
+    minutes = [0, 1, 60, 61, 62, 63]
+    rows = [("s", NOW + dt.timedelta(minutes=m), 2, 9.0) for m in minutes]
+    steps = spark.createDataFrame(rows, "s string, step timestamp, n long, total double")
+    found = series.alert_for(steps, "s", F.col("total") > 5, "3 minutes", "1 minute").collect()
+    assert [(r.since, r.steps) for r in found] == [(NOW + dt.timedelta(minutes=60), 4)]
+    every = series.with_all_steps(steps, "s", "1 minute")
+    assert [r.n for r in every.orderBy("step").collect()] == [2, 2, *[0] * 58, 2, 2, 2, 2]
+    rates = {r.step: r.rate for r in series.rate_over(every, "s", 180, 60).collect()}
+    assert rates[NOW + dt.timedelta(minutes=3)] == 2 / 180 and rates[NOW + dt.timedelta(minutes=30)] == 0
+    grown = series.increase_over(every, "s", 120, 60).agg(F.max("increase")).first()[0]
+    assert grown == 4
+    ratio = series.ratio_of(steps.filter("minute(step) = 1"), every, "s").filter("ratio is not null")
+    assert sorted(r.ratio for r in ratio.collect()) == [0, 0, 0, 0, 0.5, 1] or sorted(
+        r.ratio for r in ratio.collect()) == [0, 0, 0, 0, 1, 1]
+
+
 def test_replay_targets(spark):
     df = log(spark, *[("t", None, "stop" if i == 5 else "v") for i in range(10)]).withColumn(
         "timestamp", F.col("timestamp") + F.make_dt_interval(secs=F.col("offset")))
@@ -339,6 +363,9 @@ def test_limited_failures_are_not_tracked(spark):
     flags = {r.offset: (r.failure_count, r.poison, r.breaker_state, r.breaker_failures, r.attempt)
              for r in tracking.failure_flags(failures, breaker_threshold=3).collect()}
     assert flags == {0: (3, True, "OPEN", 3, 3), 1: (3, True, None, None, 3)}
+    eight = spark.createDataFrame([failure(o, 1, at=o) for o in range(8)], schema.FAILURES)
+    states = [(r.breaker_state, r.breaker_failures) for r in tracking.failure_flags(eight).orderBy("offset").collect()]
+    assert states == [("CLOSED", n) for n in range(1, 5)] + [("OPEN", n) for n in range(5, 9)]
     limited = tracking.rate_limit(failures, 2)
     flags = {r.offset: (r.failure_count, r.poison, r.breaker_state, r.breaker_failures, r.attempt)
              for r in tracking.failure_flags(limited, breaker_threshold=3).collect()}

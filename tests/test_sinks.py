@@ -1,10 +1,14 @@
 """Logs written to folders and read back."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidelog import schema
+from tidelog import schema, session
 from tidelog.sources import sinks
 from tidelog.streaming.consume import consume_batch
 
@@ -46,9 +50,69 @@ def test_only_marked_transactions_are_read(spark, tmp_path):
     parts = [records(spark, 3, t) for t in ("orders-topic", "payments-topic", "notifications-topic")]
     sinks.publish_atomic(parts, path, "tx-1")
     sinks.publish_atomic(parts, path, "tx-1")  # a rerun replaces
-    records(spark, 4).write.parquet(f"{path}/data/txn_id=tx-2")  # no marker: its writer died
+    records(spark, 4).write.parquet(f"{path}/data/txn_id=tx-2/attempt=a")  # no marker: its writer died
     got = sinks.read_committed(spark, path)
     assert got.count() == 9 and got.select("topic").distinct().count() == 3
+    assert sinks.clean_transactions(spark, path) == 1 and sinks.read_committed(spark, path).count() == 9
+
+
+def test_a_failing_rerun_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "txn")
+    sinks.publish_atomic([records(spark, 10)], path, "tx-1")
+    broken = records(spark, 10).withColumn("value", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish_atomic([broken], path, "tx-1")
+    assert sinks.read_committed(spark, path).count() == 10
+
+
+def test_records_without_an_id_are_no_copies(spark):
+    ids = F.when(F.col("key").isin("k0", "k1", "k2"), None).when(F.col("key") > "k6", "same").otherwise(F.col("key"))
+    rows = records(spark, 10).withColumn("offset", F.monotonically_increasing_id())
+    kept = sorted(r.key for r in sinks.deduplicated(rows, ids).collect())
+    assert kept == [f"k{k}" for k in range(8)]
+
+
+def test_tables_go_and_clusters_need_a_shared_folder(spark, monkeypatch):
+    with session.tables_removed(spark):
+        table = session.durable(spark.range(5))
+        folder = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert table.count() == 5 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
+def test_runs_from_another_folder(tmp_path):
+    """The package is sent to the workers where they cannot import it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from tidelog import session
+from tidelog.operators.breaker import circuit_breaker
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+session.ship(spark)
+rows = spark.createDataFrame([("k", 1, False)], "key string, seq long, ok boolean").selectExpr("*", "timestamp_seconds(seq) as ts")
+print("STATE", circuit_breaker(rows).first().state)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "STATE CLOSED" in done.stdout, done.stderr[-2000:]
 
 
 def test_consumed_batch_splits(spark, tmp_path):

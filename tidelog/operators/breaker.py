@@ -176,14 +176,11 @@ def circuit_breaker(calls: DataFrame, rule: Breaker = Breaker(), key: str = "key
     """Adds ``admitted`` (let through) and ``state`` (of the breaker after the call)."""
     ranked = rank_within(calls, list(order), group=[key], name="__rank")
     placed = ranked.select(
-        *calls.columns, "__rank", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"),
+        *calls.columns, "__rank", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")).alias("__key"),
         F.expr(f"__rank div {chunk}").alias("__chunk"), F.unix_micros(F.col(time)).alias("__at"),
         F.coalesce(F.col(ok), F.lit(False)).alias("__ok"))
     layout = f"{_ddl(calls)}, admitted boolean, state string"
     hot = measured(placed.filter("__chunk > 0").select(F.col("__key").alias("__hot")).distinct())
-    if hot.isEmpty():  # every key fits into its first chunk and starts closed
-        none = [F.lit(None).cast(kind).alias(name) for name, kind in ENTRY]
-        return _replayed(placed.select("*", *none), rule, layout, len(calls.columns))
     split = placed.select("__key", "__chunk", "__rank", "__at", "__ok").join(
         hot, F.col("__key") == F.col("__hot"), "left_semi")
     summaries = (
@@ -210,9 +207,11 @@ def _replayed(entered: DataFrame, rule: Breaker, layout: str, width: int) -> Dat
 
 def gated_outcome(done: DataFrame) -> DataFrame:
     """``status`` and ``acked`` of processing behind a breaker. A rejected record is reported
-    as REJECTED; a broken rule is an error that is acknowledged all the same."""
+    as REJECTED; a broken rule is an error that is acknowledged all the same. A ``recoverable`` error
+    (where there is such a column) is not, so that it comes again."""
     status = F.when(~F.col("admitted"), "REJECTED").when(F.col("ok"), "SUCCESS").otherwise("ERROR")
-    return done.withColumn("status", status).withColumn("acked", F.lit(True))
+    again = F.coalesce(F.col("recoverable"), F.lit(False)) if "recoverable" in done.columns else F.lit(False)
+    return done.withColumn("status", status).withColumn("acked", ~((F.col("status") == "ERROR") & again))
 
 
 def _ddl(df: DataFrame) -> str:

@@ -100,12 +100,14 @@ def active_stats(stats: DataFrame, active: DataFrame) -> DataFrame:
     return stats.join(active.select("topic").distinct(), "topic", "left_semi")
 
 
-def top_topics(stats: DataFrame, n: int = TOP) -> DataFrame:
-    return stats.orderBy(F.desc("messages"), "topic").limit(n)
+def top_topics(stats: DataFrame, n: int | None = TOP) -> DataFrame:
+    """The ``n`` fullest topics, or all of them for None."""
+    ordered = stats.orderBy(F.desc("messages"), "topic")
+    return ordered if n is None else ordered.limit(n)
 
 
-def problem_topics(stats: DataFrame, threshold: int = PROBLEM_MESSAGES, n: int = TOP) -> DataFrame:
-    """Of the ``n`` fullest topics, those with at least ``threshold`` messages."""
+def problem_topics(stats: DataFrame, threshold: int = PROBLEM_MESSAGES, n: int | None = TOP) -> DataFrame:
+    """Of the ``n`` fullest topics (None: of all), those with at least ``threshold`` messages."""
     return top_topics(stats, n).filter(F.col("messages") >= threshold)
 
 

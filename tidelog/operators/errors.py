@@ -85,19 +85,17 @@ def retry_schedule(failures: DataFrame, policy: str = "enhanced", jitter_key: Co
     to a tenth, seeded by the key and the retry number, so that a rerun plans the same.
     """
     retries, first, factor, longest = BACKOFF[policy]
-    plan, total = [], 0
+    plan, after = [], F.lit(0).cast("bigint")
     for n in range(1, retries + 1):
-        wait = min(first * factor ** (n - 1), longest)
-        total += wait
-        plan.append(F.struct(F.lit(n).alias("retry"), F.lit(wait).cast("bigint").alias("delay_ms"),
-                             F.lit(total).cast("bigint").alias("after_ms")))
+        wait = F.lit(min(first * factor ** (n - 1), longest)).cast("bigint")
+        if jitter_key is not None:
+            share = F.pmod(F.xxhash64(jitter_key, F.lit(n)), F.lit(1 << 30)) / float(1 << 30)
+            wait = (wait * (1.0 - JITTER + 2 * JITTER * share)).cast("bigint")
+        after = after + wait
+        plan.append(F.struct(F.lit(n).alias("retry"), wait.alias("delay_ms"), after.alias("__after")))
     planned = failures.filter(retryable(policy)).withColumn("__plan", F.explode(F.array(*plan)))
-    planned = planned.select(*failures.columns, "__plan.*")
-    if jitter_key is not None:
-        share = F.pmod(F.xxhash64(jitter_key, F.col("retry")), F.lit(1 << 30)) / float(1 << 30)
-        moved = F.col("delay_ms") * (1.0 - JITTER + 2 * JITTER * share)
-        return planned.withColumn("delay_ms", moved.cast("bigint")).drop("after_ms")
-    return planned.withColumn("due_ms", F.unix_millis("failed_at") + F.col("after_ms")).drop("after_ms")
+    return planned.select(*failures.columns, "__plan.retry", "__plan.delay_ms",
+                          (F.unix_millis("failed_at") + F.col("__plan.__after")).alias("due_ms"))
 
 
 def _tag(label: str, text: Column, when: Column) -> Column:

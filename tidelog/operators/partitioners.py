@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions.hashing import key_partition, string_hash
-from tidelog.operators.indexing import ARRIVAL, arrival_index, rank_within
+from tidelog.operators.indexing import ARRIVAL, PLACE, arrival_index, rank_within
 from tidelog.session import measured
 
 # Defaults of the strategies.
@@ -42,11 +42,15 @@ def _in_turn(df: DataFrame, partitions: int) -> DataFrame:
 
 def _or_hash(df: DataFrame, partitions: int, applies: Column, target: Column) -> DataFrame:
     """``target`` where it ``applies``, else the key hash; records with neither take turns.
-    Only those last ones need an arrival position, so only they are sorted."""
+    Only the places of those last ones are sorted, and their (few) turns joined to the records."""
     settled = applies | F.col("key").isNotNull()
     hashed = key_partition(F.when(~applies, F.col("key")), partitions)
-    placed = df.filter(settled).withColumn(TARGET, F.when(applies, target.cast("int")).otherwise(hashed))
-    return placed.unionByName(_in_turn(df.filter(~settled), partitions))
+    own = [F.col(c).alias(f"__{c}") for c in PLACE]
+    turns = measured(rank_within(df.filter(~settled).select(*ARRIVAL), ARRIVAL, name="__turn").select(
+        *own, (F.col("__turn") % partitions).cast("int").alias("__turn")))
+    placed = df.withColumn(TARGET, F.when(applies, target.cast("int")).otherwise(hashed))
+    match = [F.col(c) == F.col(f"__{c}") for c in PLACE]
+    return placed.join(turns, match, "left").select(*df.columns, F.coalesce(TARGET, "__turn").alias(TARGET))
 
 
 def _key_hash_size() -> Column:
@@ -113,36 +117,37 @@ def part_time(df: DataFrame, partitions: int, window_ms: int = TIME_WINDOW_MS) -
     return df.withColumn(TARGET, (slot % _check(partitions)).cast("int"))
 
 
-def _fill_segments(loads: Sequence[int], threshold: int) -> tuple[list[tuple], int]:
-    """How the least-loaded rule fills partitions: between two neighbouring load levels the
-    same partitions are filled in turn. One (first index, partitions) per level, and the
-    number of records after which every partition is above the threshold."""
-    levels = sorted({min(load, threshold + 1) for load in loads} | {threshold + 1})
-    segments, start = [], 0
-    for level, above in zip(levels, levels[1:]):
-        open_now = [p for p, load in enumerate(loads) if load <= level]
-        segments.append((start, open_now))
-        start += (above - level) * len(open_now)
-    return segments, start
-
-
-def part_load_aware(df: DataFrame, partitions: int, loads: Sequence[int] | None = None,
+def part_load_aware(df: DataFrame, partitions: int, loads: Sequence[int] | DataFrame | None = None,
                     threshold: int = LOAD_THRESHOLD) -> DataFrame:
-    """Least-loaded partition first, lowest number on ties; in turn once all are above the
-    threshold. ``loads`` are the present counts, one per partition."""
-    loads = list(loads or [0] * _check(partitions))
-    if len(loads) != _check(partitions):
-        raise ValueError("one load per partition")
-    segments, filled = _fill_segments(loads, threshold)
-    i = F.col("__arrival")
-    target = (i - filled) % partitions
-    for start, open_now in reversed(segments):
-        later = [s for s, _ in segments if s > start]
-        end = min(later) if later else filled
-        choice = F.element_at(F.array(*[F.lit(p) for p in open_now]),
-                              ((i - start) % len(open_now) + 1).cast("int"))
-        target = F.when((i >= start) & (i < end), choice).otherwise(target)
-    return arrival_index(df, "__arrival").withColumn(TARGET, target.cast("int")).drop("__arrival")
+    """Least-loaded partition of the topic first, lowest number on ties; in turn once all are above the
+    threshold. ``loads`` are the present counts: one per partition for every topic alike, or rows of (topic,
+    partition, load); partitions without a row have no load.
+
+    A partition at load l is filled at the levels l, l + 1, ... threshold, so the order of all
+    (level, partition) pairs of a topic is the order in which its first records are placed.
+    """
+    _check(partitions)
+    every = measured(df.select("topic").distinct()).select(
+        "topic", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("__target"))
+    if isinstance(loads, DataFrame):
+        given = loads.select(F.col("topic").alias("__of"), F.col("partition").alias("__at"), F.col("load").alias("__load"))
+        every = every.join(given, (F.col("topic") == F.col("__of")) & (F.col("__target") == F.col("__at")), "left")
+    else:
+        if loads is not None and len(loads) != partitions:
+            raise ValueError("one load per partition")
+        listed = F.array(*[F.lit(x) for x in (loads or [0] * partitions)])
+        every = every.withColumn("__load", F.get(listed, F.col("__target")))
+    free = every.select("topic", "__target", F.coalesce("__load", F.lit(0)).cast("bigint").alias("__load")).filter(
+        F.col("__load") <= threshold)
+    levels = free.withColumn("__level", F.explode(F.sequence(F.col("__load"), F.lit(threshold).cast("bigint"))))
+    slots = measured(rank_within(levels.select("topic", "__level", "__target"), ["__level", "__target"], group=["topic"],
+                                 name="__slot").select(F.col("topic").alias("__topic"), "__slot", "__target"))
+    filled = measured(slots.groupBy(F.col("__topic").alias("__full")).agg(F.count(F.lit(1)).alias("__filled")))
+    arrived = rank_within(df, ARRIVAL, group=["topic"], name="__arrival", identity=PLACE)
+    placed = arrived.join(slots, (F.col("topic") == F.col("__topic")) & (F.col("__arrival") == F.col("__slot")), "left").join(
+        filled, F.col("topic") == F.col("__full"), "left")
+    turn = (F.col("__arrival") - F.coalesce("__filled", F.lit(0))) % partitions
+    return placed.select(*df.columns, F.coalesce("__target", turn.cast("int")).alias(TARGET))
 
 
 STRATEGIES = {

@@ -73,15 +73,29 @@ def steps(samples: DataFrame, series: str, step: str, value: str = "value") -> D
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
-def alert_for(evaluated: DataFrame, series: str, breached: Column, hold: str) -> DataFrame:
+def with_all_steps(evaluated: DataFrame, series: str, step: str) -> DataFrame:
+    """Adds the steps without samples between the first and the last of a series, with n = 0 and no total."""
+    gap = F.expr(f"INTERVAL {step}")
+    after = F.lead("step").over(Window.partitionBy(series).orderBy("step"))
+    until = F.coalesce(F.col("__next") - gap, F.col("step"))
+    every = evaluated.withColumn("__next", after).withColumn("__at", F.explode(F.sequence(F.col("step"), until, gap)))
+    real = F.col("__at") == F.col("step")
+    kept = [F.col(c) for c in evaluated.columns if c not in ("step", "n", "total")]
+    return every.select(*kept, F.col("__at").alias("step"), F.when(real, F.col("n")).otherwise(0).alias("n"),
+                        F.when(real, F.col("total")).alias("total")).select(*evaluated.columns)
+
+
+def alert_for(evaluated: DataFrame, series: str, breached: Column, hold: str, step: str) -> DataFrame:
     """Stretches of successive steps in which a condition holds for at least ``hold``.
 
-    The windows run over the steps of one series, whose number time bounds.
+    A step without a row has no value, so the condition does not hold there: it ends a stretch. The windows run
+    over the steps of one series, whose number time bounds.
     """
     over = Window.partitionBy(series).orderBy("step")
     marked = evaluated.select(series, "step", F.coalesce(breached, F.lit(False)).alias("__bad"))
-    changed = F.coalesce((F.col("__bad") != F.lag("__bad").over(over)).cast("int"), F.lit(1))
-    runs = marked.withColumn("__change", changed).withColumn(
+    follows = F.col("step") - F.lag("step").over(over) <= F.expr(f"INTERVAL {step}")
+    goes_on = follows & (F.col("__bad") == F.lag("__bad").over(over))
+    runs = marked.withColumn("__change", F.when(goes_on, 0).otherwise(1)).withColumn(
         "__run", F.sum("__change").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.filter("__bad").groupBy(series, "__run").agg(
         F.min("step").alias("since"), F.max("step").alias("until"), F.count(F.lit(1)).alias("steps"))
@@ -90,6 +104,19 @@ def alert_for(evaluated: DataFrame, series: str, breached: Column, hold: str) ->
     return spans.filter(held).drop("__run")
 
 
+def ratio_of(part: DataFrame, whole: DataFrame, series: str) -> DataFrame:
+    """Adds ``ratio`` to the steps of ``whole``: the count of ``part`` in the same step over its own."""
+    counted = part.select(series, "step", F.col("n").alias("__part"))
+    return whole.join(counted, [series, "step"], "left").withColumn(
+        "ratio", F.coalesce(F.col("__part"), F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).drop("__part")
+
+
+def increase_over(evaluated: DataFrame, series: str, span_seconds: int, step_seconds: int) -> DataFrame:
+    """Adds ``increase``: how much a counter (``n`` events a step) grew over the last ``span_seconds``."""
+    over = Window.partitionBy(series).orderBy(F.unix_seconds("step")).rangeBetween(-(span_seconds - step_seconds), 0)
+    return evaluated.withColumn("increase", F.sum("n").over(over))
+
+
 def rate_over(evaluated: DataFrame, series: str, span_seconds: int, step_seconds: int) -> DataFrame:
     """Adds ``rate``: events per second over the last ``span_seconds``, from step counts."""
     at = F.unix_seconds("step")

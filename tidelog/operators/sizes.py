@@ -202,15 +202,16 @@ def size_recommendations(summary: DataFrame) -> DataFrame:
 
 
 def split_chunks(df: DataFrame, message_id: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Large values as numbered byte chunks; an empty or null value has none."""
-    raw = F.encode(F.col("value"), "UTF-8")
+    """Large values as numbered byte chunks; an empty or null value has none. A value is encoded once and
+    cut once, so the work grows with its size."""
     total = F.ceil(F.octet_length("value") / chunk_bytes).cast("int")
     cut = df.select("topic", "partition", "offset", message_id.alias("message_id"),
-                    total.alias("total_chunks"), "value").filter("total_chunks > 0")
-    numbered = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
-    return numbered.withColumn(
-        "data", F.substring(raw, F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
-    ).drop("value")
+                    total.alias("total_chunks"), F.encode(F.col("value"), "UTF-8").alias("__raw")).filter("total_chunks > 0")
+    begins = F.sequence(F.lit(0), F.col("total_chunks") - 1)
+    pieces = F.get(F.transform(F.array("__raw"), lambda raw: F.transform(
+        begins, lambda k: F.substring(raw, k * chunk_bytes + 1, F.lit(chunk_bytes)))), F.lit(0))
+    return cut.select("topic", "partition", "offset", "message_id", "total_chunks",
+                      F.posexplode(pieces).alias("chunk", "data"))
 
 
 # The shape of a generated message.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.operators.indexing import rank_within
+from tidelog.operators.indexing import rank_within, running_total
 from tidelog.session import measured
 
 # Thresholds of the rules.
@@ -84,25 +84,36 @@ def handler_status(failures: DataFrame, limit: int = MAX_ERRORS_PER_MINUTE, thre
     return parts.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names])
 
 
+def running_breaker(failures: DataFrame, threshold: int = BREAKER_FAILURES) -> DataFrame:
+    """(attempt, breaker_state, breaker_failures) of failures with a service: its breaker as it was when the
+    failure was handled. Failures marked ``limited`` ask for the state, but do not count."""
+    named = failures.filter(F.col("service_name").isNotNull())
+    counts = ~F.col("limited") if "limited" in failures.columns else F.lit(True)
+    narrow = named.select(*ATTEMPT, "service_name", "failed_at", counts.cast("bigint").alias("__counts"))
+    order = ["failed_at", *ATTEMPT]
+    ranked = rank_within(narrow, order, group=["service_name"], name="__rank")
+    counted = running_total(ranked, "__counts", "__rank", ["service_name"], "breaker_failures")
+    return counted.select(*ATTEMPT, "breaker_failures", F.when(
+        F.col("breaker_failures") >= threshold, "OPEN").otherwise("CLOSED").alias("breaker_state"))
+
+
 def failure_flags(failures: DataFrame, threshold: int = POISON_FAILURES,
                   breaker_threshold: int = BREAKER_FAILURES) -> DataFrame:
-    """The last failure of each record with the flags that routing and headers read.
+    """The last failure of each record with the flags that routing and headers read; the breaker's are those
+    at the time of that failure.
 
     Failures that ``rate_limit`` marked as ``limited`` (where it ran before) are published
-    too, but count neither towards poison nor towards the breaker.
+    too, but count neither towards poison nor towards the breaker. Only places are aggregated, not
+    values.
     """
     tracked = ~F.col("limited") if "limited" in failures.columns else F.lit(True)
-    by_record = failures.groupBy(*RECORD).agg(
-        F.count_if(tracked).alias("failure_count"),
-        F.max(F.struct("failed_at", "attempt", F.struct(*failures.columns).alias("row"))).alias("last"))
-    services = measured(service_states(failures.filter(tracked), breaker_threshold).select(
-        F.col("service_name").alias("__service"), F.col("state").alias("breaker_state"),
-        F.col("failures").alias("breaker_failures")))
-    rows = by_record.select("last.row.*", "failure_count",
-                            (F.col("failure_count") >= threshold).alias("poison"))
-    # most failures name no service: nulls would all go to one task, so they get many names
-    named = F.coalesce("service_name", F.concat(F.lit("\0"), F.col("offset").cast("string")))
-    return rows.join(services, named == F.col("__service"), "left").drop("__service")
+    last = measured(failures.groupBy(*RECORD).agg(
+        F.count_if(tracked).alias("failure_count"), F.max(F.struct("failed_at", "attempt")).alias("__last")).select(
+        *RECORD, F.col("__last.attempt").alias("attempt"), "failure_count"))
+    states = running_breaker(failures, breaker_threshold)
+    rows = failures.join(last, ATTEMPT).select(
+        *failures.columns, "failure_count", (F.col("failure_count") >= threshold).alias("poison"))
+    return rows.join(states, ATTEMPT, "left").select(*rows.columns, "breaker_state", "breaker_failures")
 
 
 def quarantine(failures: DataFrame, host: str = "unknown", environment: str = "unknown",

@@ -70,16 +70,37 @@ def route_config(t: Tables):
   FROM (SELECT f.*, n, breaker_state FROM failures f
     JOIN (SELECT topic, p, o, count(*) AS n, max(attempt) AS attempt FROM failures GROUP BY ALL)
       USING (topic, p, o, attempt)
-    LEFT JOIN (SELECT service_name, CASE WHEN count(*) >= 500 THEN 'OPEN' ELSE 'CLOSED' END AS breaker_state
-      FROM failures WHERE service_name IS NOT NULL GROUP BY ALL) USING (service_name))""")
+    LEFT JOIN (SELECT topic, p, o, attempt, CASE WHEN row_number() OVER (PARTITION BY service_name
+        ORDER BY failed_at, topic, p, o, attempt) >= 500 THEN 'OPEN' ELSE 'CLOSED' END AS breaker_state
+      FROM failures WHERE service_name IS NOT NULL) USING (topic, p, o, attempt))""")
 def route_enhanced(t: Tables):
-    """With a breaker threshold of 500 failures, so that some services stay closed."""
+    """With a breaker threshold of 500 failures; the breaker is asked when a record fails for the last time."""
     rows = tracking.failure_flags(t.failures(), breaker_threshold=500)
     is_open = F.coalesce(F.col("breaker_state") == "OPEN", F.lit(False))
     return rows.select(*_ID, "failure_count", "breaker_state",
                        errors.route_enhanced(F.col("poison"), is_open).alias("dlt_topic"))
 
 
+@query("dlt_pipeline", "failures", f"""SELECT {_enhanced('n >= 3', 'coalesce(is_open, false)')} AS dlt_topic, count(*) AS records,
+    CAST(sum(n) AS BIGINT) AS failures FROM (SELECT f.*, n, is_open FROM failures f
+    JOIN (SELECT topic, p, o, count(*) FILTER (NOT limited) AS n, max(attempt) AS attempt FROM (SELECT *, row_number() OVER (
+        PARTITION BY topic, date_trunc('minute', failed_at) ORDER BY failed_at, p, o, attempt) > 2 AS limited FROM failures)
+      GROUP BY ALL) USING (topic, p, o, attempt)
+    LEFT JOIN (SELECT topic, p, o, attempt, sum(CASE WHEN limited THEN 0 ELSE 1 END) OVER (PARTITION BY service_name
+        ORDER BY failed_at, topic, p, o, attempt) >= 500 AS is_open FROM (SELECT *, row_number() OVER (
+        PARTITION BY topic, date_trunc('minute', failed_at) ORDER BY failed_at, p, o, attempt) > 2 AS limited FROM failures)
+      WHERE service_name IS NOT NULL) USING (topic, p, o, attempt)) GROUP BY dlt_topic""")
+def dlt_pipeline(t: Tables):
+    """Failures through the whole handler: rate limit, counts, breaker and poison flags, routing, dead letters."""
+    flagged = tracking.failure_flags(tracking.rate_limit(t.failures(), 2), breaker_threshold=500)
+    letters = errors.dead_letters(flagged)
+    routed = flagged.select("failure_count", errors.route_enhanced(
+        F.col("poison"), F.coalesce(F.col("breaker_state") == "OPEN", F.lit(False))).alias("dlt_topic"))
+    counts = routed.groupBy("dlt_topic").agg(F.sum("failure_count").alias("failures"))
+    published = letters.groupBy(F.col("topic").alias("dlt_topic")).agg(F.count(F.lit(1)).alias("records"))
+    return published.join(counts, "dlt_topic").select("dlt_topic", "records", "failures")
+
+
 @query("dlt_headers", "dlt", f"""SELECT topic, p AS "partition", o AS "offset", h.name, h.text FROM (
   SELECT topic, p, o, unnest(list_filter(CASE WHEN enhanced THEN [
     {{'name': 'dlt.original-topic', 'text': origin}}, {{'name': 'dlt.original-partition', 'text': CAST(p AS VARCHAR)}},
@@ -429,15 +450,20 @@ _SHARDED = breaker.Breaker(failures=2, reset_ms=600_000, successes=2)
 
 @query("consume_with_breaker", "orders_log payments_log", _walk("""SELECT *,
     row_number() OVER (PARTITION BY key ORDER BY tick, o, p) AS n FROM (SELECT topic, p, o, epoch_us(ts) AS tick,
-    topic || ':' || (o % 50) AS key, NOT (value IS NULL OR trim(value) = '') AS ok
-    FROM (SELECT * FROM orders_log UNION ALL SELECT * FROM payments_log))""", _SHARDED) + f"""
+    topic || ':' || (o % 50) AS key, NOT (value IS NULL OR trim(value) = '' OR down) AS ok FROM (
+      SELECT *, coalesce(value LIKE '%PAYMENT_SERVICE_DOWN%' OR value LIKE '%RETRY_ERROR%', false) AS down
+      FROM (SELECT * FROM orders_log UNION ALL SELECT * FROM payments_log)))""", _SHARDED) + f"""
   SELECT topic, p AS "partition", o AS "offset", CASE WHEN NOT admitted THEN 'REJECTED' WHEN ok THEN 'SUCCESS'
-    ELSE 'ERROR' END AS status, true AS acked, {_STATE} AS state FROM s""", recursive=True)
+    ELSE 'ERROR' END AS status, NOT (admitted AND w.down) AS acked, {_STATE} AS state FROM s JOIN (
+    SELECT topic, p, o, coalesce(value LIKE '%PAYMENT_SERVICE_DOWN%' OR value LIKE '%RETRY_ERROR%', false) AS down
+    FROM (SELECT * FROM orders_log UNION ALL SELECT * FROM payments_log)) w USING (topic, p, o)""", recursive=True)
 def consume_with_breaker(t: Tables):
-    """Orders and payments, each through fifty workers with a breaker of their own."""
+    """Orders and payments, each through fifty workers with a breaker of their own. A service that is down is
+    an error from which the record recovers, so it is not acknowledged."""
     rows = process.process_by_topic(t.orders_log().unionByName(t.payments_log()))
+    down = F.coalesce(F.contains("value", F.lit("PAYMENT_SERVICE_DOWN")) | F.contains("value", F.lit("RETRY_ERROR")), F.lit(False))
     calls = rows.select(
         *_ID, "timestamp", F.concat_ws(":", "topic", F.col("offset") % 50).alias("key"),
-        F.col("error_rule").isNull().alias("ok"))
+        (F.col("error_rule").isNull() & ~down).alias("ok"), down.alias("recoverable"))
     done = breaker.circuit_breaker(calls, _SHARDED, time="timestamp", order=("timestamp", "offset", "partition"))
     return breaker.gated_outcome(done).select(*_ID, "status", "acked", "state")

@@ -112,17 +112,24 @@ def part_time(t: Tables):
     return parts.part_time(t.all_logs(), N).select("topic", *_COLUMNS)
 
 
-_SLOTS = f"""(SELECT row_number() OVER (ORDER BY level, q) - 1 AS slot, q FROM (
-  SELECT q, unnest(range(load, 1001)) AS level
-  FROM (SELECT unnest(range(0, {N})) AS q, unnest({LOADS}) AS load)))"""
-
-
-@query("part_load_aware", "orders_log", f"""SELECT {_ID}, CAST(coalesce(q,
-    (i - (SELECT count(*) FROM {_SLOTS})) % {N}) AS INTEGER) AS target_partition
-  FROM (SELECT *, row_number() OVER ({_ARRIVAL}) - 1 AS i FROM orders_log)
-  LEFT JOIN {_SLOTS} ON i = slot""")
+# orders have LOADS, payments the same in reverse order, notifications none
+_TOPIC_LOADS = f"""(SELECT unnest(['orders-topic', 'payments-topic', 'notifications-topic']) AS topic,
+  unnest([{LOADS}, list_reverse({LOADS}), [0 FOR x IN {LOADS}]]) AS loads)"""
+_SLOTS = f"""(SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY level, q) - 1 AS slot, q FROM (
+  SELECT topic, q, unnest(range(load, 1001)) AS level
+  FROM (SELECT topic, unnest(range(0, {N})) AS q, unnest(loads) AS load FROM {_TOPIC_LOADS})))"""
+
+
+@query("part_load_aware", "logs", f"""SELECT topic, {_ID}, CAST(coalesce(q, (i - filled) % {N}) AS INTEGER) AS target_partition
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ts, p, o) - 1 AS i FROM logs)
+  JOIN (SELECT topic, count(*) AS filled FROM {_SLOTS} GROUP BY topic) USING (topic)
+  LEFT JOIN (SELECT topic, slot AS i, q FROM {_SLOTS}) USING (topic, i)""")
 def part_load_aware(t: Tables):
-    return parts.part_load_aware(t.orders_log(), N, LOADS).select(_COLUMNS)
+    log = t.all_logs()
+    loads = [("orders-topic", p, x) for p, x in enumerate(LOADS)] + [
+        ("payments-topic", p, x) for p, x in enumerate(reversed(LOADS))]
+    given = log.sparkSession.createDataFrame(loads, "topic string, partition int, load int")
+    return parts.part_load_aware(log, N, given).select("topic", *_COLUMNS)
 
 
 @query("part_distribution", "logs", """SELECT topic, p AS "partition", count(*) AS records,

@@ -135,14 +135,12 @@ def publish_atomic(t: Tables):
         F.count(F.lit(1)).alias("records"), F.count_distinct("topic").alias("topics"))
 
 
-@query("dedup_publish", "logs", """SELECT topic, key, min(o) AS first_offset, count(*) AS copies FROM logs
-  WHERE key IS NOT NULL GROUP BY topic, key""")
+@query("dedup_publish", "logs", """SELECT topic, key, p AS "partition", o AS "offset", value FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic, key ORDER BY ts, p, o) AS nth FROM logs) WHERE nth = 1 OR key IS NULL""")
 def dedup_publish(t: Tables):
-    """The key stands for the correlation id; retried sends leave one record."""
-    log = t.all_logs().filter("key is not null")
-    kept = sinks.deduplicated(log, F.col("key"))
-    copies = log.groupBy("topic", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("offset").alias("first_offset"))
-    return copies.join(kept.select("topic", "key"), ["topic", "key"]).select("topic", "key", "first_offset", "copies")
+    """The key stands for the correlation id: retried sends leave their first record, and records without
+    an id all stay."""
+    return sinks.deduplicated(t.all_logs(), F.col("key")).select("topic", "key", "partition", "offset", "value")
 
 
 # ---- lag --------------------------------------------------------------------------------------
@@ -397,7 +395,8 @@ def throughput_series(t: Tables):
 def _runs(breach: str, source: str, seconds: int) -> str:
     return f"""SELECT stage, epoch_us(min(step)) // 1000 AS since_ms, epoch_us(max(step)) // 1000 AS until_ms, count(*) AS steps
     FROM (SELECT *, sum(ch) OVER (PARTITION BY stage ORDER BY step) AS run FROM (SELECT *,
-        CASE WHEN bad = lag(bad) OVER (PARTITION BY stage ORDER BY step) THEN 0 ELSE 1 END AS ch
+        CASE WHEN bad = lag(bad) OVER (PARTITION BY stage ORDER BY step)
+          AND step - lag(step) OVER (PARTITION BY stage ORDER BY step) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS ch
       FROM (SELECT stage, step, coalesce({breach}, false) AS bad FROM ({source})))) WHERE bad
     GROUP BY stage, run HAVING epoch_us(max(step)) - epoch_us(min(step)) >= CAST({seconds} AS BIGINT) * 1000000"""
 
@@ -406,24 +405,63 @@ _STEPS = """SELECT stage, date_trunc('hour', ts) AS step, count(*) AS n, sum(CAS
   FROM metrics GROUP BY ALL"""
 
 
+# every hour between the first and the last of a stage
+_ALL_STEPS = f"""SELECT stage, step, coalesce(n, 0) AS n, total FROM (
+  SELECT stage, unnest(generate_series(min(step), max(step), INTERVAL 1 HOUR)) AS step FROM ({_STEPS}) GROUP BY stage)
+  LEFT JOIN ({_STEPS}) USING (stage, step)"""
+
+
 @query("alert_for", "metrics", f"""SELECT 'high_mean' AS rule, * FROM ({_runs('total / n > 25', _STEPS, 7200)})
   UNION ALL SELECT 'high_rate', * FROM ({_runs('r > 12', f'''SELECT *, sum(n) OVER (PARTITION BY stage ORDER BY step
-    RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS r FROM ({_STEPS})''', 7200)})
+    RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS r FROM ({_ALL_STEPS})''', 7200)})
   UNION ALL SELECT 'rising', * FROM ({_runs('total / n - f > 10', f'''SELECT *, first(total / n) OVER (PARTITION BY stage ORDER BY step
     RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW) AS f FROM ({_STEPS})''', 3600)})""")
 def alert_for(t: Tables):
     """Three kinds of rule at hourly steps: mean above 25, more than 12 events in five
-    hours, mean more than 10 above that of five hours before."""
+    hours (which has a value at hours without events too), mean more than 10 above that of five hours
+    before."""
     exact = (F.col("value") * 50).cast("decimal(18,2)")
     steps = series.steps(t.metrics().withColumn("value", exact), "stage", "1 hour").withColumn(
         "total", F.col("total").cast("double"))
-    rated = series.rate_over(steps, "stage", 5 * 3600, 3600)
+    rated = series.rate_over(series.with_all_steps(steps, "stage", "1 hour"), "stage", 5 * 3600, 3600)
     rising = series.rise_over(steps, "stage", 5 * 3600)
     found = [
-        ("high_mean", series.alert_for(steps, "stage", F.col("total") / F.col("n") > 25, "2 hours")),
-        ("high_rate", series.alert_for(rated, "stage", F.round(F.col("rate") * (5 * 3600)) > 12, "2 hours")),
-        ("rising", series.alert_for(rising, "stage", F.col("rise") > 10, "1 hour")),
+        ("high_mean", series.alert_for(steps, "stage", F.col("total") / F.col("n") > 25, "2 hours", "1 hour")),
+        ("high_rate", series.alert_for(rated, "stage", F.round(F.col("rate") * (5 * 3600)) > 12, "2 hours", "1 hour")),
+        ("rising", series.alert_for(rising, "stage", F.col("rise") > 10, "1 hour", "1 hour")),
     ]
     rows = [df.select(F.lit(rule).alias("rule"), "stage", F.unix_millis("since").alias("since_ms"),
                       F.unix_millis("until").alias("until_ms"), "steps") for rule, df in found]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# The documented bounds for dead letters and for failed against sent. The data are thin, so a
+# step is a day here and the span of the first three days.
+DEAD_LETTERS, FAILED_SHARE = 1000, 0.05
+
+_DAYS = """SELECT stage, date_trunc('day', ts) AS step, count(*) AS n FROM metrics GROUP BY ALL"""
+_EVERY_DAY = f"""SELECT stage, step, coalesce(n, 0) AS n FROM (
+  SELECT stage, unnest(generate_series(min(step), max(step), INTERVAL 1 DAY)) AS step FROM ({_DAYS}) GROUP BY stage)
+  LEFT JOIN ({_DAYS}) USING (stage, step)"""
+
+
+@query("alert_rules", "metrics", f"""SELECT 'failed_share' AS rule, 'all' AS series, epoch_us(step) // 1000 AS at_ms,
+    e * 1.0 / n AS value FROM (SELECT date_trunc('day', ts) AS step, count(*) AS n, count(*) FILTER (stage = 'error') AS e
+    FROM metrics GROUP BY ALL) WHERE e * 1.0 / n > 0.05
+  UNION ALL SELECT 'increase', stage, epoch_us(step) // 1000, r FROM (SELECT *, sum(n) OVER (PARTITION BY stage ORDER BY step
+    RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS r FROM ({_EVERY_DAY})) WHERE r > 1000""")
+def alert_rules(t: Tables):
+    """The share of errors among all events of a day above 0.05, and more than 1000 events of a kind within
+    three days; each step that breaks a rule, with its value."""
+    metrics = t.metrics()
+    steps = series.steps(metrics, "stage", "1 day")
+    whole = series.steps(metrics.withColumn("stage", F.lit("all")), "stage", "1 day")
+    errors = steps.filter("stage = 'error'").withColumn("stage", F.lit("all"))
+    failed = series.ratio_of(errors, whole, "stage").filter(F.col("ratio") > FAILED_SHARE).select(
+        F.lit("failed_share").alias("rule"), F.col("stage").alias("series"), F.unix_millis("step").alias("at_ms"),
+        F.col("ratio").alias("value"))
+    every = series.with_all_steps(steps, "stage", "1 day")
+    grown = series.increase_over(every, "stage", 3 * 86_400, 86_400).filter(F.col("increase") > DEAD_LETTERS).select(
+        F.lit("increase").alias("rule"), F.col("stage").alias("series"), F.unix_millis("step").alias("at_ms"),
+        F.col("increase").cast("double").alias("value"))
+    return failed.unionByName(grown)

@@ -63,6 +63,7 @@ def compact_latest(df: DataFrame) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, correlation: Column, watermark: str = WATERMARK) -> DataFrame:
-    """One record per topic and correlation id within the watermark delay."""
-    named = df.withColumn("correlation_id", correlation)
-    return timed(named, watermark=watermark).dropDuplicatesWithinWatermark(["topic", "correlation_id"])
+    """One record per topic and correlation id within the watermark delay; records without an id all stay."""
+    named = timed(df.withColumn("correlation_id", correlation), watermark=watermark)
+    once = named.filter(F.col("correlation_id").isNotNull()).dropDuplicatesWithinWatermark(["topic", "correlation_id"])
+    return once.union(named.filter(F.col("correlation_id").isNull()))
