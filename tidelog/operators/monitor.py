@@ -18,13 +18,21 @@ RECENT_REBALANCES = 3
 UTILIZATION_WEIGHT, STABILITY_WEIGHT = 0.7, 0.3
 RECOMMENDATIONS = [
     ("PARTITION_DISTRIBUTION", "HIGH", "High Partition Skew Detected",
-     "Consider using LOAD_BALANCED assignment strategy or rebalancing consumer group"),
+     "Partition distribution is uneven across consumers",
+     "Consider using LOAD_BALANCED assignment strategy or rebalancing consumer group",
+     "currentSkew", "idealSkew", "< 1.5"),
     ("CONSUMER_UTILIZATION", "MEDIUM", "Low Consumer Utilization",
-     "Optimize partition assignment or consider reducing consumer count"),
+     "Consumers are not effectively utilizing available resources",
+     "Optimize partition assignment or consider reducing consumer count",
+     "currentUtilization", "targetUtilization", "> 0.8"),
     ("ASSIGNMENT_EFFICIENCY", "MEDIUM", "Suboptimal Assignment Efficiency",
-     "Consider switching to WORKLOAD_AWARE or AFFINITY_BASED assignment strategy"),
+     "Partition assignment strategy is not optimal for current workload",
+     "Consider switching to WORKLOAD_AWARE or AFFINITY_BASED assignment strategy",
+     "currentEfficiency", "targetEfficiency", "> 0.8"),
     ("REBALANCING_FREQUENCY", "HIGH", "Frequent Rebalancing Detected",
-     "Increase session timeout, enable sticky assignment, or investigate consumer stability"),
+     "Consumer group is rebalancing too frequently",
+     "Increase session timeout, enable sticky assignment, or investigate consumer stability",
+     "totalRebalances", "recommendedFrequency", "< 5 per hour"),
 ]
 PLAN = [
     ("REBALANCE_PARTITIONS", "High partition skew detected", "1.5"),
@@ -151,10 +159,16 @@ def _conditions() -> list[Column]:
 
 
 def partition_recommendations(stats: DataFrame) -> DataFrame:
-    rows = [
-        F.when(hit, F.struct(*[F.lit(text).alias(name) for name, text in zip(
-            ("type", "severity", "title", "recommendation"), words)]))
-        for hit, words in zip(_conditions(), RECOMMENDATIONS)]
+    """One row per piece of advice: what is wrong, what to do, and under ``metrics`` by name the present value
+    and the one to reach."""
+    current = [F.col("skew"), F.col("utilization"), F.col("efficiency"), F.col("total_rebalances")]
+    rows = []
+    for hit, now, (kind, severity, title, description, todo, measure, goal, wanted) in zip(
+            _conditions(), current, RECOMMENDATIONS):
+        metrics = F.create_map(F.lit(measure), now.cast("string"), F.lit(goal), F.lit(wanted))
+        texts = zip(("type", "severity", "title", "description", "recommendation"),
+                    (kind, severity, title, description, todo))
+        rows.append(F.when(hit, F.struct(*[F.lit(text).alias(name) for name, text in texts], metrics.alias("metrics"))))
     return stats.withColumn("advice", F.explode(F.array_compact(F.array(*rows)))).select(
         *stats.columns, "advice.*")
 

@@ -294,15 +294,34 @@ def partition_health(t: Tables):
         "group", "health", "distribution", "utilization_state", "efficiency_state")
 
 
-@query("partition_recommendations", "members", f"""{_SNAPS} SELECT "group", a.kind AS type, a.severity FROM (
+@query("partition_recommendations", "members", f"""{_SNAPS} SELECT "group", a.kind AS type, a.severity, a.title,
+    a.description, a.recommendation, a.goal, a.wanted, round(a.now, 9) AS current FROM (
   SELECT grp AS "group", unnest(list_filter([
-    CASE WHEN skew > 2 THEN {{'kind': 'PARTITION_DISTRIBUTION', 'severity': 'HIGH'}} END,
-    CASE WHEN utilization < 0.6 THEN {{'kind': 'CONSUMER_UTILIZATION', 'severity': 'MEDIUM'}} END,
-    CASE WHEN efficiency < 0.7 THEN {{'kind': 'ASSIGNMENT_EFFICIENCY', 'severity': 'MEDIUM'}} END,
-    CASE WHEN total_rebalances > 10 THEN {{'kind': 'REBALANCING_FREQUENCY', 'severity': 'HIGH'}} END],
+    CASE WHEN skew > 2 THEN {{'kind': 'PARTITION_DISTRIBUTION', 'severity': 'HIGH', 'title': 'High Partition Skew Detected',
+      'description': 'Partition distribution is uneven across consumers',
+      'recommendation': 'Consider using LOAD_BALANCED assignment strategy or rebalancing consumer group',
+      'goal': 'idealSkew', 'wanted': '< 1.5', 'now': CAST(skew AS DOUBLE)}} END,
+    CASE WHEN utilization < 0.6 THEN {{'kind': 'CONSUMER_UTILIZATION', 'severity': 'MEDIUM',
+      'title': 'Low Consumer Utilization', 'description': 'Consumers are not effectively utilizing available resources',
+      'recommendation': 'Optimize partition assignment or consider reducing consumer count',
+      'goal': 'targetUtilization', 'wanted': '> 0.8', 'now': CAST(utilization AS DOUBLE)}} END,
+    CASE WHEN efficiency < 0.7 THEN {{'kind': 'ASSIGNMENT_EFFICIENCY', 'severity': 'MEDIUM',
+      'title': 'Suboptimal Assignment Efficiency',
+      'description': 'Partition assignment strategy is not optimal for current workload',
+      'recommendation': 'Consider switching to WORKLOAD_AWARE or AFFINITY_BASED assignment strategy',
+      'goal': 'targetEfficiency', 'wanted': '> 0.8', 'now': CAST(efficiency AS DOUBLE)}} END,
+    CASE WHEN total_rebalances > 10 THEN {{'kind': 'REBALANCING_FREQUENCY', 'severity': 'HIGH',
+      'title': 'Frequent Rebalancing Detected', 'description': 'Consumer group is rebalancing too frequently',
+      'recommendation': 'Increase session timeout, enable sticky assignment, or investigate consumer stability',
+      'goal': 'recommendedFrequency', 'wanted': '< 5 per hour', 'now': CAST(total_rebalances AS DOUBLE)}} END],
     lambda x: x IS NOT NULL)) AS a FROM ({_stats_sql(True)}))""")
 def partition_recommendations(t: Tables):
-    return monitor.partition_recommendations(_stats(t)).select("group", "type", "severity")
+    """The metrics map as two columns: the goal with its text, and the present value."""
+    names = F.map_keys("metrics")
+    return monitor.partition_recommendations(_stats(t)).select(
+        "group", "type", "severity", "title", "description", "recommendation", F.get(names, F.lit(1)).alias("goal"),
+        F.element_at("metrics", F.get(names, F.lit(1))).alias("wanted"),
+        F.round(F.element_at("metrics", F.get(names, F.lit(0))).cast("double"), 9).alias("current"))
 
 
 @query("optimization_plan", "members", f"""{_SNAPS} SELECT "group", a.action, a.goal, round(a.now, 9) AS current FROM (
