@@ -16,7 +16,7 @@ from tidelog.session import durable
 ORDER = 4
 #: Labelled documents learned from, per language (the expected number of a sample by hash).
 SAMPLE_DOCS = 3000
-#: Languages told apart at most; with more labels than that, training raises an error.
+#: Languages told apart at most: those with the most labelled documents.
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Distinct words whose code lengths a worker keeps; bounds memory, not results.
@@ -154,13 +154,11 @@ def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOC
     """
     rows = labelled.filter("lang is not null")
     sizes = durable(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    languages = [r.lang for r in sizes.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
     share = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")).cast("double")
              / 2.0**64 + 0.5)
-    sample = rows.join(sizes.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).filter(
-        share * F.col("n") < sample_docs).select("lang", "text")
+    sizes = sizes.filter(F.col("lang").isin(languages)).withColumnRenamed("lang", "of")
+    sample = rows.join(sizes, F.col("lang") == F.col("of")).filter(share * F.col("n") < sample_docs).select("lang", "text")
     numbers = {name: k for k, name in enumerate(languages)}
     schema = pa.schema([("language", pa.int32()), ("depth", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
