@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -161,7 +162,10 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     rows = _with_ids(docs)
     sets = line_sets(rows)
     listed = sets.select("d", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "word"))
-    entries = listed.repartition("word")  # once for the ranks and both sides of the join
+    # dealt out once for the ranks and both sides of the join: that nothing is null is said here, as
+    # otherwise the planner would add it to one side only, and deal out each side on its own
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in listed.columns])
+    entries = listed.filter(there).repartition("word")
     ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "line_no")))
     early = _earlier(ranked.filter(F.col("rank") <= pivots).drop("rank"))
     pairs = entries.join(early, "word").filter(_may_match()).select(*PAIR).distinct()
