@@ -106,7 +106,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       CASE WHEN event_id % 6 = 0 THEN 'NON_EMPTY_ORDER' END AS validation_rule,
       CASE WHEN event_id % 8 <> 0 THEN 'corr-' || event_id END AS correlation_id,
       CAST(event_id % 5 + 1 AS INTEGER) AS attempts
-      FROM events WHERE event_type = 'error'"""),
+      FROM events"""),
     "failures": (("failed",), """SELECT *, ts + to_seconds((attempt - 1) * 30) AS failed_at
       FROM (SELECT *, CAST(unnest(range(1, attempts + 1)) AS INTEGER) AS attempt FROM failed)"""),
     "exhausted": (("failed",), """SELECT *, attempts AS attempt,
