@@ -69,7 +69,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
             found.add("last")
         for outer in ("article", "main"):
             if f"in {outer}" in found:
-                found.update(f"{outer} and {x}" for x in ("in header", "role comment", "role ad") if x in found)
+                found.update([f"{outer} and {x}" for x in sorted(found) if x.startswith(("in ", "role ")) and x not in (
+                    "in body", "in html", "in article", "in main", "in div", "in p")])
         out.append(sorted(found))
     return out
 

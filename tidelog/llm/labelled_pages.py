@@ -39,6 +39,20 @@ def _links(rng: random.Random, tag: str = "li") -> str:
     return "".join(f'<{tag}><a href="/{k}">{_phrase(rng, 1, 3)}</a></{tag}>' for k in range(rng.randint(3, 7)))
 
 
+def _within(rng: random.Random) -> str:
+    """What stands inside an article without being part of it."""
+    name = rng.choice(["ad", "advert", "promo-box", "newsletter", "related", "notice", "share-links", "sponsored"])
+    text = " ".join(_sentence(rng, 2, 12) for _ in range(rng.choice([1, 1, 2])))
+    return rng.choice([
+        f'<div class="{name}" data-label="0">{text}</div>',
+        f'<div class="{name}" data-label="0"><p>{text}</p></div>',
+        f'<aside data-label="0"><p>{text}</p></aside>',
+        f'<aside class="{name}" data-label="0"><h3>{_phrase(rng)}</h3><p>{text}</p></aside>',
+        f'<form data-label="0"><p>{text}</p><label>{_phrase(rng)}</label><button>Send</button></form>',
+        f'<nav data-label="0"><ul>{_links(rng)}</ul></nav>',
+        f'<footer data-label="0"><p>{text}</p></footer>'])
+
+
 def _article(rng: random.Random) -> str:
     parts = [f"<h1>{_phrase(rng, 3, 9)}</h1>"] if rng.random() < 0.8 else []
     if rng.random() < 0.15:
@@ -59,9 +73,10 @@ def _article(rng: random.Random) -> str:
             parts.append(f"<table><tr><td>{_phrase(rng)}</td><td>{_sentence(rng, 2, 6)}</td></tr></table>")
         else:
             parts.append(f"<p>{_phrase(rng, 1, 3)}.</p>")
-        if rng.random() < 0.06:
-            parts.append(f'<div class="{rng.choice(["ad", "advert", "promo-box", "newsletter", "related"])}" '
-                         f'data-label="0">{_sentence(rng, 2, 12)}</div>')
+        if rng.random() < 0.1:
+            parts.append(_within(rng))
+    if rng.random() < 0.08:
+        parts.append(f'<div data-label="0">{rng.choice(_comments(rng))}</div>')
     inner = "".join(parts)
     opening = rng.choice([
         "<article>", "<article>", "<article>", '<article class="post">', "<main>", '<div id="content">',
