@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+from tidelog.llm import line_dedup
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SMALL = "/root/testdata/sf0.001"
@@ -12,6 +14,13 @@ CLASHES = ["score", "block", "word", "d", "h1", "fp", "fingerprint", "component_
            "lang_pred", "held_out", "id", "at", "__text"]
 
 
+@pytest.fixture(autouse=True)
+def small_tables(monkeypatch):
+    """Tables of fixed size are small here, which changes no result."""
+    monkeypatch.setattr(line_dedup, "BUCKET_BITS", 14)
+    monkeypatch.setattr(line_dedup, "FLAG_BITS", 12)
+
+
 @pytest.fixture(scope="session")
 def folder():
     if not os.path.isdir(SMALL):

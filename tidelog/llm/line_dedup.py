@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.llm.common import written
 
-#: Buckets of the table of word counts that orders words by rarity: its size has a bound whatever
+#: Buckets (2^22) of the table of word counts that orders words by rarity: its size has a bound whatever
 #: the vocabulary. Words that share a bucket only make the order less sharp, not the join inexact.
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 #: Bits of the tables that tell which lines are needed.
 FLAG_BITS = 23
 #: Lines of a word's list that all others of the list are compared with first.
@@ -45,11 +45,13 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _by_bucket(counts: DataFrame) -> DataFrame:
-    """Numbers by bucket as one row with an array of fixed length."""
+    """Numbers by bucket as one row with an array of fixed length, put together from arrays of 1024."""
     none = counts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    whole = counts.union(none).groupBy("bucket").agg(F.sum("n").alias("n"))
-    listed = F.sort_array(F.collect_list(F.struct("bucket", F.least("n", F.lit((1 << 20) - 1)).cast("int").alias("n"))))
-    return whole.agg(F.transform(listed, lambda x: x["n"]).alias("counts"))
+    whole = counts.union(none).groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 20) - 1)).cast("int").alias("n"))
+    part = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"])
+    parts = whole.groupBy(F.shiftright("bucket", 10).alias("part")).agg(part.alias("counts"))
+    listed = F.sort_array(F.collect_list(F.struct("part", "counts")))
+    return parts.agg(F.flatten(F.transform(listed, lambda x: x["counts"])).alias("counts"))
 
 
 def _bucket(of_hash: Column) -> Column:
@@ -161,7 +163,8 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     """
     rows = _with_ids(docs)
     sets = line_sets(rows)
-    listed = sets.select("d", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "word"))
+    listed = sets.select("d", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("place", "word")).filter(
+        F.shiftright("word", 43) > 1)  # a word that occurs once is in no other line
     # dealt out once for the ranks and both sides of the join: that nothing is null is said here, as
     # otherwise the planner would add it to one side only, and deal out each side on its own
     there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in listed.columns])
