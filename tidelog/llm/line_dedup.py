@@ -176,7 +176,10 @@ def repeated(docs: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFram
     first = written(pairs.unionByName(late, allowMissingColumns=True))
     found = written(_verified(first.filter("word is null").select(*PAIR), rows))
     late = first.filter("word is not null").drop("a_d", "a_line_no")
-    undecided = late.join(found, ["d", "line_no"], "left_anti")
+    # most undecided lines are told by the table of bits; only what may be decided is held against the list
+    line = F.xxhash64("d", "line_no")
+    maybe = _among(_bits(found.select(line.alias("at"))), line)
+    undecided = late.filter(~maybe).unionByName(late.filter(maybe).join(found, ["d", "line_no"], "left_anti"))
     second = written(undecided.join(_earlier(late), "word").filter(_may_match()).select(*PAIR).distinct())
     return sets, written(found.union(_verified(second, rows)).distinct())
 
