@@ -17,8 +17,10 @@ from tidelog.llm.common import arrays, nonempty, strings
 LOT_BYTES = 16 << 20
 #: Share of an item's own score that a passage must reach to be verified.
 LEAST_SCORE = 0.5
-#: Share of an item's shingles that a passage must have.
+#: Share of an item's shingles that a document must have.
 LEAST_OVERLAP = 0.8
+#: Share of a question's shingles that tells a leak on its own, for questions of SHINGLE words or more.
+LEAST_QUESTION = 0.8
 SHINGLE = 5
 #: Passages of items up to 64 words have 128 words and start every 64; longer items double both.
 LEAST_STRIDE = 64
@@ -60,6 +62,7 @@ class Index:
         both = [parts(t) for _, t in items]
         self.questions = [shingles(q) for q, _ in both]
         self.answers = [shingles(a) for _, a in both]
+        self.asks = [len(q) >= SHINGLE for q, _ in both]
         bags = [words(t) for _, t in items]
         self.shingles = [shingles(b) for b in bags]
         mean = sum(map(len, bags)) / len(bags)
@@ -200,21 +203,29 @@ def indexes(items: list[tuple[int, str]]) -> list[Index]:
     return [Index(some, stride) for stride, some in sorted(kinds.items())]
 
 
-def leaks(found: list[Index], texts: list[str | None], least_overlap: float):
-    """(document, item id, first word, score, overlaps of whole, question, answer): the best passage
-    of each document and item that holds enough of the item's shingles."""
+def leaks(found: list[Index], texts: list[str | None], least_overlap: float, least_question: float | None = None):
+    """(document, item id, first word, score, overlaps of whole, question, answer): the best passage of each
+    document and item, if the document holds enough of the item's or of its question's shingles."""
     word_lists = [words(t) for t in texts]
     best: dict[tuple[int, int], tuple] = {}
     for index in found:
+        # the parts of an item may lie far from each other, so its shares are those of the document
+        of, shares = -1, {}
         for d, start, item, score in index.search(word_lists):
             whole, question, answer = index.shingles[item], index.questions[item], index.answers[item]
-            there = shingles_of(word_lists[d][start:start + 2 * index.stride], whole | question | answer)
-            overlap = share(whole, there)
-            if overlap >= least_overlap:
-                key, old = (d, int(index.ids[item])), best.get((d, int(index.ids[item])))
-                if old is None or (overlap, score, -start) > (old[3], old[2], -old[1]):
-                    best[key] = (key[1], start, score, overlap, share(question, there), share(answer, there))
-    return [(d, *row) for (d, _), row in sorted(best.items())]
+            wanted = whole | question | answer
+            if d != of:
+                of, shares = d, {}
+            if item not in shares:
+                there = shingles_of(word_lists[d], wanted)
+                shares[item] = share(whole, there), share(question, there), share(answer, there)
+            overlap, asked, _ = shares[item]
+            if overlap >= least_overlap or (least_question is not None and index.asks[item] and asked >= least_question):
+                there = shingles_of(word_lists[d][start:start + 2 * index.stride], wanted)
+                key, rank = (d, int(index.ids[item])), (overlap, share(whole, there), score, -start)
+                if key not in best or rank > best[key][0]:
+                    best[key] = (rank, (key[1], start, score, *shares[item]))
+    return [(d, *row) for (d, _), (_, row) in sorted(best.items())]
 
 
 def shingles_of(passage: list[str], wanted: set) -> set:
@@ -251,14 +262,17 @@ def _built(lot: Broadcast) -> list[Index]:
     return _BUILT[key][1]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP,
+         least_question: float | None = None) -> DataFrame:
     """(doc_id, item_id, first_word, score, overlap, question_overlap, answer_overlap): test items in documents.
 
     Every document is cut into overlapping passages long enough to hold an item whole. Each passage
     asks the index of test items; all items whose BM25 score reaches LEAST_SCORE of their score for
-    their own text are verified: the passage must have at least ``least_overlap`` of the item's word
-    shingles. The row has the passage with most of them, where it starts (in words), and the
-    shares of the question and the answer found.
+    their own text are verified: the document must have at least ``least_overlap`` of the item's word
+    shingles, in one place or in several, or, if it is given, ``least_question`` of those of its question.
+    A question of fewer than SHINGLE words counts only within its item. The row has the passage with
+    most shingles, where it starts (in words), and the shares of the whole, the question and the answer
+    that the document holds.
 
     Documents are read once per LOT_BYTES of items, without a shuffle. Null or empty texts and
     items are found nowhere; a null item id is passed over; a null doc_id stays null; equal rows of
@@ -275,7 +289,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
         def run(batches, lot=lot):
             for batch in nonempty(batches):
                 ids = batch.column("doc_id").to_pylist()
-                found = leaks(_built(lot), strings(batch, "text"), least_overlap)
+                found = leaks(_built(lot), strings(batch, "text"), least_overlap, least_question)
                 if found:
                     rows = [(ids[d], *rest) for d, *rest in found]
                     yield arrays(schema, dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
@@ -284,12 +298,13 @@ def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
     return whole
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns, filtered where they are read."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP,
+               least_question: float | None = None) -> DataFrame:
+    """The rows of ``docs`` in which ``find`` finds no test item, with all their columns, filtered where they are read."""
     for lot in _lots(benchmark):
         def run(batches, lot=lot):
             for batch in nonempty(batches):
-                dirty = {d for d, *_ in leaks(_built(lot), strings(batch, "text"), least_overlap)}
+                dirty = {d for d, *_ in leaks(_built(lot), strings(batch, "text"), least_overlap, least_question)}
                 yield batch.filter(pa.array([k not in dirty for k in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

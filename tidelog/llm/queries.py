@@ -36,7 +36,7 @@ def op1(documents):
 
 @query("op2_decontamination", "documents", "benchmark")
 def op2(documents, benchmark):
-    return decontaminate.find(documents, benchmark)
+    return decontaminate.find(documents, benchmark, least_question=decontaminate.LEAST_QUESTION)
 
 
 @query("op3_context_mixing", "documents")
