@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 # Element kinds of the HTML standard.
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav
-ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
+noscript object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg math xmp noembed noframes".split())
+RAW = frozenset("script style template title textarea iframe svg xmp noembed noframes".split())
+#: Left open, these go on to the end of the page; of others only the tag is passed over.
+RAW_TO_END = frozenset(("script", "style"))
 #: Starting one of these ends an open paragraph.
 ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul""".split())
@@ -57,13 +59,15 @@ def _names(attributes: str) -> tuple[str, str | None]:
     return " ".join(named), label
 
 
-def leaf_blocks(page: str) -> list[Block]:
+def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
     """Blocks with text in page order, in time linear in the page. Scripts, styles, comments and
-    other elements without text of their own are left out; elements left open end with the page."""
+    other elements without text of their own are left out; elements left open end with the page.
+    ``labelled`` pages are training pages: ``data-label`` has the label of the blocks inside an element."""
     out: list[Block] = []
     stack: list[tuple[str, str, str | None]] = []
     now: Block | None = None
     links = at = 0
+    open_ended: set[str] = set()
 
     def finish():
         nonlocal now
@@ -92,7 +96,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 if text.isspace():
                     continue
                 now = Block([(n, c) for n, c, _ in stack])
-                now.label = int(next((v for _, _, v in reversed(stack) if v is not None), "0"))
+                if labelled:
+                    now.label = int(next((v for _, _, v in reversed(stack) if v is not None), "0"))
             now.pieces.append(text)
             now.linked += len(text) if links else 0
             continue
@@ -110,8 +115,10 @@ def leaf_blocks(page: str) -> list[Block]:
         else:
             attributes = token[3] if token[2] else token[6]
             if name in RAW and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else size
+                end = None if name in open_ended else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if end is None:
+                    open_ended.add(name)
+                at = end.end() if end else size if name in RAW_TO_END else at
                 continue
             if name in ENDS_P:
                 for k in range(len(stack) - 1, -1, -1):

@@ -158,7 +158,7 @@ def train(pages: list[str], steps: int = STEPS, penalty: float = PENALTY) -> Fie
 
 
 def main_text(page: str | None, model: Field) -> str:
-    blocks = leaf_blocks(page) if page else []
+    blocks = leaf_blocks(page, labelled=False) if page else []
     labels = model.decode(features(blocks))
     return "\n\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
 
