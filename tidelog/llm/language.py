@@ -16,10 +16,10 @@ from tidelog.session import durable
 ORDER = 4
 #: Labelled documents learned from, per language (the expected number of a sample by hash).
 SAMPLE_DOCS = 3000
-#: Languages told apart at most: those with the most labelled documents.
-MOST_LANGUAGES = 200
+#: Languages whose statistics are held in one model; more of them have several models.
+LANGUAGES_AT_ONCE = 200
 UNKNOWN = "und"
-#: Distinct words whose code lengths a worker keeps; bounds memory, not results.
+#: Distinct words whose code lengths a worker keeps, for one model; bounds memory, not results.
 KEPT_WORDS = 150_000
 #: Bytes of words that are taken apart at once; bounds memory, not results.
 LOT_BYTES = 1 << 18
@@ -123,14 +123,25 @@ class Model:
         return np.add.reduceat(cost, np.concatenate(([0], ends[:-1])), axis=0) if some else cost
 
 
+class Models:
+    """Models of LANGUAGES_AT_ONCE languages each, side by side: every language takes part."""
+
+    def __init__(self, lots: list[Model]):
+        self.lots, self.languages = lots, [name for lot in lots for name in lot.languages]
+
+    def code_lengths(self, some: list[bytes]) -> np.ndarray:
+        return np.concatenate([lot.code_lengths(some) for lot in self.lots], axis=1)
+
+
 class Scorer:
     """Code lengths of texts; those of a word are worked out once and kept."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | Models):
         self.model, self.place, self.costs = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.most = KEPT_WORDS * LANGUAGES_AT_ONCE // max(LANGUAGES_AT_ONCE, len(model.languages))
 
     def lengths(self, word_lists: list[list[bytes]]) -> np.ndarray:
-        if len(self.place) > KEPT_WORDS:
+        if len(self.place) > self.most:
             self.place, self.costs = {}, self.costs[:0]
         new = list({w for some in word_lists for w in some if w not in self.place})
         if new:
@@ -144,20 +155,20 @@ class Scorer:
         return out
 
 
-def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Statistics of (doc_id, text, lang) rows.
 
     Of each language about ``sample_docs`` rows are learned from, chosen by a hash of the id so that
     the choice depends on nothing else; their texts are counted whole. Rows without text or language
     are passed over. The counts of the context trees are summed by Spark; their number is
-    bounded by the sample, so the finished trees fit on the driver.
+    bounded by the sample, so the finished trees of LANGUAGES_AT_ONCE languages fit on the driver.
     """
     rows = labelled.filter("lang is not null")
     sizes = durable(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    languages = sorted(r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
     share = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")).cast("double")
              / 2.0**64 + 0.5)
-    sizes = sizes.filter(F.col("lang").isin(languages)).withColumnRenamed("lang", "of")
+    sizes = sizes.withColumnRenamed("lang", "of")
     sample = rows.join(sizes, F.col("lang") == F.col("of")).filter(share * F.col("n") < sample_docs).select("lang", "text")
     numbers = {name: k for k, name in enumerate(languages)}
     schema = pa.schema([("language", pa.int32()), ("depth", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
@@ -172,8 +183,16 @@ def train(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOC
                 yield arrays(schema, {"language": np.full(len(key), language), "depth": depth, "key": key, "n": n})
 
     counted = sample.mapInArrow(count, "language int, depth int, key bigint, n bigint").groupBy(
-        "language", "depth", "key").agg(F.sum("n").alias("n")).toPandas()
-    return Model(languages, order, counted[["language", "depth", "key", "n"]].to_numpy(np.int64).reshape(-1, 4))
+        "language", "depth", "key").agg(F.sum("n").alias("n"))
+    starts = range(0, max(1, len(languages)), LANGUAGES_AT_ONCE)
+    if len(starts) > 1:
+        counted = durable(counted)
+    lots = []
+    for at in starts:
+        own = counted.filter(F.col("language").between(at, at + LANGUAGES_AT_ONCE - 1)).select(
+            F.col("language") - at, "depth", "key", "n").toPandas()
+        lots.append(Model(languages[at:at + LANGUAGES_AT_ONCE], order, own.to_numpy(np.int64).reshape(-1, 4)))
+    return Models(lots)
 
 
 def told(scorer: Scorer, texts: list[str | None]) -> tuple:
@@ -192,7 +211,7 @@ def told(scorer: Scorer, texts: list[str | None]) -> tuple:
     return names, best, score, bits
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model | Models) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) per row.
 
     The language in which the whole text has the shortest code; ties go to the first name in order.
