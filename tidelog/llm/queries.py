@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import decontaminate, extract, language, line_dedup, mixing, packing, pii, simhash, token_counts, topk
+from tidelog.llm import (
+    decontaminate, extract, language, line_dedup, mixing, odd_sketches, packing, pii, ranked_search, simhash, token_counts, topk,
+)
 from tidelog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +119,54 @@ def op9(documents):
 @query("op10_token_counts", "documents")
 def op10(documents):
     return token_counts.token_counts(documents)
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sizes) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // all_terms))))) AS BIGINT) AS score
+  FROM asked JOIN df USING (term) JOIN counts USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", "documents", "benchmark", sql=OP13_SQL)
+def op13(documents, benchmark):
+    return ranked_search.search(documents, benchmark)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, [w FOR w IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY 1, 2),
+flat AS (SELECT id, n, unnest(s) AS x FROM classes),
+common AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM flat a JOIN flat b USING (x)
+  WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM r JOIN edges e ON r.b = e.a)
+  SELECT a, min(b) AS low FROM r GROUP BY a),
+roots AS (SELECT id, s, least(id, coalesce(low, id)) AS root FROM classes LEFT JOIN reach ON a = id)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id,
+  doc_id = coalesce(root, doc_id) AS kept
+FROM sets LEFT JOIN roots ON list_sort(sets.s) = roots.s
+"""
+
+
+@query("op11_odd_sketches", "documents", sql=OP11_SQL)
+def op11(documents):
+    return odd_sketches.near_duplicates(documents)
