@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm import (
-    decontaminate, extract, language, line_dedup, mixing, odd_sketches, packing, pii, ranked_search, simhash, token_counts, topk,
+    decontaminate, extract, language, line_dedup, mixing, odd_sketches, packing, pii, ranked_search, simhash, token_counts,
+    topk, turns,
 )
 from tidelog.llm.common import small_batches, table
 
@@ -121,31 +122,6 @@ def op10(documents):
     return token_counts.token_counts(documents)
 
 
-OP13_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
-sizes AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
-total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
-counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sizes) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
-    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
-scores AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
-    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // all_terms))))) AS BIGINT) AS score
-  FROM asked JOIN df USING (term) JOIN counts USING (term), total GROUP BY item_id, doc_id)
-SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
-WHERE rank <= 50
-"""
-
-
-@query("op13_ranked_search", "documents", "benchmark", sql=OP13_SQL)
-def op13(documents, benchmark):
-    return ranked_search.search(documents, benchmark)
-
-
 OP11_SQL = r"""
 WITH words AS (
   SELECT doc_id, [w FOR w IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -170,3 +146,33 @@ FROM sets LEFT JOIN roots ON list_sort(sets.s) = roots.s
 @query("op11_odd_sketches", "documents", sql=OP11_SQL)
 def op11(documents):
     return odd_sketches.near_duplicates(documents)
+
+
+@query("op12_conversation_repair", "conversations")
+def op12(conversations):
+    return turns.audited(conversations)
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sizes) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // all_terms))))) AS BIGINT) AS score
+  FROM asked JOIN df USING (term) JOIN counts USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", "documents", "benchmark", sql=OP13_SQL)
+def op13(documents, benchmark):
+    return ranked_search.search(documents, benchmark)
