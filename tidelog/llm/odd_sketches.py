@@ -22,7 +22,9 @@ SAMPLES = ROWS * BANDS
 BITS, TAIL = 1024, 1e-9
 #: Members of a band's group that one task compares with each other; larger groups are dealt to more tasks.
 BLOCK = 4096
-_WORDS = BITS // 64
+#: Bits of the odd sketch of a whole set. Two of them never differ in more bits than the sets do in elements.
+WHOLE_BITS = 2048
+_WORDS, _WHOLE_WORDS = BITS // 64, WHOLE_BITS // 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 #: odd factors, each a permutation of the 32-bit numbers
@@ -81,37 +83,46 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(mins), BITS), axis=1, bitorder="little").view(np.int64)
 
 
+def whole_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch of all elements of a set, without samples: exact as long as few elements differ."""
+    place = ((hashes ^ hashes >> np.uint64(29)) * _MULTIPLIER >> np.uint64(64 - WHOLE_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=WHOLE_BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _lists(values: np.ndarray) -> pa.ListArray:
     offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, t1, t2, n, d1, d2, bands, bits): hashes of the text, the number of shingles, two sums that tell
-    equal sets, the keys of the bands and the odd sketch."""
+    """(doc_id, t1, t2, n, d1, d2, bands, bits, whole): hashes of the text, the number of shingles, two sums that tell
+    equal sets, the keys of the bands and the odd sketches of the samples and of the whole set."""
     kind = pa.list_(pa.int64())
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "t1", "t2", "n", "d1", "d2")] + [("bands", kind), ("bits", kind)])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "t1", "t2", "n", "d1", "d2")] + [
+        (c, kind) for c in ("bands", "bits", "whole")])
 
     def run(batches):
         for batch in nonempty(batches):
             for at in range(0, batch.num_rows, 100):
                 some = batch.slice(at, 100)
                 mins = np.zeros((some.num_rows, SAMPLES), np.uint32)
+                whole = np.zeros((some.num_rows, _WHOLE_WORDS), np.int64)
                 sums, sizes = np.zeros((some.num_rows, 2), np.uint64), []
                 for k, text in enumerate(strings(some, "text")):
                     own = shingles(text, size)
                     sizes.append(len(own))
                     if len(own):
-                        mins[k] = samples(own)
+                        mins[k], whole[k] = samples(own), whole_sketch(own)
                         sums[k] = own.sum(dtype=np.uint64), ((own ^ own >> np.uint64(31)) * _MULTIPLIER ^ own).sum(dtype=np.uint64)
                 columns = {c: some.column(c) for c in ("doc_id", "t1", "t2")} | {
                     "n": pa.array(sizes, pa.int64()), "d1": pa.array(sums[:, 0].view(np.int64).copy()),
                     "d2": pa.array(sums[:, 1].view(np.int64).copy()),
-                    "bands": _lists(band_keys(mins)), "bits": _lists(odd_sketches(mins))}
+                    "bands": _lists(band_keys(mins)), "bits": _lists(odd_sketches(mins)), "whole": _lists(whole)}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
 
     return _texts(docs, "cast(doc_id as bigint) as doc_id").mapInArrow(
-        run, "doc_id bigint, t1 bigint, t2 bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, bits array<bigint>")
+        run, "doc_id bigint, t1 bigint, t2 bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, bits array<bigint>, "
+        "whole array<bigint>")
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -124,14 +135,22 @@ def _alike(a: Column, b: Column, common: Column, percent: int) -> Column:
     return common * 100 >= (a + b - common) * percent
 
 
+def _differ(a: str, b: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(words)), F.lit(0))
+
+
 def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and odd sketches do not tell apart."""
-    side = sets.select("row", "n", "bits")
+    """The pairs (a, b) that sizes and odd sketches do not tell apart.
+
+    Sets that are similar enough differ in at most (100 - percent) / (100 + percent) of their sizes' sum, which
+    bounds the bits of whole sketches without exception; those of samples tell large sets apart.
+    """
+    side = sets.select("row", "n", "bits", "whole")
     of = [side.select(*[F.col(c).alias(f"{c}_{s}") for c in side.columns]) for s in "ab"]
     both = pairs.join(of[0], F.col("a") == F.col("row_a")).join(of[1], F.col("b") == F.col("row_b"))
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(_WORDS)), F.lit(0))
     return both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).filter(
-        differ <= most_bits(percent)).select("a", "b")
+        _differ("bits_a", "bits_b", _WORDS) <= most_bits(percent)).filter(
+        _differ("whole_a", "whole_b", _WHOLE_WORDS) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -157,14 +176,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 
 
 def within(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one group, (key, i, j, n, row, root, bits), of different roots that may be a link.
+    """(a, b): members of one group, (key, i, j, n, row, root, bits, whole), of different roots that may be a link.
 
     Groups come sorted by size, so a member meets only those that are not too large for it.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     most = most_bits(percent)
 
-    def compared(n, row, root, bits):
+    def compared(n, row, root, bits, whole):
         last = np.searchsorted(n, n * 100 // percent, side="right")
         for at in range(0, len(n), 64):
             end = int(last[min(at + 63, len(n) - 1)])
@@ -175,6 +194,9 @@ def within(members: DataFrame, percent: int) -> DataFrame:
             left, right = np.nonzero(differ <= most)
             left, right = left + at, right + at
             good = (right > left) & (right < last[left]) & (root[left] != root[right])
+            left, right = left[good], right[good]
+            apart = np.bitwise_count(whole[left] ^ whole[right]).sum(axis=1, dtype=np.int64)
+            good = apart * (100 + percent) <= (n[left] + n[right]) * (100 - percent)
             left, right = row[left[good]], row[right[good]]
             if len(left):
                 yield arrays(schema, {"a": np.minimum(left, right), "b": np.maximum(left, right)})
@@ -184,7 +206,8 @@ def within(members: DataFrame, percent: int) -> DataFrame:
         for batch in nonempty(batches):
             keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             now = [batch.column(c).to_numpy() for c in ("n", "row", "root")]
-            now += [batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS), keys]
+            now += [batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, w)
+                    for c, w in (("bits", _WORDS), ("whole", _WHOLE_WORDS))] + [keys]
             held = now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)]
             keys = held[-1]
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -199,7 +222,7 @@ def within(members: DataFrame, percent: int) -> DataFrame:
 
 
 def links(sets: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """(a, b): links that connect all of these different sets, (row, n, t1, t2, bands, bits), that are linked."""
+    """(a, b): links that connect all of these different sets, (row, n, t1, t2, bands, bits, whole), that are linked."""
     entries = sets.select(F.explode("bands").alias("key"), "row")
     groups = written(entries.groupBy("key").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     shared = written(entries.join(groups, "key"))
@@ -214,9 +237,9 @@ def links(sets: DataFrame, docs: DataFrame, size: int, percent: int, block: int)
     dealt = rooted.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("row"), salts)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
     members = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "root").join(
-        sets.select("row", "n", "bits"), "row")
+        sets.select("row", "n", "bits", "whole"), "row")
     order = ["key", "i", "j", "n", "row"]
-    late = within(members.repartition("key", "i", "j").sortWithinPartitions(*order).select(*order, "root", "bits"), percent)
+    late = within(members.repartition("key", "i", "j").sortWithinPartitions(*order).select(*order, "root", "bits", "whole"), percent)
     second = written(late.distinct().join(first, ["a", "b"], "left_anti"))
     return found.union(confirmed(second, sets, docs, size, percent))
 
@@ -228,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bloc
     Documents are linked if 100 x common >= ``percent`` x all. Equal sets meet by their digests and go on as one.
     Sets that share a band of MinHash samples are candidates: first each with the smallest of its band's group, then,
     where that leaves a group in several components, those of different components with each other. The xor of two
-    odd sketches tells most candidates apart; what is left is confirmed on full sets. A link is missed only if no
+    odd sketches, of samples and of whole sets, tells most candidates apart; what is left is confirmed on full sets. A link is missed only if no
     band shows it or its sketches lie in the tail of their law, with probability of less than 1e-7.
 
     A group of copies costs one set, a group of near copies one pair for each band and member. Texts without
@@ -237,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bloc
     an id are documents of their own. Equal rows come out once each; an empty table gives no rows; other columns are not read.
     """
     prints = written(digests(docs, size))
-    first = F.min(F.struct("t1", "t2", "bands", "bits")).alias("first")
+    first = F.min(F.struct("t1", "t2", "bands", "bits", "whole")).alias("first")
     sets = numbered(prints.filter("n > 0").groupBy("n", "d1", "d2").agg(first, F.min("doc_id").alias("first_id")).select(
         "n", "d1", "d2", "first_id", "first.*")).withColumnRenamed("__row", "row")
     roots = written(components(links(sets, docs, size, percent, block), "a", "b"))
