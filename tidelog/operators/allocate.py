@@ -2,7 +2,7 @@
 
 ``units`` has ``queue`` and ``unit``; ``owners`` has one row per queue it serves. Both are
 numbered within their queue (see ``indexing``), each strategy turns owners into positions,
-and an equi-join brings both together. Neither a queue nor the owners of one are ever held
+and an equi-join or, for blocks of positions, a merge (see ``carry``) brings both together. Neither a queue nor the owners of one are ever held
 in one task, and no side is forced to be broadcast: small ones are measured first and the
 planner decides.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidelog.operators.carry import carried
 from tidelog.operators.indexing import rank_within, running_total
 from tidelog.session import durable, measured
 
@@ -20,8 +21,6 @@ BATCH_FACTOR = 1.2  # capability BATCH_PROCESSING on queues named "batch"
 STREAM_FACTOR = 1.2  # capability REAL_TIME on queues named "stream"
 BULK_FACTOR = 1.1  # preference HIGH_THROUGHPUT on queues named "bulk"
 
-MAX_BUCKET = 100_000  # units in one bucket of the interval join
-
 
 def _ranked(units: DataFrame, *group: str) -> DataFrame:
     return rank_within(units, ["unit"], group=group or ("queue",), name="__rank")
@@ -54,33 +53,29 @@ def _blocks(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
         running_total(quotas, "__quota", "__turn", ["queue"], "__sum")
         .withColumn("__from", F.least("__units", F.col("__sum") - F.col("__quota")))
         .withColumn("__end", F.least("__units", "__sum"))
-        .withColumn("__width", F.greatest(F.lit(1), F.least(F.lit(MAX_BUCKET), F.expr("__units div __of"))))
-        .select("queue", "owner", "__turn", "__of", "__from", "__end", "__width")
+        .select("queue", "owner", "__turn", "__of", "__from", "__end")
     )
 
 
 def _by_weight(units: DataFrame, owners: DataFrame, weight: Column) -> DataFrame:
-    """Each owner a block in proportion to its weight; units beyond all blocks go round in the
-    same order. A block meets its units by bucket: buckets are as wide as the average block,
-    so all of them together are compared about twice as often as there are units."""
+    """Each owner a block in proportion to its weight; units beyond all blocks go round in the same order.
+
+    Units and the starts of blocks are laid out together by position, and each start is carried forward to the
+    units behind it, over the borders of tasks too. So neither a heavy owner nor many light ones make a large task.
+    """
     ranked = _ranked(units)
     blocks = durable(_blocks(units, owners, weight))  # one row per owner, read three times
-    per_queue = blocks.groupBy("queue").agg(
-        F.max("__end").alias("__settled"), F.max("__of").alias("__of"), F.max("__width").alias("__wide"))
-    placed = ranked.join(per_queue, "queue", "left")
-    inside = placed.filter("__rank < __settled").withColumn("__bucket", F.expr("__rank div __wide"))
-    spans = (
-        blocks.filter("__end > __from")
-        .select(F.col("queue").alias("__queue"), "owner", "__from", "__end", F.explode(F.sequence(
-            F.expr("__from div __width"), F.expr("(__end - 1) div __width"))).alias("__span"))
-    )
-    taken = inside.join(
-        spans,
-        (inside["queue"] == spans["__queue"]) & (inside["__bucket"] == spans["__span"])
-        & (inside["__rank"] >= spans["__from"]) & (inside["__rank"] < spans["__end"]))
+    per_queue = measured(blocks.groupBy("queue").agg(F.max("__end").alias("__settled"), F.max("__of").alias("__of")))
+    starts = blocks.filter("__end > __from").select(
+        "queue", F.col("__from").alias("__rank"), F.lit(True).alias("__start"), F.col("owner").alias("__owner"))
+    both = starts.unionByName(ranked.withColumn("__start", F.lit(False)), allowMissingColumns=True).withColumn(
+        "__unit", ~F.col("__start"))
+    met = carried(both, ["queue"], ["__rank", "__unit"], "__start", ["__owner"]).filter("__unit")
+    placed = met.join(per_queue, "queue", "left")
+    columns = [*units.columns, "owner"]
+    taken = placed.filter("__rank < __settled").withColumn("owner", F.col("last___owner"))
     over_all = placed.filter("__rank >= __settled or __settled is null").withColumn(
         "__seat", F.expr("(__rank - __settled) % __of"))
-    columns = [*units.columns, "owner"]
     return taken.select(columns).unionByName(_seat(over_all, blocks, [], units).select(columns))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.functions.hashing import key_partition, string_hash
 from tidelog.operators.indexing import ARRIVAL, PLACE, arrival_index, rank_within
@@ -121,33 +121,45 @@ def part_load_aware(df: DataFrame, partitions: int, loads: Sequence[int] | DataF
                     threshold: int = LOAD_THRESHOLD) -> DataFrame:
     """Least-loaded partition of the topic first, lowest number on ties; in turn once all are above the
     threshold. ``loads`` are the present counts: one per partition for every topic alike, or rows of (topic,
-    partition, load); partitions without a row have no load.
+    partition, load), added up; partitions without a row have no load.
 
-    A partition at load l is filled at the levels l, l + 1, ... threshold, so the order of all
-    (level, partition) pairs of a topic is the order in which its first records are placed.
+    Between two loads that occur in a topic the same partitions take one record each in turn, so its slots
+    are a few segments, as many as there are different loads: a record's place in its topic lies in one, and
+    its place in the segment tells the partition. The threshold does not add to the rows.
     """
     _check(partitions)
-    every = measured(df.select("topic").distinct()).select(
-        "topic", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("__target"))
+    topics = measured(df.select("topic").distinct())
     if isinstance(loads, DataFrame):
-        given = loads.select(F.col("topic").alias("__of"), F.col("partition").alias("__at"), F.col("load").alias("__load"))
-        every = every.join(given, (F.col("topic") == F.col("__of")) & (F.col("__target") == F.col("__at")), "left")
+        each = loads.filter(F.col("partition").between(0, partitions - 1)).groupBy(
+            F.col("topic").alias("__of"), F.col("partition").cast("int").alias("__at")).agg(F.sum("load").cast("bigint").alias("__load"))
+        given = each.groupBy("__of").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__load"))).alias("__loads"))
+        topics = topics.join(given, F.col("topic") == F.col("__of"), "left")
+        load = F.coalesce(F.try_element_at("__loads", F.col("__target")), F.lit(0).cast("bigint"))
     else:
         if loads is not None and len(loads) != partitions:
             raise ValueError("one load per partition")
-        listed = F.array(*[F.lit(x) for x in (loads or [0] * partitions)])
-        every = every.withColumn("__load", F.get(listed, F.col("__target")))
-    free = every.select("topic", "__target", F.coalesce("__load", F.lit(0)).cast("bigint").alias("__load")).filter(
-        F.col("__load") <= threshold)
-    levels = free.withColumn("__level", F.explode(F.sequence(F.col("__load"), F.lit(threshold).cast("bigint"))))
-    slots = measured(rank_within(levels.select("topic", "__level", "__target"), ["__level", "__target"], group=["topic"],
-                                 name="__slot").select(F.col("topic").alias("__topic"), "__slot", "__target"))
-    filled = measured(slots.groupBy(F.col("__topic").alias("__full")).agg(F.count(F.lit(1)).alias("__filled")))
-    arrived = rank_within(df, ARRIVAL, group=["topic"], name="__arrival", identity=PLACE)
-    placed = arrived.join(slots, (F.col("topic") == F.col("__topic")) & (F.col("__arrival") == F.col("__slot")), "left").join(
-        filled, F.col("topic") == F.col("__full"), "left")
-    turn = (F.col("__arrival") - F.coalesce("__filled", F.lit(0))) % partitions
-    return placed.select(*df.columns, F.coalesce("__target", turn.cast("int")).alias(TARGET))
+        load = F.get(F.array(*[F.lit(x).cast("bigint") for x in (loads or [0] * partitions)]), F.col("__target"))
+    # one row per topic and partition, then one per topic and different load: windows are as small as that
+    free = topics.withColumn("__target", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))).select(
+        F.col("topic").alias("__topic"), "__target", load.alias("__load")).filter(F.col("__load") <= threshold)
+    upwards = Window.partitionBy("__topic").orderBy("__load")
+    levels = free.groupBy("__topic", "__load").agg(F.collect_list("__target").alias("__new")).select(
+        "__topic", "__load", F.array_sort(F.flatten(F.collect_list("__new").over(upwards))).alias("__open"),
+        F.coalesce(F.lead("__load").over(upwards), F.lit(threshold + 1).cast("bigint")).alias("__until"))
+    wide = levels.withColumn("__slots", (F.col("__until") - F.col("__load")) * F.size("__open"))
+    ends = F.sum("__slots").over(upwards)
+    segments = measured(wide.select("__topic", "__open", (ends - F.col("__slots")).alias("__from"), ends.alias("__end")))
+    # the last segment of a topic goes on: what comes behind all slots takes turns over all partitions
+    last = segments.groupBy("__topic").agg(F.max("__end").alias("__filled"))
+    whole = topics.join(last, F.col("topic") == F.col("__topic"), "left").select(
+        F.col("topic").alias("__topic"), F.sequence(F.lit(0), F.lit(partitions - 1)).alias("__open"),
+        F.coalesce("__filled", F.lit(0).cast("bigint")).alias("__from"), F.lit((1 << 63) - 1).alias("__end"))
+    spans = measured(segments.unionByName(whole))
+    arrived = rank_within(df.select(*ARRIVAL), ARRIVAL, group=["topic"], name="__arrival")
+    inside = (F.col("topic") == F.col("__topic")) & (F.col("__arrival") >= F.col("__from")) & (F.col("__arrival") < F.col("__end"))
+    turn = ((F.col("__arrival") - F.col("__from")) % F.size("__open")).cast("int")
+    placed = arrived.join(spans, inside).select(*PLACE, F.get("__open", turn).alias(TARGET))
+    return df.join(placed, list(PLACE)).select(*df.columns, TARGET)
 
 
 STRATEGIES = {
