@@ -83,17 +83,54 @@ def test_reason_counts_in_complete_mode(spark, tables, tmp_path):
     assert totals == {(r.topic, r.reason): r.records for r in want}
 
 
+def flushed(df, time, **values):
+    """The rows and one far behind them, which closes all slots of the others."""
+    late = df.limit(1).withColumn(time, F.col(time) + F.expr("interval 300 days"))
+    for name, value in values.items():
+        late = late.withColumn(name, F.lit(value))
+    return df.unionByName(late)
+
+
 def test_breaker(spark, tables, tmp_path):
-    calls = tables.calls()
-    stream = stream_of(spark, calls, tmp_path, "ts", "key string, ts timestamp, seq bigint, ok boolean")
-    got = collected(stateful.circuit_breaker(stream, SPARSE), tmp_path)
+    """One key holds half of the calls; the stream's rows are those of static data."""
+    calls = tables.calls().withColumn("key", F.when(F.col("seq") % 2 == 0, "hot").otherwise(F.col("key")))
+    stream = stream_of(spark, flushed(calls, "ts", key="flush"), tmp_path, "ts", "key string, ts timestamp, seq bigint, ok boolean")
+    got = collected(stateful.circuit_breaker(stream, SPARSE, slot_ms=3_600_000), tmp_path)
     want = breaker.circuit_breaker(calls, SPARSE).collect()
     assert sorted(r[2:] for r in got) == sorted(tuple(r)[2:] for r in want)
 
 
+def test_consuming_behind_a_breaker(spark, tables, tmp_path):
+    calls = tables.calls().withColumn("recoverable", F.col("seq") % 3 == 0)
+    layout = "key string, ts timestamp, seq bigint, ok boolean, recoverable boolean"
+    stream = stream_of(spark, flushed(calls, "ts", key="flush"), tmp_path, "ts", layout)
+    got = collected(stateful.consume_with_breaker(stream, SPARSE, slot_ms=3_600_000).select("seq", "status", "acked"), tmp_path)
+    done = breaker.gated_outcome(breaker.circuit_breaker(calls, SPARSE)).select("seq", "status", "acked")
+    assert sorted(got) == sorted(tuple(r) for r in done.collect()) and len({r[1:] for r in got}) > 2
+
+
+def test_late_rows_of_a_slot_are_put_in_order(spark, tmp_path):
+    """Files whose times overlap by less than the watermark give the order of times; quiet keys are forgotten."""
+    rows = [("a", k, k, k % 4 == 0) for k in range(400)] + [("flush", 50_000, 1, True)]
+    for part in ([r for r in rows if r[1] % 7 < 3], [r for r in rows if r[1] % 7 >= 3]):
+        frame = spark.createDataFrame(part, "key string, at bigint, seq bigint, ok boolean")
+        frame.select("key", F.timestamp_seconds(F.col("at") + 1).alias("ts"), "seq", "ok").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_stream(spark, str(tmp_path / "in"), "key string, ts timestamp, seq bigint, ok boolean", files_per_trigger=1)
+    rule, out = breaker.Breaker(failures=2, reset_ms=20_000, successes=1), []
+    done = stateful.circuit_breaker(stream, rule, watermark="1 hour", forget_ms=3_600_000)
+    query = run_available(done, str(tmp_path / "check"), lambda batch, _: out.extend(batch.collect()))
+    want, state = [], breaker.INITIAL
+    for _, at, seq, ok in rows[:-1]:
+        state, through = rule.step(state, (at + 1) * 1_000_000, ok)
+        want.append((seq, through, breaker.STATE_NAMES[state[0]]))
+    assert [(r.seq, r.admitted, r.state) for r in sorted(out, key=lambda r: r.seq)] == want
+    # of the quiet key nothing is left: the other one has a part, its count and two timers' entries
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 8
+
+
 def test_poison_pills(spark, tables, tmp_path):
     failures = tables.failures()
-    stream = stream_of(spark, failures, tmp_path, "failed_at", schema.FAILURES)
+    stream = stream_of(spark, flushed(failures, "failed_at", topic="flush"), tmp_path, "failed_at", schema.FAILURES)
     got = collected(stateful.poison_pills(stream), tmp_path)
     final = {}
     for topic, partition, offset, _, count, poison in got:
@@ -135,9 +172,11 @@ def test_limited_counts(spark, tables, tmp_path):
 
 
 def test_rate_limit(spark, tables, tmp_path):
-    failures = tables.failures()
-    stream = stream_of(spark, failures, tmp_path, "failed_at", schema.FAILURES)
-    got = collected(stateful.rate_limit(stream, 1), tmp_path)
-    want = tracking.rate_limit(failures, 1).select("topic", "partition", "offset", "attempt", "limited").collect()
+    """A hot topic holds most failures of few minutes; its parts meet in the second step."""
+    failures = tables.failures().filter("topic = 'orders-topic'").withColumn("topic", F.lit("hot")).withColumn(
+        "failed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("partition", "offset", "attempt"), F.lit(400))))
+    stream = stream_of(spark, flushed(failures, "failed_at", topic="flush"), tmp_path, "failed_at", schema.FAILURES)
+    got = collected(stateful.rate_limit(stream, 20), tmp_path)
+    want = tracking.rate_limit(failures, 20).select("topic", "partition", "offset", "attempt", "limited").collect()
     assert sorted(got) == sorted(tuple(r) for r in want)
-    assert any(r.limited for r in want)
+    assert len({r.limited for r in want}) == 2
