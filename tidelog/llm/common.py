@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,8 +66,6 @@ def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a character of a letter category; numbers such as a half or a Roman eight are none."""
+    return bool(text) and any(map(str.isalpha, text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -206,8 +207,10 @@ def date(text: str, move):
         order = "dmy" if b <= 12 and (a > 12 or "." in text) else "mdy"
     value = {}
     for kind, field in zip(order, fields, strict=True):
-        value[kind] = int(field) if field.isdigit() else 1 + next(
-            k for k, m in enumerate(MONTHS) if m.startswith(field.lower()))
+        named = [k + 1 for k, m in enumerate(MONTHS) if m.startswith(field.lower())]
+        if not field.isdigit() and not named:
+            return None
+        value[kind] = int(field) if field.isdigit() else named[0]
     at = _day(value["y"], value["m"], value["d"])
     if at is None or not 0 <= at < days:
         return None
@@ -234,7 +237,7 @@ KINDS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     "date": (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
              r"|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
-             rf"|\b(?i:\d{{1,2}} (?:{_NAMES}),? \d{{4}}|(?:{_NAMES}) \d{{1,2}},? \d{{4}})\b", date),
+             rf"|\b(?ia:\d{{1,2}} (?:{_NAMES}),? \d{{4}}|(?:{_NAMES}) \d{{1,2}},? \d{{4}})\b", date),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", address),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "card": (r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])", card),
@@ -250,20 +253,21 @@ def pseudonymize(text: str | None, moves: Feistel, back: bool = False) -> tuple[
     if not text or _ANY.search(text) is None:
         return text, []
     move = moves.backward if back else moves.forward
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # sorted, none over another
     for kind, finder, change in _FINDERS:
         for match in finder.finditer(text):
             begin, end = match.span()
-            if any(a < end and begin < b for a, b, _, _ in taken):
+            at = bisect.bisect_left(taken, (begin,))
+            if (at < len(taken) and taken[at][0] < end) or (at and taken[at - 1][1] > begin):
                 continue
             new = change(match.group(), move)
             if new is not None:
-                taken.append((begin, end, kind, new))
+                taken.insert(at, (begin, end, kind, new))
     out, last = [], 0
-    for begin, end, _, new in sorted(taken):
+    for begin, end, _, new in taken:
         out += [text[last:begin], new]
         last = end
-    return "".join([*out, text[last:]]), [k for _, _, k, _ in sorted(taken)]
+    return "".join([*out, text[last:]]), [k for _, _, k, _ in taken]
 
 
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
