@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidelog.operators import lag, monitor, replay, series, sizes
 from tidelog.plans.registry import query
-from tidelog.sources import sinks
+from tidelog.session import shared_folder
+from tidelog.sources import appending, sinks
 from tidelog.sources.derive import AS_OF, Tables
 
 _ID = ["topic", "partition", "offset"]
@@ -135,6 +138,26 @@ def publish_atomic(t: Tables):
         F.count(F.lit(1)).alias("records"), F.count_distinct("topic").alias("topics"))
 
 
+@query("append_once", "logs", """SELECT topic, p AS "partition",
+  row_number() OVER (PARTITION BY topic, p ORDER BY o % 3, ts NULLS FIRST, key NULLS FIRST, value NULLS FIRST) - 1 AS "offset", key, value FROM logs""")
+def append_once(t: Tables):
+    """All logs appended in three batches, each of them tried twice, and read back: offsets go on from batch to batch."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    for batch in range(3):
+        some = t.all_logs().filter(F.col("offset") % 3 == batch)
+        for _ in range(2):
+            appending.append_once(some, path, "query", batch)
+    return appending.read_appended(t.spark, path).select("topic", "partition", "offset", "key", "value")
+
+
+@query("publish_counts", "logs", """SELECT topic, error, count(*) AS records FROM (SELECT topic, CASE
+    WHEN value IS NULL THEN 'empty' WHEN octet_length(encode(value)) > 150 THEN 'too large' END AS error FROM logs) GROUP BY ALL""")
+def publish_counts(t: Tables):
+    """Sent and failed records by topic and error; a producer that takes up to 150 bytes and no empty values."""
+    error = F.when(F.col("value").isNull(), "empty").when(F.octet_length("value") > 150, "too large")
+    return sinks.publish_counts(t.all_logs(), error)
+
+
 @query("dedup_publish", "logs", """SELECT topic, key, p AS "partition", o AS "offset", value FROM (
   SELECT *, row_number() OVER (PARTITION BY topic, key ORDER BY ts, p, o) AS nth FROM logs) WHERE nth = 1 OR key IS NULL""")
 def dedup_publish(t: Tables):
