@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import schema
-from tidelog.operators import breaker, filters, replay, series, tracking
+from tidelog.operators import breaker, filters, lag, monitor, replay, series, tracking
 from tidelog.plans.failing import SPARSE
 from tidelog.sources.derive import AS_OF, Tables
-from tidelog.streaming import aggregates, stateful
+from tidelog.streaming import aggregates, lagging, ordered, stateful
 from tidelog.streaming.consume import consumer
 from tidelog.streaming.reading import read_stream, run_available, write_files
 from tidelog.sources.sinks import read_committed
@@ -180,3 +180,42 @@ def test_rate_limit(spark, tables, tmp_path):
     want = tracking.rate_limit(failures, 20).select("topic", "partition", "offset", "attempt", "limited").collect()
     assert sorted(got) == sorted(tuple(r) for r in want)
     assert len({r.limited for r in want}) == 2
+
+
+def test_lag_from_two_streams(spark, tables, tmp_path):
+    """Commits and ends come in files of their own, some ends not at all; closed windows equal static data."""
+    offsets = tables.offsets()
+    ends = offsets.select("topic", "partition", "ts", "end_offset").distinct().filter("not (partition = 1 and day(ts) % 5 = 0)")
+    commits = offsets.drop("end_offset")
+    end = commits.agg(F.max("ts")).first()[0]
+    far = spark.createDataFrame([("flush", "flush", 0, end, 1, 1)], "group string, topic string, partition int, ts timestamp, committed bigint, end_offset bigint")
+    far = far.withColumn("ts", F.col("ts") + F.expr("interval 300 days"))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "e").mkdir()
+    left = stream_of(spark, commits.unionByName(far.drop("end_offset")), tmp_path / "c", "ts",
+                     "group string, topic string, partition int, committed bigint, ts timestamp")
+    right = stream_of(spark, ends.unionByName(far.select(*ends.columns)), tmp_path / "e", "ts",
+                      "topic string, partition int, ts timestamp, end_offset bigint")
+    lags = lagging.consumer_lag(left, right, watermark="3 days")
+    want = lag.consumer_lag(commits, ends, ("topic", "partition", "ts"))
+    got = collected(lags.filter("topic <> 'flush'").select("group", "topic", "partition", "ts", "lag"), tmp_path)
+    assert sorted(got) == sorted(tuple(r) for r in want.select("group", "topic", "partition", "ts", "lag").collect()) and got
+    (tmp_path / "sum").mkdir()
+    sums = collected(lagging.lag_summary(lags, "1 day", 5, 20).filter("group <> 'flush'"), tmp_path / "sum")
+    per_day = want.groupBy(F.date_trunc("day", "ts").alias("start"), "group").agg(
+        F.count(F.lit(1)), F.sum("lag"), F.max("lag"), F.expr("sum(lag) div count(1)"), F.expr("count_if(lag > 5)"), F.expr("count_if(lag > 20)"))
+    want = {tuple(r) for r in per_day.collect()}
+    assert set(sums) <= want and len(sums) == len(set(sums)) > len(want) / 2  # the newest windows are still open
+
+
+def test_rebalances_of_snapshots_in_two_batches(spark, tables, tmp_path):
+    members = tables.members().filter("day(ts) <= 12")
+    folder = str(tmp_path / "in")
+    late = members.limit(1).withColumn("ts", F.col("ts") + F.expr("interval 300 days")).withColumn("group", F.lit("flush"))
+    half = F.pmod(F.xxhash64("consumer_id"), F.lit(2)) == 0
+    for part in (members.filter(half), members.filter(~half).unionByName(late)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = read_stream(spark, folder, "group string, ts timestamp, consumer_id string, partitions int", files_per_trigger=1)
+    got = collected(ordered.rebalance_events(stream, "60 days", slot_ms=86_400_000), tmp_path)
+    want = monitor.rebalance_events(members).select("group", F.unix_millis("ts"), "members_changed").collect()
+    assert sorted(got) == sorted(tuple(r) for r in want) and got

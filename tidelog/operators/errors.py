@@ -179,7 +179,14 @@ def route_config() -> Column:
 
 # ---- headers of dead-letter records ------------------------------------------------------------
 
+def context_text(context: Column) -> Column:
+    """A failure's context as text, by name: {a=1, b=2}."""
+    pairs = F.transform(F.array_sort(F.map_entries(context)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def basic_headers() -> list[Column]:
+    """Needs ``context``, a map that may be null."""
     c = F.col
     validation, permanent, temporary = (is_class(VALIDATION), is_class(NON_RECOVERABLE), is_class(RECOVERABLE))
     return [
@@ -193,6 +200,7 @@ def basic_headers() -> list[Column]:
         header_if(validation & c("field_name").isNotNull(), "dlt.field-name", c("field_name")),
         header_if(validation & c("value").isNotNull(), "dlt.original-message-content", c("value")),
         header_if(permanent, "dlt.error-code", error_code()),
+        header_if(permanent & (F.size("context") > 0), "dlt.error-context", context_text(c("context"))),
         header_if(temporary, "dlt.retry-attempts", c("attempt").cast("string")),
         header_if((permanent | temporary) & c("correlation_id").isNotNull(), "dlt.correlation-id",
                   c("correlation_id")),
@@ -237,7 +245,7 @@ def config_headers() -> list[Column]:
 
 def with_flags(failures: DataFrame) -> DataFrame:
     """Neutral values for the columns that the enhanced headers read, where absent."""
-    defaults = {"failure_count": F.col("attempt"), "poison": F.lit(False),
+    defaults = {"context": F.lit(None).cast("map<string,string>"), "failure_count": F.col("attempt"), "poison": F.lit(False),
                 "breaker_state": F.lit(None).cast("string"), "breaker_failures": F.lit(None).cast("bigint")}
     for name, value in defaults.items():
         if name not in failures.columns:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.functions.headers import header_map as map_of
+from tidelog.functions.headers import header_map as map_of, last_header
 from tidelog.operators import breaker, deadletter, errors, filters, process, tracking
 from tidelog.plans.ctes import CTES
 from tidelog.plans.registry import query
@@ -133,6 +133,20 @@ def dlt_headers(t: Tables):
     return dlt_log(t).select(*_ID, F.explode(map_of(F.col("headers"))).alias("name", "text"))
 
 
+@query("error_context", "failures", f"""SELECT {_SQL_ID}, attempt, '{{attempt=' || attempt || ', code=' || error_code || '}}' AS text
+  FROM (SELECT * REPLACE (coalesce(error_code, 'none') AS error_code) FROM failures) WHERE {_CLS} = 'NonRecoverableException'""")
+def error_context(t: Tables):
+    """The context header of failures that are not recoverable, as it is in their dead letters."""
+    context = F.create_map(F.lit("code"), F.coalesce("error_code", F.lit("none")), F.lit("attempt"), F.col("attempt").cast("string"))
+    letters = errors.dead_letters(t.failures().withColumn("context", context), "basic")
+    text = last_header(F.col("headers"), "dlt.error-context")
+    number = F.element_at(F.str_to_map(F.regexp_replace(text, "[{}]", ""), F.lit(", "), F.lit("=")), "attempt").cast("int")
+    place = [last_header(F.col("headers"), f"dlt.original-{c}") for c in ("topic", "partition", "offset")]
+    return letters.filter(text.isNotNull()).select(
+        place[0].alias("topic"), place[1].cast("int").alias("partition"), place[2].cast("bigint").alias("offset"),
+        number.alias("attempt"), text.alias("text"))
+
+
 @query("error_counters", "failures", f"""SELECT topic,
   count(*) FILTER ({_CLS} = 'ValidationException') AS validation_errors,
   count(*) FILTER ({_CLS} = 'NonRecoverableException') AS non_recoverable_errors,

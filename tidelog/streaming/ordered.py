@@ -75,9 +75,18 @@ class InOrder(StatefulProcessor):
                 break
             yield self._close(tuple(key), slot)
         if self.forget_ms is not None and self.quiet.exists() and self.quiet.get()[0] <= now and not any(True for _ in self.counts.keys()):
-            self.state.clear()
+            self.forget()
             self.quiet.clear()
 
+    def forget(self) -> None:
+        """Let go of what the rule remembers of the key."""
+        self.state.clear()
+
+    def apply(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = self.rule(key, tuple(self.state.get()) if self.state.exists() else None, rows)
+        self.state.update(state)
+        return out
+
     def _close(self, key: tuple, slot: int) -> pd.DataFrame:
         pieces = []
         for part in range(self.counts.getValue((slot,))[0]):
@@ -85,12 +94,10 @@ class InOrder(StatefulProcessor):
             self.parts.removeKey((slot, part))
         self.counts.removeKey((slot,))
         rows = pd.concat(pieces).sort_values(self.order, kind="stable")
-        state = tuple(self.state.get()) if self.state.exists() else None
         last = self.quiet.get()[0] if self.quiet.exists() else None
         if last is not None and int(rows["__at"].iloc[0]) >= last:
-            state = None
-        state, out = self.rule(key, state, rows)
-        self.state.update(state)
+            self.forget()
+        out = self.apply(key, rows)
         if self.forget_ms is not None:
             quiet = int(rows["__at"].iloc[-1]) + self.forget_ms
             if last is not None:
@@ -103,13 +110,57 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Membership(InOrder):
+    """Keeps the members of a group's last snapshot in a map state and tells how each snapshot differs from the one
+    before. Members that stay are neither written nor sent anywhere."""
+
+    def __init__(self, names: Sequence[str], slot_ms: int, forget_ms: int | None):
+        super().__init__(lambda *_: None, "snapshots bigint", names, ["__at"], slot_ms, forget_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.members = handle.getMapState("members", "consumer_id string", "since bigint")
+
+    def forget(self) -> None:
+        super().forget()
+        self.members.clear()
+
+    def apply(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out, seen = [], self.state.get()[0] if self.state.exists() else 0
+        for at, present in rows.groupby("__at", sort=True):
+            now = set(present["consumer_id"])
+            gone = [m[0] for m in self.members.keys() if m[0] not in now]
+            new = [m for m in now if not self.members.containsKey((m,))]
+            for member in gone:
+                self.members.removeKey((member,))
+            for member in new:
+                self.members.updateValue((member,), (int(at),))
+            if seen and gone + new:
+                out.append((key[0], int(at), len(gone) + len(new)))
+            seen += 1
+        self.state.update((seen,))
+        return pd.DataFrame(out, columns=["group", "ts_ms", "members_changed"])
+
+
 def in_order(rows: DataFrame, key: Sequence[str], time: str, watermark: str, rule: Rule, state: str, result: str,
              order: Sequence[str], slot_ms: int = SLOT_MS, forget_ms: int | None = None, event_time: str = "") -> DataFrame:
     """Rows of a stream through ``rule``, key by key in time order, in append mode. A key whose rows have paused for
     ``forget_ms`` starts anew. Rows behind the watermark are dropped by Spark. ``event_time`` names the column of the
     result that carries the time for a further stateful step."""
-    use_rocksdb(rows.sparkSession)
-    timed = rows.withWatermark(time, watermark) if watermark else rows
-    timed = timed.withColumn("__at", F.unix_millis(time))
+    timed = _timed(rows, time, watermark)
     processor = InOrder(rule, state, timed.columns, order, slot_ms, forget_ms)
     return timed.groupBy(*key).transformWithStateInPandas(processor, result, "Append", "EventTime", eventTimeColumnName=event_time)
+
+
+def _timed(rows: DataFrame, time: str, watermark: str) -> DataFrame:
+    use_rocksdb(rows.sparkSession)
+    timed = rows.withWatermark(time, watermark) if watermark else rows
+    return timed.withColumn("__at", F.unix_millis(time))
+
+
+def rebalance_events(members: DataFrame, watermark: str, slot_ms: int = SLOT_MS, forget_ms: int | None = None) -> DataFrame:
+    """(group, ts_ms, members_changed): snapshots whose members differ from the group's snapshot before, as on static
+    data. A snapshot may come in several micro-batches: it is looked at when the watermark has passed it."""
+    timed = _timed(members.select("group", "ts", "consumer_id"), "ts", watermark)
+    return timed.groupBy("group").transformWithStateInPandas(
+        Membership(timed.columns, slot_ms, forget_ms), "group string, ts_ms bigint, members_changed bigint", "Append", "EventTime")
