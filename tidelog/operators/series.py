@@ -73,6 +73,27 @@ def steps(samples: DataFrame, series: str, step: str, value: str = "value") -> D
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
+# Documented alert rules that hold for a time: share of oversized records, mean size in bytes, lag.
+OVERSIZED_SHARE, OVERSIZED_HOLD = 0.1, "5 minutes"
+MEAN_SIZE, MEAN_HOLD = 102_400, "10 minutes"
+LAG_BOUND, LAG_HOLD = 10_000, "5 minutes"
+
+
+def size_alerts(steps: DataFrame, series: str, step: str, share: float = OVERSIZED_SHARE, share_hold: str = OVERSIZED_HOLD,
+                mean: float = MEAN_SIZE, mean_hold: str = MEAN_HOLD) -> DataFrame:
+    """(rule, series, since, until, steps): stretches with too many oversized records, or with too large ones on average."""
+    found = [("oversized_share", F.col("share") > share, share_hold), ("mean_size", F.col("mean") > mean, mean_hold)]
+    parts = [alert_for(steps, series, bad, hold, step).withColumn("rule", F.lit(rule)) for rule, bad, hold in found]
+    return parts[0].unionByName(parts[1]).select("rule", F.col(series).alias("series"), "since", "until", "steps")
+
+
+def lag_alerts_for(lags: DataFrame, step: str, bound: int = LAG_BOUND, hold: str = LAG_HOLD) -> DataFrame:
+    """The same for groups whose largest lag of a snapshot stays above a bound; snapshots are a ``step`` apart."""
+    worst = lags.groupBy("group", F.col("ts").alias("step")).agg(F.max("lag").alias("worst"))
+    found = alert_for(worst, "group", F.col("worst") > bound, hold, step)
+    return found.select(F.lit("lag").alias("rule"), F.col("group").alias("series"), "since", "until", "steps")
+
+
 def with_all_steps(evaluated: DataFrame, series: str, step: str) -> DataFrame:
     """Adds the steps without samples between the first and the last of a series, with n = 0 and no total."""
     gap = F.expr(f"INTERVAL {step}")
@@ -104,6 +125,13 @@ def alert_for(evaluated: DataFrame, series: str, breached: Column, hold: str, st
     return spans.filter(held).drop("__run")
 
 
+def size_steps(sized: DataFrame, series: str, time: str, size: str, step: str, oversized: int) -> DataFrame:
+    """Per series and step: ``n`` records, the ``share`` of them above ``oversized`` bytes, and their ``mean`` size."""
+    return sized.groupBy(series, F.window(time, step).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), (F.count_if(F.col(size) > oversized) / F.count(F.lit(1))).alias("share"),
+        F.avg(size).alias("mean")).select(series, F.col("w.start").alias("step"), "n", "share", "mean")
+
+
 def ratio_of(part: DataFrame, whole: DataFrame, series: str) -> DataFrame:
     """Adds ``ratio`` to the steps of ``whole``: the count of ``part`` in the same step over its own."""
     counted = part.select(series, "step", F.col("n").alias("__part"))
