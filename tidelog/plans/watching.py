@@ -515,18 +515,18 @@ def _islands(bad: str, hold: str, step: str) -> str:
       GROUP BY rule, series, run HAVING max(step) - min(step) >= INTERVAL {hold}"""
 
 
-_HOURS = """SELECT topic AS series, date_trunc('hour', ts) AS step, count(*) FILTER (size > 170) / count(*) AS share, avg(size) AS mean
+_HOURS = """SELECT topic AS series, date_trunc('hour', ts) AS step, count(*) FILTER (size > 125) / count(*) AS share, avg(size) AS mean
   FROM (SELECT topic, ts, coalesce(octet_length(encode(value)), 0) AS size FROM logs) GROUP BY ALL"""
 
 
-@query("alert_holds", "logs offsets", f"""{_islands(f"SELECT 'oversized_share' AS rule, * FROM ({_HOURS}) WHERE share > 0.1", "5 HOUR", "HOUR")}
-  UNION ALL {_islands(f"SELECT 'mean_size' AS rule, * FROM ({_HOURS}) WHERE mean > 100", "10 HOUR", "HOUR")}
+@query("alert_holds", "logs offsets", f"""{_islands(f"SELECT 'oversized_share' AS rule, * FROM ({_HOURS}) WHERE share > 0.1", "3 HOUR", "HOUR")}
+  UNION ALL {_islands(f"SELECT 'mean_size' AS rule, * FROM ({_HOURS}) WHERE mean > 80", "2 HOUR", "HOUR")}
   UNION ALL {_islands(f"SELECT 'lag' AS rule, * FROM (SELECT grp AS series, day AS step, max(lag) AS worst FROM ({_LAGS}) GROUP BY ALL) WHERE worst > 5",
                       "2 DAY", "DAY")}""")
 def alert_holds(t: Tables):
     """Documented alerts that hold for a time, with bounds and holds that fit the small records and lags of the tables."""
     sized = t.all_logs().select("topic", "timestamp", F.coalesce(F.octet_length("value"), F.lit(0)).alias("size"))
-    steps = series.size_steps(sized, "topic", "timestamp", "size", "1 hour", 170)
-    found = series.size_alerts(steps, "topic", "1 hour", 0.1, "5 hours", 100, "10 hours").unionByName(
+    steps = series.size_steps(sized, "topic", "timestamp", "size", "1 hour", 125)
+    found = series.size_alerts(steps, "topic", "1 hour", 0.1, "3 hours", 80, "2 hours").unionByName(
         series.lag_alerts_for(lag.snapshot_lag(t.offsets()), "1 day", 5, "2 days"))
     return found.select("rule", "series", F.unix_millis("since").alias("since_ms"), F.unix_millis("until").alias("until_ms"), "steps")
