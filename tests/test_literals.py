@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog import schema
 from tidelog.functions.hashing import murmur2, string_hash
 from tidelog.functions.headers import header_map, last_header
-from tidelog.functions.text import trim_low, utf16_length
+from tidelog.functions.text import trim_low, utf16_length, utf16_prefix
 from tidelog.operators import (allocate, deadletter, enrich, errors, filters, lag, monitor, partitioners, process,
                                replay, series, sizes, tracking)
 
@@ -370,3 +370,11 @@ def test_limited_failures_are_not_tracked(spark):
     flags = {r.offset: (r.failure_count, r.poison, r.breaker_state, r.breaker_failures, r.attempt)
              for r in tracking.failure_flags(limited, breaker_threshold=3).collect()}
     assert flags == {0: (2, False, "CLOSED", 2, 3), 1: (0, False, None, None, 3)}
+
+
+def test_text_is_cut_in_utf16_units(spark):
+    """A character of two units is never cut in half, and what is short stays whole."""
+    texts = ["a" * 300, "\U0001F600" * 150, "x" + "\U0001F600" * 150, "é" * 200, ""]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "offset int, t string")
+    got = column(frame, utf16_prefix(F.col("t"), 200))
+    assert got == ["a" * 200, "\U0001F600" * 100, "x" + "\U0001F600" * 99, "é" * 200, ""]

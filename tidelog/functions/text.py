@@ -26,6 +26,13 @@ def longer_than(c: Column, limit: int) -> Column:
     return F.when(F.octet_length(c) <= limit, F.lit(False)).otherwise(utf16_length(c) > limit)
 
 
+def utf16_prefix(c: Column, limit: int) -> Column:
+    """The first ``limit`` UTF-16 units; a character of two units that lies across the border is left out."""
+    units = F.encode(c, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * limit - 1, 1)).between("D8", "DB")
+    return F.decode(F.when(half, F.substring(units, 1, 2 * limit - 2)).otherwise(F.substring(units, 1, 2 * limit)), "UTF-16BE")
+
+
 def json_shaped(c: Column) -> Column:
     return c.rlike(rf"(?s)\A{_LOW}*(\{{.*\}}|\[.*\]){_LOW}*\z")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions.headers import add_headers, header, header_if
-from tidelog.functions.text import instant_text, utf16_length
+from tidelog.functions.text import instant_text, utf16_length, utf16_prefix
 
 VALIDATION = "ValidationException"
 NON_RECOVERABLE = "NonRecoverableException"
@@ -108,7 +108,7 @@ def detail_text() -> Column:
     base = F.coalesce(c("exception_message"), F.lit(""))
     corr = _tag("CorrelationId", c("correlation_id"), c("correlation_id").isNotNull())
     shown = F.when(utf16_length(c("value")) <= CONTENT_SHOWN, c("value")).otherwise(
-        F.concat(F.substring("value", 1, CONTENT_SHOWN), F.lit("...")))
+        F.concat(utf16_prefix(c("value"), CONTENT_SHOWN), F.lit("...")))
     validation = F.concat(
         base, _tag("Rule", c("validation_rule"), c("validation_rule").isNotNull()),
         _tag("Field", c("field_name"), c("field_name").isNotNull()),

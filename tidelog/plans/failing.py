@@ -147,6 +147,15 @@ def error_context(t: Tables):
         number.alias("attempt"), text.alias("text"))
 
 
+@query("failure_log", "failures", f"""SELECT {_SQL_ID}, attempt, e.name AS name, e.text AS text FROM (
+  SELECT *, unnest([{{'name': 'message', 'text': exception_message}}, {{'name': 'errorCode', 'text': {_CODE}}},
+    {{'name': 'timestamp', 'text': CAST(epoch_us(failed_at) // 1000 AS VARCHAR)}},
+    {{'name': 'correlationId', 'text': correlation_id}}]) AS e FROM failures) WHERE e.text IS NOT NULL""")
+def failure_log(t: Tables):
+    """What a structured log says of each failure, a row per name."""
+    return t.failures().select(*_ID, "attempt", F.explode(errors.log_map()).alias("name", "text"))
+
+
 @query("error_counters", "failures", f"""SELECT topic,
   count(*) FILTER ({_CLS} = 'ValidationException') AS validation_errors,
   count(*) FILTER ({_CLS} = 'NonRecoverableException') AS non_recoverable_errors,
