@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 # Element kinds of the HTML standard.
@@ -12,6 +13,10 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hg
 noscript object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template title textarea iframe svg xmp noembed noframes".split())
+INLINE = frozenset("""a abbr acronym audio b bdi bdo big canvas cite code data datalist del dfn em font i ins kbd map mark
+math meter nobr output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var
+video""".split())
+ELEMENTS = BLOCKS | VOID | RAW | INLINE
 #: Left open, these go on to the end of the page; of others only the tag is passed over.
 RAW_TO_END = frozenset(("script", "style"))
 #: Starting one of these ends an open paragraph.
@@ -30,11 +35,22 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""
 _NAMED = ("class", "id", "role", "itemprop", "aria-label")
 
 
+@dataclass(slots=True)
+class Element:
+    """An element, what it is called, its label (its own or that of those around it), and the element around it,
+    which is shared by all that lies in it: blocks hold no copies of their place."""
+
+    name: str
+    named: str
+    label: str | None
+    around: Element | None
+
+
 @dataclass
 class Block:
-    """Text of a block, the elements around it from the outside in, and how much of it is linked."""
+    """Text of a block, the innermost element around it, and how much of it is linked."""
 
-    path: list[tuple[str, str]]
+    inside: Element | None
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -60,13 +76,16 @@ def _names(attributes: str) -> tuple[str, str | None]:
 
 
 def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
-    """Blocks with text in page order, in time linear in the page. Scripts, styles, comments and
-    other elements without text of their own are left out; elements left open end with the page.
+    """Blocks with text in page order, in time linear in the page, however deep it is nested. Scripts, styles,
+    comments and other elements without text of their own are left out; elements left open end with the page.
     ``labelled`` pages are training pages: ``data-label`` has the label of the blocks inside an element."""
     out: list[Block] = []
-    stack: list[tuple[str, str, str | None]] = []
+    stack: list[Element] = []
+    # where in the stack the open elements of a name are, and those that are blocks
+    places: dict[str, list[int]] = defaultdict(list)
+    borders: list[int] = []
     now: Block | None = None
-    links = at = 0
+    at = 0
     open_ended: set[str] = set()
 
     def finish():
@@ -76,12 +95,15 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
         now = None
 
     def pop_to(k: int):
-        nonlocal links
-        for name, _, _ in stack[k:]:
-            links -= name == "a"
+        while len(stack) > k:
+            name = stack.pop().name
+            places[name].pop()
             if name in BLOCKS:
+                borders.pop()
                 finish()
-        del stack[k:]
+
+    def nearest(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
 
     size = len(page)
     while at < size:
@@ -95,21 +117,19 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
             if now is None:
                 if text.isspace():
                     continue
-                now = Block([(n, c) for n, c, _ in stack])
+                now = Block(stack[-1] if stack else None)
                 if labelled:
-                    now.label = int(next((v for _, _, v in reversed(stack) if v is not None), "0"))
+                    now.label = int(stack[-1].label or "0") if stack else 0
             now.pieces.append(text)
-            now.linked += len(text) if links else 0
+            now.linked += len(text) if places["a"] else 0
             continue
         name, closing = name.lower(), bool(token[1] or token[4])
         if name == "br":
             if now is not None:
                 now.pieces.append(" ")
         elif closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            if places[name]:
+                pop_to(places[name][-1])
             if name in BLOCKS:
                 finish()
         else:
@@ -120,26 +140,20 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
                     open_ended.add(name)
                 at = end.end() if end else size if name in RAW_TO_END else at
                 continue
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+            if name in ENDS_P and borders and stack[borders[-1]].name == "p":
+                pop_to(borders[-1])
             if name in CLOSES:
                 ends, border = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in border:
-                        break
+                if (k := nearest(ends)) > nearest(border):
+                    pop_to(k)
             if name in BLOCKS:
                 finish()
             if name not in VOID:
                 named, label = _names(attributes)
-                links += name == "a"
-                stack.append((name, named, label))
+                around = stack[-1] if stack else None
+                places[name].append(len(stack))
+                if name in BLOCKS:
+                    borders.append(len(stack))
+                stack.append(Element(name, named, around.label if label is None and around else label, around))
     finish()
     return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelog.llm import labelled_pages
-from tidelog.llm.blocks import Block, leaf_blocks
+from tidelog.llm.blocks import ELEMENTS, Block, Element, leaf_blocks
 from tidelog.llm.common import arrays, nonempty, strings
 
 #: Labelled pages that the model is trained on, gradient steps, and weight of the penalty.
@@ -38,20 +38,34 @@ _CUE = re.compile(r"©|\b(?:copyright|all rights reserved|cookies?|subscribe|sig
 def _element(name: str, named: str) -> tuple[str, ...]:
     """Features that an element gives to the blocks inside it."""
     roles = {_ROLE_OF[w] for w in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()) if w in _ROLE_OF}
-    return (f"in {name}", *(f"role {r}" for r in sorted(roles)))
+    return (*((f"in {name}",) if name in ELEMENTS else ()), *(f"role {r}" for r in sorted(roles)))
+
+
+def _inherited(element: Element | None, met: dict[int, frozenset[str]]) -> frozenset[str]:
+    """Features of an element and of all around it: worked out once an element, and the set of the element
+    around it where nothing is new. Names that HTML does not have tell nothing, so sets have a bound."""
+    chain = []
+    while element is not None and id(element) not in met:
+        chain.append(element)
+        element = element.around
+    found = met[id(element)] if element is not None else frozenset()
+    for element in reversed(chain):
+        own = _element(element.name, element.named)
+        if not found.issuperset(own):
+            found = found.union(own)
+        met[id(element)] = found
+    return found
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Per block, its features: the elements around it, their roles, and its text."""
-    out = []
+    out, met = [], {}
     for k, block in enumerate(blocks):
         text = block.text
         words = text.count(" ") + 1
-        found = {"always"}
-        for name, named in block.path:
-            found.update(_element(name, named))
-        if block.path:
-            found.add(f"parent {block.path[-1][0]}")
+        found = {"always", *_inherited(block.inside, met)}
+        if block.inside is not None:
+            found.add(f"parent {block.inside.name}")
         share = block.linked / len(text)
         found.add("links none" if share == 0 else "links few" if share < 0.3 else "links most")
         found.add("words " + ("1-3" if words < 4 else "4-9" if words < 10 else "10-24" if words < 25 else "25+"))
