@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ LEAST_OVERLAP = 0.8
 #: Share of a question's shingles that tells a leak on its own, for questions of SHINGLE words or more.
 LEAST_QUESTION = 0.8
 SHINGLE = 5
+#: Words of a segment: segments of longer items are looked for on their own, since parts of an item may lie apart.
+SEGMENT = 24
 #: Passages of items up to 64 words have 128 words and start every 64; longer items double both.
 LEAST_STRIDE = 64
 K1, B = 1.2, 0.75
@@ -49,12 +51,24 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return (words(text[:cut[-1]]), words(text[cut[-1]:])) if cut else (words(text), [])
 
 
+def pieces(bag: list[str], question: int) -> list[tuple[int, int]]:
+    """What of an item is looked for, as ranges of its words: the whole, its question of so many words if
+    there is more to it, and of an item longer than one its segments of SEGMENT words."""
+    n, out = len(bag), [(0, len(bag))]
+    if SHINGLE <= question < n:
+        out.append((0, question))
+    if n > SEGMENT:
+        parts = n // SEGMENT
+        out += [(k * SEGMENT, (k + 1) * SEGMENT if k < parts - 1 else n) for k in range(parts)]
+    return list(dict.fromkeys(out))
+
+
 class Index:
     """Test items whose passages have one length, by term.
 
-    Every posting has its BM25 impact as a share of the item's score for its own text, so one
-    threshold holds for all items. Postings are sorted by item, items lie in blocks of BLOCK, and
-    for every term and block the largest impact is known.
+    The index holds an entry for each of the pieces of an item. Every posting has its BM25 impact as a
+    share of the entry's score for its own text, so one threshold holds for all. Postings are sorted by
+    entry, entries lie in blocks of BLOCK, and for every term and block the largest impact is known.
     """
 
     def __init__(self, items: list[tuple[int, str]], stride: int):
@@ -65,27 +79,34 @@ class Index:
         self.asks = [len(q) >= SHINGLE for q, _ in both]
         bags = [words(t) for _, t in items]
         self.shingles = [shingles(b) for b in bags]
+        cut = [(k, bag[low:high]) for k, (bag, (q, _)) in enumerate(zip(bags, both, strict=True))
+               for low, high in pieces(bag, len(q))]
+        #: the item of every entry
+        self.of = np.array([k for k, _ in cut])
         mean = sum(map(len, bags)) / len(bags)
         lists: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, bag in enumerate(bags):
-            for term in dict.fromkeys(bag):
-                lists[term].append((k, bag.count(term)))
+        for k, (_, piece) in enumerate(cut):
+            for term, n in Counter(piece).items():
+                lists[term].append((k, n))
         self.terms = {t: k for k, t in enumerate(lists)}
         self.starts = np.concatenate(([0], np.cumsum([len(p) for p in lists.values()])))
-        self.items = np.array([k for p in lists.values() for k, _ in p])
+        self.entries = np.array([k for p in lists.values() for k, _ in p])
         frequency = np.array([n for p in lists.values() for _, n in p], float)
-        size = np.array([len(b) for b in bags], float)
-        df = np.diff(self.starts)
+        size = np.array([len(piece) for _, piece in cut], float)
+        # rare is what is in few items, however many pieces they have
+        among = Counter(t for bag in bags for t in set(bag))
+        df = np.array([among[t] for t in lists], float)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        impact = np.repeat(idf, df) * frequency * (K1 + 1) / (
-            frequency + K1 * (1 - B + B * size[self.items] / mean))
-        own = np.bincount(self.items, impact, len(items))
-        self.impact = impact / own[self.items]
-        self.block = self.items // BLOCK
-        self._split(df, len(items))
+        held = np.diff(self.starts)
+        impact = np.repeat(idf, held) * frequency * (K1 + 1) / (
+            frequency + K1 * (1 - B + B * size[self.entries] / mean))
+        own = np.bincount(self.entries, impact, len(cut))
+        self.impact = impact / own[self.entries]
+        self.block = self.entries // BLOCK
+        self._split(held, len(cut))
 
     def _split(self, df: np.ndarray, n: int) -> None:
-        """Terms in most items come last: as long as all of them together stay under half the
+        """Terms in most entries come last: as long as all of them together stay under half the
         threshold in every block, a passage cannot be found by them alone, and their
         lists are read only for what the rarer terms have found."""
         blocks = -(-n // BLOCK)
@@ -94,12 +115,12 @@ class Index:
         for t in np.argsort(-df, kind="stable"):
             own = slice(self.starts[t], self.starts[t + 1])
             with_it = bound.copy()
-            with_it[self.items[own]] += self.impact[own]
+            with_it[self.entries[own]] += self.impact[own]
             if with_it.max() >= LEAST_SCORE / 2:
                 break
             bound, late[t] = with_it, True
         self.late = late
-        #: what late terms can add to an item: the largest of its block
+        #: what late terms can add to an entry: the largest of its block
         self.rest = np.maximum.reduceat(bound, np.arange(0, n, BLOCK)).repeat(BLOCK)[:n]
         #: per term, its largest impact in each block that it occurs in, and in any
         entry, of = np.unique(term * blocks + self.block, return_inverse=True)
@@ -111,11 +132,11 @@ class Index:
         self.blocks = blocks
 
     def search(self, word_lists: list[list[str]], least: float = LEAST_SCORE):
-        """All (document, first word, item, score) whose score reaches ``least``, passages in order.
+        """All (document, first word, entry, score) whose score reaches ``least``, passages in order.
 
         Block-max WAND for many passages at once: a passage is passed over if its terms' bounds cannot
         reach the threshold, then its blocks are by the terms' block bounds, then early terms
-        are added up by item and held against what late terms can still add, and only then are
+        are added up by entry and held against what late terms can still add, and only then are
         the scores of what is left completed.
         """
         sizes = np.array([len(w) for w in word_lists])
@@ -149,32 +170,32 @@ class Index:
             return
         bound = np.bincount(at, self.block_top[entry]) + self.rest[cells % self.blocks * BLOCK]
         cells = cells[bound >= least - 1e-9]
-        # 3. early terms' postings in those blocks, added up by passage and item
+        # 3. early terms' postings in those blocks, added up by passage and entry
         posting, of = _expand(self.starts, term)
-        passage, n = passage[of], len(self.ids)
+        passage, n = passage[of], len(self.of)
         inside = np.isin(passage * self.blocks + self.block[posting], cells)
         posting, passage = posting[inside], passage[inside]
         if not len(posting):
             return
-        key, of = np.unique(passage * n + self.items[posting], return_inverse=True)
+        key, of = np.unique(passage * n + self.entries[posting], return_inverse=True)
         early = np.bincount(of, self.impact[posting])
         good = np.flatnonzero(early + self.rest[key % n] >= least - 1e-9)
         # 4. complete scores of what is left
         for k in good:
-            window, item = int(key[k] // n), int(key[k] % n)
+            window, entry = int(key[k] // n), int(key[k] % n)
             d = int(np.searchsorted(first, window, side="right") - 1)
             start = (window - int(first[d])) * self.stride
-            score = early[k] + self.late_score(word_lists[d][start:start + 2 * self.stride], item)
+            score = early[k] + self.late_score(word_lists[d][start:start + 2 * self.stride], entry)
             if score >= least:
-                yield d, start, item, float(score)
+                yield d, start, entry, float(score)
 
-    def late_score(self, passage: list[str], item: int) -> float:
+    def late_score(self, passage: list[str], entry: int) -> float:
         total = 0.0
         for t in {self.terms[w] for w in passage if w in self.terms}:
             if self.late[t]:
-                own = self.items[self.starts[t]:self.starts[t + 1]]
-                k = np.searchsorted(own, item)
-                if k < len(own) and own[k] == item:
+                own = self.entries[self.starts[t]:self.starts[t + 1]]
+                k = np.searchsorted(own, entry)
+                if k < len(own) and own[k] == entry:
                     total += self.impact[self.starts[t] + k]
         return total
 
@@ -210,31 +231,31 @@ def leaks(found: list[Index], texts: list[str | None], least_overlap: float, lea
     best: dict[tuple[int, int], tuple] = {}
     for index in found:
         # the parts of an item may lie far from each other, so its shares are those of the document
-        of, shares = -1, {}
-        for d, start, item, score in index.search(word_lists):
+        of, shares, runs = -1, {}, {}
+        for d, start, entry, score in index.search(word_lists):
+            item = int(index.of[entry])
             whole, question, answer = index.shingles[item], index.questions[item], index.answers[item]
             wanted = whole | question | answer
             if d != of:
-                of, shares = d, {}
+                of, shares, runs = d, {}, {}
             if item not in shares:
-                there = shingles_of(word_lists[d], wanted)
+                there = shingles_of(word_lists[d], wanted, runs)
                 shares[item] = share(whole, there), share(question, there), share(answer, there)
             overlap, asked, _ = shares[item]
             if overlap >= least_overlap or (least_question is not None and index.asks[item] and asked >= least_question):
-                there = shingles_of(word_lists[d][start:start + 2 * index.stride], wanted)
+                there = shingles_of(word_lists[d][start:start + 2 * index.stride], wanted, {})
                 key, rank = (d, int(index.ids[item])), (overlap, share(whole, there), score, -start)
                 if key not in best or rank > best[key][0]:
                     best[key] = (rank, (key[1], start, score, *shares[item]))
     return [(d, *row) for (d, _), (_, row) in sorted(best.items())]
 
 
-def shingles_of(passage: list[str], wanted: set) -> set:
-    """Those of the wanted shingles that a passage has, at their own lengths."""
-    sizes = {len(s) for s in wanted}
-    there = set()
-    for size in sizes:
-        there |= wanted & set(zip(*(passage[k:] for k in range(size)), strict=False))
-    return there
+def shingles_of(passage: list[str], wanted: set, runs: dict[int, set]) -> set:
+    """Those of the wanted shingles that a passage has, at their own lengths; ``runs`` has those of the passage
+    by length, as far as they have been asked for."""
+    for size in {len(s) for s in wanted} - runs.keys():
+        runs[size] = set(zip(*(passage[k:] for k in range(size)), strict=False))
+    return {s for s in wanted if s in runs[len(s)]}
 
 
 def _lots(benchmark: DataFrame) -> list[Broadcast]:
@@ -267,12 +288,15 @@ def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
     """(doc_id, item_id, first_word, score, overlap, question_overlap, answer_overlap): test items in documents.
 
     Every document is cut into overlapping passages long enough to hold an item whole. Each passage
-    asks the index of test items; all items whose BM25 score reaches LEAST_SCORE of their score for
-    their own text are verified: the document must have at least ``least_overlap`` of the item's word
+    asks the index of test items, which holds each item as a whole, its question, and segments of SEGMENT
+    words; all items of which one of these reaches LEAST_SCORE of its BM25 score for its own text are
+    verified: the document must have at least ``least_overlap`` of the item's word
     shingles, in one place or in several, or, if it is given, ``least_question`` of those of its question.
-    A question of fewer than SHINGLE words counts only within its item. The row has the passage with
-    most shingles, where it starts (in words), and the shares of the whole, the question and the answer
-    that the document holds.
+    A question of fewer than SHINGLE words counts only within its item. An answer is no leak on its own, as
+    it may be common knowledge; its share tells a question that came with its answer. The row has the passage with
+    most shingles, where it starts (in words), the score of the best piece there, and the shares of the
+    whole, the question and the answer that the document holds. Missed can only be an item that lies scattered
+    in parts so small that no passage has half the score of the question or of any segment.
 
     Documents are read once per LOT_BYTES of items, without a shuffle. Null or empty texts and
     items are found nowhere; a null item id is passed over; a null doc_id stays null; equal rows of
