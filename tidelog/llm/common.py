@@ -62,6 +62,13 @@ def arrays(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def plain_names(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1 and so on, which no name used inside can meet, and what the wanted
+    ones are called in it. ``toDF(*df.columns)`` gives the names back."""
+    low = [c.lower() for c in df.columns]
+    return df.toDF(*(f"c{k}" for k in range(len(low)))), [f"c{low.index(w)}" for w in wanted]
+
+
 def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.common import arrays, nonempty, strings
+from tidelog.llm.common import arrays, nonempty, plain_names, strings
 
 #: Bytes of test items that one index holds; more items are taken in several passes, each with an
 #: index of its own, so what is broadcast has a bound.
@@ -324,12 +324,18 @@ def find(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP,
                least_question: float | None = None) -> DataFrame:
-    """The rows of ``docs`` in which ``find`` finds no test item, with all their columns, filtered where they are read."""
+    """The rows of ``docs`` in which ``find`` finds no test item, with all their columns, filtered where they are read.
+
+    Rows are judged one by one: equal rows and rows of one id stay or go by their own text. Null and empty
+    texts hold nothing and stay, as all rows do if there are no test items. Other columns may have any names.
+    """
+    columns = docs.columns
+    docs, (text,) = plain_names(docs, "text")
     for lot in _lots(benchmark):
         def run(batches, lot=lot):
             for batch in nonempty(batches):
-                dirty = {d for d, *_ in leaks(_built(lot), strings(batch, "text"), least_overlap, least_question)}
+                dirty = {d for d, *_ in leaks(_built(lot), strings(batch, text), least_overlap, least_question)}
                 yield batch.filter(pa.array([k not in dirty for k in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*columns)

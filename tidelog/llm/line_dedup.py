@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import plain_names, written
 
 #: Buckets (2^22) of the table of word counts that orders words by rarity: its size has a bound whatever
 #: the vocabulary. Words that share a bucket only make the order less sharp, not the join inexact.
@@ -192,16 +192,15 @@ def removed_lines(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
 
 
 def _decided(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """``docs`` with ``__text``, ``__lines`` and ``__removed``: the text without its repeated lines."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text)))
-    joined = keyed.join(kept.withColumnRenamed("d", "__own").withColumnRenamed("kept", "__kept"),
-                        F.col("__d") == F.col("__own"), "left").withColumn("__own_text", text)
-    stays = ("transform(array(split(__own_text, '\\n')), l -> filter(l, (x, i) -> trim(translate(x, '\\t\\r\\u000b\\f',"
-             " '    ')) = '' or array_contains(coalesce(__kept, array()), i)))[0]")
-    lines = F.expr(stays)
-    return joined.withColumn("__all", F.size(F.split("__own_text", "\n"))).withColumn("__left", lines).withColumn(
-        "__text", F.when(F.col("text").isNotNull(), F.array_join("__left", "\n"))).drop("__own", "__kept", "__d", "__own_text")
+    """``docs`` with the text without its repeated lines in the place of ``text``."""
+    named, (doc_id, own) = plain_names(docs, "doc_id", "text")
+    text = F.coalesce(F.col(own).cast("string"), F.lit(""))
+    keyed = named.withColumn("d", F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text)))
+    stays = ("transform(array(split(lines, '\\n')), l -> filter(l, (x, i) -> trim(translate(x, '\\t\\r\\u000b\\f',"
+             " '    ')) = '' or array_contains(coalesce(kept, array()), i)))[0]")
+    left = keyed.join(kept, "d", "left").withColumn("lines", text).withColumn("lines", F.expr(stays))
+    return left.withColumn(own, F.when(F.col(own).isNotNull(), F.array_join("lines", "\n"))).select(
+        *named.columns).toDF(*docs.columns)
 
 
 def without_repeated_lines(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -212,14 +211,18 @@ def without_repeated_lines(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     lines match if the Jaccard similarity of their words is at least 0.8. A line goes if any earlier
     line matches, whether that one stays or not. Lines without words stay; a null text stays null, a
     text may become empty. Rows that share an id are one document: a line of one that goes, goes at
-    its place in all. Empty tables give no rows.
+    its place in all. Empty tables give no rows. Other columns may have any names.
     """
-    done = _decided(docs, removed_lines(docs, pivots))
-    return done.withColumn("text", F.col("__text")).select(*docs.columns)
+    return _decided(docs, removed_lines(docs, pivots))
 
 
 def line_report(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(doc_id, n_lines, removed): per row the number of its lines and the numbers of those that go."""
+    """(doc_id, n_lines, removed): per row the number of its lines and the numbers of those that go.
+
+    Lines and what matches are those of ``without_repeated_lines``; numbers begin at 0. A null or empty text
+    has one line, without words, so none goes. A null id stays null, equal rows come out once each with the
+    same numbers, an empty table gives no rows; only doc_id and text are read.
+    """
     kept = removed_lines(docs, pivots)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = F.expr("filter(transform(split(t, '\\n'), (x, i) -> if(trim(translate(x, '\\t\\r\\u000b\\f', '    ')) <> '', i, -1)),"

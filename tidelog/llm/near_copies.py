@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.llm.common import arrays, nonempty, strings, words_of, written
+from tidelog.llm.common import arrays, nonempty, plain_names, strings, words_of, written
 from tidelog.llm.components import components
 from tidelog.session import durable
 
@@ -43,10 +43,6 @@ def numbered(docs: DataFrame) -> DataFrame:
     return durable(docs).select("*", (number + F.col("_metadata.row_index")).alias("__row"))
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
-
-
 def _mapped(texts: DataFrame, fn, **types: str) -> DataFrame:
     """``fn(row numbers, lists of shingle hashes)`` gives columns of these types."""
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
@@ -202,11 +198,12 @@ def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS) -> DataFrame:
     Texts are linked if the Jaccard similarity of their word shingles, by hashes of 64 bits, is at least 0.8;
     texts without words are alike. Each group keeps the row with the smallest id, rows without one last and
     of one id the first as written. Rows are decided one by one, so copies that share an id or have none go
-    too, and a row stays if only another text with its id goes.
+    too, and a row stays if only another text with its id goes. Other columns may have any names.
     """
-    rows = numbered(docs)
-    texts, order = _texts(rows), ("nameless", "doc_id", "row")
-    ids = rows.select("__row", F.col("doc_id").cast("bigint").alias("doc_id"))
+    named, (doc_id, text) = plain_names(docs, "doc_id", "text")
+    rows, order = numbered(named), ("nameless", "doc_id", "row")
+    texts = rows.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
+    ids = rows.select("__row", F.col(doc_id).cast("bigint").alias("doc_id"))
     prints = written(_digests(texts, size).join(ids, F.col("row") == F.col("__row")).select(
         F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2"))
     firsts = written(prints.groupBy("n", "d1", "d2").agg(
@@ -218,4 +215,4 @@ def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS) -> DataFrame:
     lowest = linked.groupBy("root").agg(F.min("own").alias("lowest"))
     later = linked.join(lowest, "root").filter("own <> lowest").select("own.row")
     gone = written(copies.union(later).withColumnRenamed("row", "__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(*named.columns).toDF(*docs.columns)
