@@ -32,7 +32,7 @@ def test_a_crash_on_the_way_changes_nothing(spark, tmp_path, monkeypatch, stage)
     before, ends = places(spark, path), spark.read.text(f"{path}/versions").count()
     with monkeypatch.context() as m:
         if stage == "marker":
-            m.setattr(appending._Files, "put", lambda *a: 1 / 0)
+            m.setattr(appending.Files, "put", lambda *a: 1 / 0)
         else:
             bad = F.udf(lambda k: 1 / 0, "string")
             m.setattr(appending, "rank_within", lambda df, *a, **k: df.withColumn("__rank", F.lit(0)).withColumn(
@@ -48,7 +48,7 @@ def test_the_later_of_two_writers_goes_on_behind_the_other(spark, tmp_path, monk
     """Both see version 0; the one that comes second finds the place taken and takes new offsets."""
     path = str(tmp_path / "log")
     appending.append_once(records(spark, 2), path, "a", 0)
-    plain, raced = appending._newest, []
+    plain, raced = appending.newest, []
 
     def late(session, files):
         seen = plain(session, files)
@@ -57,7 +57,7 @@ def test_the_later_of_two_writers_goes_on_behind_the_other(spark, tmp_path, monk
             assert appending.append_once(records(spark, 4, start=2), path, "b", 0)
         return seen
 
-    monkeypatch.setattr(appending, "_newest", late)
+    monkeypatch.setattr(appending, "newest", late)
     assert appending.append_once(records(spark, 6, start=6), path, "a", 1)
     got = places(spark, path)
     assert [p[:3] for p in got] == [("orders-topic", p, o) for p in (0, 1) for o in range(6)]

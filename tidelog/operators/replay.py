@@ -93,6 +93,15 @@ def compact_latest(df: DataFrame) -> DataFrame:
         df.filter(F.col("key").isNull()))
 
 
+def compacted(df: DataFrame, as_of=None, delay_hours: int = 24) -> DataFrame:
+    """The newest record of each key. A null value deletes its key: it stays itself for ``delay_hours``, so that
+    those who follow the log see it, and then goes. Records without key stay."""
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    gone = F.col("key").isNotNull() & F.col("value").isNull() & (
+        F.col("timestamp") < now - F.make_interval(hours=F.lit(delay_hours)))
+    return compact_latest(df).filter(~gone)
+
+
 def at_places(df: DataFrame, by: list[str], best: Callable[[Column], Column]) -> DataFrame:
     """The first or last record (``best`` is min or max of time, partition, offset) per group."""
     winners = df.groupBy(*by).agg(best(F.struct("timestamp", "partition", "offset")).alias("w"))

@@ -102,6 +102,15 @@ def compact_latest(t: Tables):
     return replay.compact_latest(t.orders_log()).select(*_ID, "key")
 
 
+@query("compact_tombstones", "orders_log", f"""SELECT {_SQL_ID}, key, value IS NULL AS tombstone FROM (SELECT *,
+  row_number() OVER (PARTITION BY key ORDER BY ts DESC, p DESC, o DESC) AS r FROM orders_log)
+  WHERE key IS NULL OR (r = 1 AND (value IS NOT NULL OR ts >= TIMESTAMP '{AS_OF}' - INTERVAL 12 HOUR))""")
+def compact_tombstones(t: Tables):
+    """What a rewrite leaves of the orders; a null value stands for a deleted key for 12 hours."""
+    left = replay.compacted(t.orders_log(), AS_OF, 12)
+    return left.select(*_ID, "key", F.col("value").isNull().alias("tombstone"))
+
+
 # ---- sinks: what would be written ------------------------------------------------------------
 
 @query("publish", "notifications_log payments_log", f"""SELECT 'notifications-topic' AS topic, p AS "partition",

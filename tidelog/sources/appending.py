@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog import schema
 from tidelog.operators.indexing import rank_within
@@ -27,7 +27,7 @@ WRITERS = "writer string, batch bigint"
 DIGITS = 18
 
 
-class _Files:
+class Files:
     """The few calls on the folder's file system that Spark's readers and writers do not have."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -43,6 +43,13 @@ class _Files:
         files = path.getFileSystem(self.conf)
         return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
+    def version(self, number: int) -> str:
+        return f"{number:0{DIGITS}d}"
+
+    def partition(self, column: str, value: str) -> str:
+        """The folder of a value of a partition column."""
+        return f"{column}={self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)}"
+
     def delete(self, name: str) -> bool:
         return bool(self.at(name).getFileSystem(self.conf).delete(self.at(name), True))
 
@@ -64,15 +71,37 @@ class _Files:
         return True
 
 
-def _newest(spark: SparkSession, files: _Files) -> tuple[int, str | None]:
-    """The last version and the attempt that its marker names."""
+def newest(spark: SparkSession, files: Files) -> tuple[int, str | None]:
+    """The last version and the attempt that has the ends and writers as of then."""
     names = [n for n in files.names("versions") if n.isdigit()]
     if not names:
         return -1, None
-    return int(names[-1]), spark.read.text(f"{files.path}/versions/{names[-1]}").first()[0]
+    return int(names[-1]), spark.read.text(f"{files.path}/versions/{names[-1]}").first()[0].split()[:2][-1]
+
+
+def marks(spark: SparkSession, files: Files) -> DataFrame:
+    """(version, at, attempt, rewritten, upto) per marker: of a rewrite, its topic, and the version up to which it
+    replaces what was there of that topic; of an append both are null."""
+    if not files.names("versions"):
+        return spark.createDataFrame([], "version bigint, at timestamp, attempt string, rewritten string, upto bigint")
+    part = F.split("value", " ")
+    return measured(spark.read.text(f"{files.path}/versions").select(
+        F.col("_metadata.file_name").cast("bigint").alias("version"), F.col("_metadata.file_modification_time").alias("at"),
+        part[0].alias("attempt"), F.url_decode(F.get(part, F.lit(2))).alias("rewritten"), F.get(part, F.lit(3)).cast("bigint").alias("upto")))
+
+
+def live(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Those of the rows (topic, attempt and others) that count by these markers: appends behind the last rewrite of
+    their topic, and what that one has written."""
+    last = marked.filter("rewritten is not null").groupBy(F.col("rewritten").alias("topic")).agg(
+        F.max_by(F.struct(F.col("attempt").alias("by"), "upto"), "version").alias("__last"))
+    own = marked.select("attempt", F.col("version").alias("__version"), F.col("rewritten").alias("__rewritten"))
+    appended: Column = F.col("__rewritten").isNull() & (F.col("__version") > F.coalesce("__last.upto", F.lit(-1)))
+    return rows.join(own, "attempt").join(measured(last), "topic", "left").filter(
+        appended | F.coalesce(F.col("attempt") == F.col("__last.by"), F.lit(False))).select(*rows.columns)
 
 
-def _state(spark: SparkSession, files: _Files, layout: str, kind: str, attempt: str | None) -> DataFrame:
+def _state(spark: SparkSession, files: Files, layout: str, kind: str, attempt: str | None) -> DataFrame:
     return spark.read.schema(layout).parquet(f"{files.path}/{kind}/attempt={attempt}") if attempt else spark.createDataFrame([], layout)
 
 
@@ -83,10 +112,10 @@ def append_once(records: DataFrame, path: str, writer: str, batch: int,
     Records get the offsets behind the last ones of their partition, in ``order``, which must tell all records of a
     partition apart that differ. Batches of a writer come with rising numbers. Records of all topics become visible at once.
     """
-    spark, files = records.sparkSession, _Files(records.sparkSession, path)
+    spark, files = records.sparkSession, Files(records.sparkSession, path)
     ranked = grown = None
     while True:
-        version, last = _newest(spark, files)
+        version, last = newest(spark, files)
         writers = _state(spark, files, WRITERS, "writers", last)
         if not writers.filter((F.col("writer") == writer) & (F.col("batch") >= batch)).isEmpty():
             return False
@@ -104,7 +133,7 @@ def append_once(records: DataFrame, path: str, writer: str, batch: int,
         ends.join(grown, PLACE, "full").select(*PLACE, total.alias("end")).write.parquet(f"{files.path}/ends/attempt={attempt}")
         own = spark.createDataFrame([(writer, batch)], WRITERS)
         writers.filter(F.col("writer") != writer).unionByName(own).coalesce(1).write.parquet(f"{files.path}/writers/attempt={attempt}")
-        if files.put(f"versions/{version + 1:0{DIGITS}d}", attempt):
+        if files.put(f"versions/{files.version(version + 1)}", attempt):
             return True
         for kind in ("data", "ends", "writers"):  # another writer was first: its offsets come before these
             files.delete(f"{kind}/attempt={attempt}")
@@ -121,8 +150,10 @@ def appender(path: str, writer: str, order: Sequence[str] = ("timestamp", "key",
     return handle
 
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    """All committed records; the markers name their folders."""
-    files = _Files(spark, path)
+def read_appended(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """All committed records, now or as of a version; the markers name their folders. What is committed or
+    rewritten afterwards changes nothing for those who read the result."""
+    files = Files(spark, path)
+    marked = marks(spark, files)
     read = spark.read.schema(f"{schema.LOG}, attempt string").parquet(f"{files.path}/data")
-    return read.join(measured(spark.read.text(f"{files.path}/versions").toDF("attempt")), "attempt", "left_semi").drop("attempt")
+    return live(read, marked if upto is None else marked.filter(F.col("version") <= upto)).drop("attempt")
