@@ -1,16 +1,19 @@
 """Language models, language identification and page extraction."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from tidelog.llm import extract, labelled_pages, language, mixing
 from tidelog.llm.blocks import leaf_blocks
+from tidelog.llm.common import words_of
 
 
 def is_held_out(doc_id, modulus, remainder):
@@ -120,6 +123,52 @@ def test_base_scores_and_gain(spark, folder):
     assert sum(gain) > 0
 
 
+def test_classes_are_fitted_on_all_documents(spark):
+    """The words of all 12,300 documents are ranked by all their occurrences, and one document in forty makes a class."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"a{rng.randrange(40)}" for _ in range(20))) for k in range(12_000)]
+    rows += [(50_000 + k, " ".join(f"b{rng.randrange(10)}" for _ in range(20))) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counts = Counter(w.encode() for _, t in rows for w in t.split())
+    found = mixing.classes(frame)
+    assert found.words.to_pylist() == sorted(counts, key=lambda w: (-counts[w], w))
+    own = found.of(mixing.Words(pa.array([t for _, t in rows] + [None, ""])))
+    assert len({*own[:12_000]}) <= 2 and not {*own[:12_000]} & {*own[12_000:-2]} and own[-1] == own[-2] == 0
+
+
+def test_words_of_arrays():
+    texts = ["One two  ONE", None, "", " \t\x0b", "a\x1cb\u00a0c d\r\né\x85 É", "end"]
+    words = mixing.Words(pa.chunked_array([texts[:2], texts[2:]], pa.string()))
+    found = [[] for _ in texts]
+    for of, w in zip(words.of, words.flat.to_pylist(), strict=True):
+        found[of].append(w)
+    assert found == [words_of(t) for t in texts]
+    groups = {k: (texts.tolist(), some.to_pylist(), which.tolist()) for k, texts, some, which in
+              words.by_group(np.array([1, 0, 0, 1, 0, 1]))}
+    assert groups == {0: ([1, 2, 4], found[4], [3, 4, 5, 6]), 1: ([0, 3, 5], [*found[0], b"end"], [0, 1, 2, 7])}
+
+
+def test_what_is_learned_last_does_not_decide():
+    """Weights of words in order, the words of one beginning last, cost about as much as in a mixed order."""
+    rng = np.random.default_rng(4)
+    words = sorted({bytes([65 + c]) + b"".join(bytes([97 + x]) for x in rng.integers(3 * c, 3 * c + 6, rng.integers(2, 7)))
+                    for c in range(7) for _ in range(300)})
+    n = np.round(2000 / (1 + rng.permutation(len(words)))) + 1
+    whole = mixing.Tree(words, n)
+    tables = np.zeros((mixing.ORDERS, 2, 1 << mixing.SLOT_BITS), np.float32)
+    for order in range(1, mixing.ORDERS + 1):
+        for bit in range(8):
+            np.add.at(tables[order - 1], (whole.symbol >> (7 - bit) & 1, whole.slots(order, bit)), whole.weight)
+    base, costs = (n * (np.log2(n.sum()) - np.log2(n))).sum(), []
+    for order in (np.arange(len(words)), rng.permutation(len(words))):
+        mixer = mixing.Mixer(tables.transpose(0, 2, 1))
+        for lot in np.array_split(order, 20):
+            mixer.learn(mixing.Tree([words[k] for k in sorted(lot)], n[sorted(lot)]))
+        mixer.weights = mixer.passed[:, :-1] / np.maximum(mixer.passed[:, -1:], 1)
+        costs.append((mixer.code_lengths(whole) * n).sum())
+    assert max(costs) < 1.05 * min(costs) and max(costs) < 1.5 * base
+
+
 def test_scores_of_messy_rows(spark, messy):
     rows = mixing.score(messy).collect()
     assert len(rows) == messy.count()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.llm.common import arrays, held_out, nonempty, strings, words_of, written
+from tidelog.llm.common import arrays, held_out, nonempty, written
 
 #: Hashed-context predictors look back 1 to 4 bytes, as far as the blank before the word; each has
 #: 2^19 slots, whatever the corpus. A fifth one has the whole word so far as its context.
@@ -20,12 +20,15 @@ GATES, BUCKETS, INPUTS = 16, 24, ORDERS + 2
 RATE, PRIOR, STEP = 0.2, 0.25, 8192
 #: Bytes of text that are scored against one list of word scores; words whose tree is built at once.
 BLOCK_BYTES, TREE_WORDS, TREE_BYTES = 24 << 20, 20_000, 1 << 19
-#: Words counted in a task before they are handed on.
-COUNTED = 300_000
+#: Words (repeats included) that a task holds before it hands their counts on.
+HELD = 3_000_000
+#: Words by class whose slots are summed in a task.
+SUMMED = 200_000
 #: What stands for the end of a text: no word can hold it.
 END = b"\n"
-#: Classes of documents are fitted on about so many of them, by their use of the sample's most frequent words.
-CLASS_SAMPLE, CLASS_WORDS, CLASSES, ALIKE = 2000, 256, 8, 0.8
+#: Classes of documents are told by their use of the most frequent words. LOT documents are grouped at once, into
+#: FINE groups; GATHERED tasks group the groups of all others.
+CLASS_WORDS, CLASSES, ALIKE, RARE, LOT, FINE, GATHERED = 256, 8, 0.8, 1 << 14, 2000, 32, 16
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,6 +125,11 @@ def trees(batches: Iterator[pa.RecordBatch], whole_prefix: int = ORDERS) -> Iter
 
 # ---- the mixer --------------------------------------------------------------------------------
 
+def _low_gate(known: np.ndarray) -> np.ndarray:
+    """The gate by what the longest hashed context knows, where the whole word was not met."""
+    return np.minimum(5, np.log2(known + 1).astype(int) // 2)
+
+
 class Mixer:
     """Weights by gate, and the last refinement: what bits were by gate, place in the byte and mixed
     prediction."""
@@ -131,28 +139,50 @@ class Mixer:
         self.weights = np.full((GATES, INPUTS), 0.3)
         self.weights[:, -1] = 0
         self.seen = np.zeros((GATES, 8, BUCKETS, 2))
+        #: sums of the weights over all that was learned, and how much that was
+        self.passed = np.zeros((GATES, INPUTS + 1))
 
     def inputs(self, tree: Tree, bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions in the logistic domain, the gate, and the true bit. ``leave_out`` takes one
+        """Predictions in the logistic domain (a row for each), the gate, and the true bit. ``leave_out`` takes one
         occurrence of the word itself out of all counts, as if it were met for the first time."""
         truth = tree.symbol >> (7 - bit) & 1
-        own = (np.stack([1 - truth, truth], 1) * (leave_out * np.minimum(tree.weight, 1))[:, None]).astype(np.float32)
-        x = np.zeros((len(truth), INPUTS), np.float32)
+        own_one = (truth * (leave_out * np.minimum(tree.weight, 1))).astype(np.float32)
+        own_zero = ((1 - truth) * (leave_out * np.minimum(tree.weight, 1))).astype(np.float32)
+        x = np.empty((INPUTS, len(truth)), np.float32)
+        known = None
         for order in range(1, ORDERS + 1):
-            n = np.maximum(self.tables[order - 1][tree.slots(order, bit)] - own, 0)
-            x[:, order - 1] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-            known = n.sum(1)
-        zeros, ones = tree.prefix_counts(bit)
-        n = np.maximum(np.stack([zeros, ones], 1).astype(np.float32) - own, 0)
+            slots = tree.slots(order, bit)
+            if not leave_out:
+                x[order - 1] = self.logits[order - 1][slots]
+                continue
+            n = self.tables[order - 1][slots]
+            zeros, ones = np.maximum(n[:, 0] - own_zero, 0), np.maximum(n[:, 1] - own_one, 0)
+            x[order - 1] = np.log((ones + PRIOR) / (zeros + PRIOR))
+            known = _low_gate(zeros + ones)
+        if known is None:
+            known = self.low_gates[slots]
+        zeros, ones = (v.astype(np.float32) for v in tree.prefix_counts(bit))
+        zeros, ones = np.maximum(zeros - own_zero, 0), np.maximum(ones - own_one, 0)
         # words that begin alike are together from ORDERS bytes on; before, order 4 has the whole word
-        n[tree.depth < ORDERS] = 0
-        x[:, ORDERS] = np.log((n[:, 1] + PRIOR / 4) / (n[:, 0] + PRIOR / 4))
-        x[:, -1] = 0.3
-        met = n.sum(1)
-        gate = np.where(met > 0, 6 + np.minimum(9, np.log2(met + 1).astype(int)),
-                        np.minimum(5, np.log2(known + 1).astype(int) // 2))
+        zeros[tree.depth < ORDERS] = ones[tree.depth < ORDERS] = 0
+        x[ORDERS] = np.log((ones + PRIOR / 4) / (zeros + PRIOR / 4))
+        x[-1] = 0.3
+        met = zeros + ones
+        gate = np.where(met > 0, 6 + np.minimum(9, np.log2(met + 1).astype(int)), known)
         return x, gate, truth
 
+    @cached_property
+    def logits(self) -> np.ndarray:
+        """What each slot predicts, worked out once where nothing is left out of its counts."""
+        return np.log((self.tables[..., 1] + PRIOR) / (self.tables[..., 0] + PRIOR))
+
+    @cached_property
+    def low_gates(self) -> np.ndarray:
+        return _low_gate(self.tables[-1, :, 0] + self.tables[-1, :, 1])
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("kn,kn->n", x, self.weights.T[:, gate]), -12, 12)
+
     def bucket(self, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.clip((logit + 12) / 24 * (BUCKETS - 1), 0, BUCKETS - 1.001)
         return at.astype(int), at - at.astype(int)
@@ -162,16 +192,18 @@ class Mixer:
         go on. Edges are taken in a mixed order, since neighbours are alike."""
         mixed = np.argsort(np.arange(len(tree.symbol), dtype=np.uint64) * _MULTIPLIER, kind="stable")
         for bit in range(8):
-            x, gate, truth = (v[mixed] for v in self.inputs(tree, bit, leave_out=True))
+            x, gate, truth = (v[..., mixed] for v in self.inputs(tree, bit, leave_out=True))
             part = np.where(tree.given, 0, tree.weight)[mixed]
             mixed_to = np.empty(len(truth), np.float32)
             for at in range(0, len(truth), STEP):
                 now = slice(at, at + STEP)
-                logit = np.clip((x[now] * self.weights[gate[now]]).sum(1), -12, 12)
+                logit = self.mixed(x[:, now], gate[now])
                 error = (truth[now] - 1 / (1 + np.exp(-logit))) * part[now]
                 through = np.zeros((GATES, len(error)))
                 through[gate[now], np.arange(len(error))] = 1
-                self.weights += RATE * (through @ (x[now] * error[:, None])) / (through @ part[now] + 50)[:, None]
+                n = through @ part[now] + 50
+                self.weights += RATE * (through @ (x[:, now] * error).T) / n[:, None]
+                self.passed += (n - 50)[:, None] * np.concatenate([self.weights, np.ones((GATES, 1))], 1)
                 mixed_to[now] = logit
             place, up = self.bucket(mixed_to)
             for k, share in ((place, 1 - up), (place + 1, up)):
@@ -187,7 +219,7 @@ class Mixer:
         refined = n[..., 1] / n.sum(-1)
         for bit in range(8):
             x, gate, truth = self.inputs(tree, bit, leave_out=False)
-            logit = np.clip((x * self.weights[gate]).sum(1), -12, 12)
+            logit = self.mixed(x, gate)
             at, up = self.bucket(logit)
             second = refined[gate, bit, at] * (1 - up) + refined[gate, bit, at + 1] * up
             p = np.clip((1 / (1 + np.exp(-logit)) + second) / 2, 1e-7, 1 - 1e-7)
@@ -195,9 +227,9 @@ class Mixer:
         return tree.sum_by_word(np.where(tree.given, 0, cost))
 
 
-def context_tables(counts: DataFrame) -> np.ndarray:
-    """Bits seen in every slot of the hashed contexts, over all training words: summed by Spark; the
-    result has at most ORDERS x 2^19 rows, however large the corpus."""
+def slot_sums(counts: DataFrame, n_words: int) -> DataFrame:
+    """(slot, zeros, ones): bits seen in the slots of the hashed contexts, summed within tasks. A task takes about
+    SUMMED of the ``n_words`` words, so that the rows grow with the words and not with the number of partitions."""
     schema = pa.schema([("slot", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
 
     def run(batches):
@@ -217,7 +249,14 @@ def context_tables(counts: DataFrame) -> np.ndarray:
                     yield arrays(schema, {"slot": order << SLOT_BITS | lot, "zeros": sums[order, 0, lot].astype(np.int64),
                                           "ones": sums[order, 1, lot].astype(np.int64)})
 
-    found = counts.filter("c > 0").mapInArrow(run, "slot int, zeros bigint, ones bigint").groupBy("slot").agg(
+    few = counts.filter("c > 0")
+    return few.mapInArrow(run, "slot int, zeros bigint, ones bigint")
+
+
+def context_tables(counts: DataFrame, n_words: int) -> np.ndarray:
+    """Bits seen in every slot of the hashed contexts, over all ``n_words`` training words: summed by Spark; the
+    result has at most ORDERS x 2^19 rows, however large the corpus."""
+    found = slot_sums(counts, n_words).groupBy("slot").agg(
         F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
     tables = np.zeros((ORDERS << SLOT_BITS, 2), np.float32)
     for k, name in enumerate(("zeros", "ones")):
@@ -225,13 +264,14 @@ def context_tables(counts: DataFrame) -> np.ndarray:
     return tables.reshape(ORDERS, -1, 2)
 
 
-def train(counts: DataFrame) -> Mixer:
-    """Learn from (word, c) rows, sorted within partitions and with equal beginnings together.
+def train(counts: DataFrame, n_words: int) -> Mixer:
+    """Learn from ``n_words`` (word, c) rows, sorted within partitions and with equal beginnings together.
 
     Counts are summed over all words first. Then every task learns weights online, from tree to tree, and the
-    mean over tasks (by how often they used a gate) is kept; the refinement's counts are added up.
+    mean over all steps of all tasks (by how much went through a gate) is kept, so that what comes last does
+    not decide; the refinement's counts are added up.
     """
-    mixer = Mixer(context_tables(counts))
+    mixer = Mixer(context_tables(counts, n_words))
     shared = counts.sparkSession.sparkContext.broadcast(mixer)
     schema = pa.schema([("place", pa.int32()), ("part", pa.float64()), ("value", pa.float64())])
     size = GATES * INPUTS
@@ -240,11 +280,9 @@ def train(counts: DataFrame) -> Mixer:
         own = Mixer(shared.value.tables)
         for _, tree in trees(batches):
             own.learn(tree)
-        used = own.seen.sum((1, 2, 3))
-        weight = np.repeat(used, INPUTS)
-        seen = own.seen.ravel()
+        weight, seen = np.repeat(own.passed[:, -1], INPUTS), own.seen.ravel()
         yield arrays(schema, {"place": np.arange(size + len(seen)), "part": np.concatenate([weight, np.ones(len(seen))]),
-                              "value": np.concatenate([own.weights.ravel() * weight, seen])})
+                              "value": np.concatenate([own.passed[:, :-1].ravel(), seen])})
 
     sums = counts.filter("c > 0").mapInArrow(run, "place int, part double, value double").groupBy("place").agg(
         F.sum("part").alias("part"), F.sum("value").alias("value")).toArrow()
@@ -278,129 +316,219 @@ def fold(doc_id: Column) -> Column:
     return held_out(doc_id, 7, 2)
 
 
+def _groups(use: np.ndarray, most: int) -> np.ndarray:
+    """Sums of the rows of ``use`` (how often each class word occurs) by group: nearest of ``most`` centres, which
+    begin far from each other and move to their means; in both a row counts as often as it has words."""
+    size = use.sum(1)
+    use, size = use[size > 0], size[size > 0]
+    if not len(use):
+        return use
+    unit = np.sqrt(use / size[:, None])
+    centres = [unit[size.argmax()]]
+    far = 1 - unit @ centres[0]
+    while len(centres) < min(most, len(unit)):
+        centres.append(unit[(far * size).argmax()])
+        far = np.minimum(far, 1 - unit @ centres[-1])
+    of = None
+    for _ in range(10):
+        before, of = of, (unit @ np.array(centres).T).argmax(1)
+        if before is not None and (before == of).all():
+            break
+        own = (of == np.arange(len(centres))[:, None]) * size
+        centres = [c / np.linalg.norm(c) for c in (own @ unit)[own.any(1)]]
+    of = (unit @ np.array(centres).T).argmax(1)
+    return np.array([use[of == k].sum(0) for k in np.unique(of)])
+
+
+def _unlike(groups: np.ndarray) -> np.ndarray:
+    """The groups without those whose use of words is much like that of one before, which take them in."""
+    unit = np.sqrt(groups / groups.sum(1, keepdims=True))
+    root = list(range(len(groups)))
+    for k in range(len(groups)):
+        for j in range(k):
+            if unit[j] @ unit[k] >= ALIKE:
+                root[k] = root[j]
+                break
+    return np.array([groups[np.array(root) == k].sum(0) for k in sorted(set(root))]).reshape(-1, groups.shape[1])
+
+
+class Words:
+    """The words of some texts, one after the other, and which text (``of``) each belongs to."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        flat = lists.flatten()
+        real = pc.not_equal(pc.binary_length(flat), 0)
+        self.n_texts = len(lists)
+        self.flat = flat.filter(real).cast(pa.binary())
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        self.of = np.repeat(np.arange(self.n_texts), sizes)[real.to_numpy(zero_copy_only=False)]
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """Per text the sum over its words."""
+        return np.bincount(self.of, of_word, self.n_texts)
+
+    def by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+        """For every group of texts: its number, its texts, their words, and which of all words these are."""
+        of_word = group[self.of]
+        order, texts = np.argsort(of_word, kind="stable"), np.argsort(group, kind="stable")
+        sorted_, sorted_texts = of_word[order], group[texts]
+        words = self.flat.take(pa.array(order))
+        for k in np.unique(group):
+            low, high = np.searchsorted(sorted_, (k, k + 1))
+            first, last = np.searchsorted(sorted_texts, (k, k + 1))
+            yield int(k), texts[first:last], words.slice(low, high - low), order[low:high]
+
+
 class Classes:
     """Classes of documents: which frequent words each uses how often. A document's class is named
     before its words, and costs as much as any of the classes."""
 
-    def __init__(self, words: list[bytes], vectors: np.ndarray):
-        self.place = {w: k for k, w in enumerate(words)}
-        groups = self._group(vectors[vectors.sum(1) > 0])
-        use = np.array([g.sum(0) for g in groups]).reshape(len(groups), len(words)) + 0.5
-        self.log = np.log(use / use.sum(1, keepdims=True))
+    def __init__(self, words: list[bytes], groups: np.ndarray | list):
+        self.words = pa.array(words, pa.binary())
+        use = np.array(groups).reshape(len(groups), len(words)) + 0.5
+        # whole numbers, so that a text has the same class in every pass
+        self.log = np.rint(np.log(use / use.sum(1, keepdims=True)) * (1 << 20)).astype(np.int64)
         self.letters = [bytes([65 + k]) for k in range(max(1, len(groups)))]
 
-    @staticmethod
-    def _group(vectors: np.ndarray) -> list[np.ndarray]:
-        """Nearest of CLASSES centres, which begin as far from each other as can be and move to their
-        means; classes whose use of words is much alike are one."""
-        if not len(vectors):
-            return []
-        unit = np.sqrt(vectors / vectors.sum(1, keepdims=True))
-        # centres begin at long documents, whose use of words is sure
-        sure = unit[np.argsort(-vectors.sum(1), kind="stable")[:max(1, len(unit) // 4)]]
-        centres = [sure[0]]
-        while len(centres) < min(CLASSES, len(sure)):
-            centres.append(sure[np.argmin((sure @ np.array(centres).T).max(1))])
-        for _ in range(10):
-            of = (unit @ np.array(centres).T).argmax(1)
-            centres = [unit[of == k].mean(0) for k in range(len(centres)) if (of == k).any()]
-            centres = [c / np.linalg.norm(c) for c in centres]
-        of = (unit @ np.array(centres).T).argmax(1)
-        merged = list(range(len(centres)))
-        for k in range(len(centres)):
-            for j in range(k):
-                if centres[j] @ centres[k] >= ALIKE:
-                    merged[k] = merged[j]
-                    break
-        return [vectors[np.isin(of, [k for k, m in enumerate(merged) if m == root])] for root in sorted(set(merged))]
-
-    def letter(self, words: list[bytes]) -> bytes:
-        """Of the class under which these words are most likely; the first one, if none tells."""
-        return self.letter_of(Counter(filter(self.place.__contains__, words)) if len(self.letters) > 1 else Counter())
-
-    def letter_of(self, counted: Counter) -> bytes:
-        met = self.place.keys() & counted.keys()
-        if not met or len(self.letters) == 1:
-            return self.letters[0]
-        places, n = [self.place[w] for w in met], [counted[w] for w in met]
-        return self.letters[int((self.log[:, places] @ n).argmax())]
+    def use(self, words: Words) -> np.ndarray:
+        """How often each text uses each of the frequent words."""
+        place = pc.index_in(words.flat, value_set=self.words)
+        met = place.is_valid().to_numpy(zero_copy_only=False)
+        at = words.of[met] * len(self.words) + place.drop_null().to_numpy()
+        return np.bincount(at, minlength=words.n_texts * len(self.words)).reshape(words.n_texts, len(self.words))
 
+    def of(self, words: Words) -> np.ndarray:
+        """Per text the number of the class under which its words are most likely; the first one, if none tells."""
+        if len(self.letters) == 1:
+            return np.zeros(words.n_texts, np.int64)
+        return (self.use(words) @ self.log.T).argmax(1)
 
-def classes(rows: DataFrame) -> Classes:
-    """Fit classes on about CLASS_SAMPLE of these rows, chosen by a hash of the id; their whole texts count."""
-    total = rows.count()
-    share = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("classes")).cast("double") / 2.0**64 + 0.5
-    sample = rows.filter(share * total < CLASS_SAMPLE).select("text")
-    every = sample.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w")).filter("w <> ''")
-    words = [r.w.encode() for r in every.groupBy("w").count().orderBy(F.desc("count"), "w").limit(CLASS_WORDS).collect()]
-    place = {w: k for k, w in enumerate(words)}
+
+def class_words(rows: DataFrame) -> list[bytes]:
+    """The most frequent words of all these texts, at most CLASS_WORDS, the first ones first.
+
+    A lot of a task hands on the words that are at least one in RARE of its own, so a word's count lacks less
+    than that share of all words: more frequent ones are never lost.
+    """
 
     def run(batches):
-        for batch in nonempty(batches):
-            out = []
-            for text in strings(batch, "text"):
-                vector = np.zeros(len(place), np.int64)
-                for w, n in Counter(words_of(text)).items():
-                    if w in place:
-                        vector[place[w]] = n
-                out.append(vector)
-            yield pa.RecordBatch.from_pydict({"use": pa.array(out, pa.list_(pa.int64()))})
+        for held in _lots(batches, lambda batch: [(None, Words(batch.column("text")).flat, 0)]):
+            (some, _), = held.values()
+            found = pc.value_counts(some)
+            n = found.field("counts")
+            often = pc.greater_equal(n, len(some) / RARE)
+            yield _batch(found.field("values").filter(often), n=n.filter(often))
+
+    found = rows.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in found.orderBy(F.desc("n"), "word").limit(CLASS_WORDS).collect()]
 
-    vectors = [r.use for r in sample.mapInArrow(run, "use array<bigint>").collect()]
-    return Classes(words, np.array(sorted(vectors), float).reshape(len(vectors), len(words)))
 
+def classes(rows: DataFrame) -> Classes:
+    """Fit classes on all of these rows and their whole texts: every task groups its documents, LOT at a time
+    together with the groups so far, the tasks' groups are grouped again in GATHERED tasks, and those here, into CLASSES.
+    A group is the sum of its documents' counts, so each document counts in the class that takes it in."""
+    words = class_words(rows)
+    schema = pa.schema([("use", pa.list_(pa.int64()))])
+
+    def counts(batch):
+        return Classes(words, []).use(Words(batch.column("text")))
+
+    def given(batch):
+        return np.array(batch.column("use").to_pylist(), float)
+
+    def grouped(read):
+        def run(batches):
+            held = np.zeros((0, len(words)))
+            for batch in nonempty(batches):
+                held = np.concatenate([held, read(batch)])
+                if len(held) >= LOT:
+                    held = _groups(held, FINE)
+            if len(held):
+                yield arrays(schema, {"use": list(_groups(held, FINE).astype(np.int64))})
+
+        return run
+
+    if not words:
+        return Classes([], [])
+    by_task = rows.select("text").mapInArrow(grouped(counts), "use array<bigint>")
+    found = sorted(r.use for r in by_task.repartition(GATHERED).mapInArrow(grouped(given), "use array<bigint>").collect())
+    return Classes(words, _unlike(_groups(np.array(found, float).reshape(len(found), len(words)), CLASSES)))
+
+
+def _batch(word: pa.Array | pa.ChunkedArray, **others) -> pa.RecordBatch:
+    """Words and other columns; a single value stands for all rows."""
+    columns = {"word": word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word}
+    for k, v in others.items():
+        kind = pa.string() if k == "class" else pa.int64()
+        columns[k] = v if isinstance(v, pa.Array) else pa.repeat(pa.scalar(v, kind), len(word))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _lots(batches: Iterator[pa.RecordBatch], read) -> Iterator[dict]:
+    """key -> (words, number of texts), of so many batches that they have about HELD words. ``read`` gives
+    (key, words, number of texts) for a batch."""
+    held: dict[tuple, tuple[list, int]] = {}
+    size = 0
 
-def _batch(**columns) -> pa.RecordBatch:
-    """Columns of one length; a single value stands for all rows."""
-    n = len(columns["word"])
-    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "word" else pa.int64()) if isinstance(v, list)
-                                       else pa.repeat(pa.scalar(v, pa.string() if k == "class" else pa.int64()), n)
-                                       for k, v in columns.items()})
+    def given():
+        return {k: (pa.chunked_array(v, pa.binary()), n) for k, (v, n) in held.items()}
+
+    for batch in nonempty(batches):
+        for key, words, n in read(batch):
+            some, before = held.get(key, ([], 0))
+            held[key] = [*some, words], before + n
+            size += len(words)
+        if size >= HELD:
+            yield given()
+            held, size = {}, 0
+    if held:
+        yield given()
 
 
 def _counted(rows: DataFrame, told: Broadcast) -> DataFrame:
-    """(class, word, n) for rows (learned, text): word counts of a task, handed on COUNTED at a time.
+    """(word, class, n) for rows (learned, text): word counts of a task, HELD words at a time.
     Documents that are not learned from name their words with n = 0."""
 
-    def run(batches):
-        held: dict[tuple[bytes, bool], Counter] = {}
-
-        def give():
-            for (letter, learned), some in held.items():
-                yield _batch(**{"class": letter.decode(), "word": list(some), "n": list(some.values()) if learned else 0})
-            held.clear()
+    def read(batch):
+        words = Words(batch.column("text"))
+        learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(np.int64)
+        for k, texts, some, _ in words.by_group(2 * told.value.of(words) + learned):
+            yield k, some, len(texts)
 
-        for batch in nonempty(batches):
-            for learned, text in zip(batch.column("learned").to_pylist(), strings(batch, "text"), strict=True):
-                words = [*words_of(text), END]
-                held.setdefault((told.value.letter(words), learned), Counter()).update(words)
-            if sum(map(len, held.values())) > COUNTED:
-                yield from give()
-        yield from give()
+    def run(batches):
+        for held in _lots(batches, read):
+            for k, (some, n_texts) in held.items():
+                name, learned = told.value.letters[k // 2].decode(), k % 2
+                found = pc.value_counts(some)
+                yield _batch(found.field("values"), **{"class": name, "n": found.field("counts") if learned else 0})
+                yield _batch(pa.array([END], pa.binary()), **{"class": name, "n": n_texts * learned})
 
-    return rows.mapInArrow(run, "class string, word binary, n bigint")
+    return rows.mapInArrow(run, "word binary, class string, n bigint")
 
 
 def _asked(rows: DataFrame, told: Broadcast) -> DataFrame:
-    """(block, word) for rows with block and text: the words of a block's documents, with their class before them."""
+    """(word, block) for rows with block and text: the words of a block's documents, with their class before them."""
 
-    def run(batches):
-        held: dict[tuple[int, bytes], set] = {}
-
-        def give():
-            for (block, letter), some in held.items():
-                yield _batch(block=block, word=[letter + w for w in some])
-            held.clear()
+    def read(batch):
+        words = Words(batch.column("text"))
+        own = told.value.of(words)
+        names, block = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+        size = len(told.value.letters)
+        for k, _, some, _ in words.by_group(block * size + own):
+            yield (int(names[k // size]), k % size), some, 0
 
-        for batch in nonempty(batches):
-            for block, text in zip(batch.column("block").to_pylist(), strings(batch, "text"), strict=True):
-                words = [*words_of(text), END]
-                held.setdefault((block, told.value.letter(words)), set()).update(words)
-            if sum(map(len, held.values())) > 2 * COUNTED:
-                yield from give()
-        yield from give()
+    def run(batches):
+        for held in _lots(batches, read):
+            for (block, k), (some, _) in held.items():
+                letter = told.value.letters[k]
+                for words in (pc.unique(some), pa.array([END], pa.binary())):
+                    yield _batch(pc.binary_join_element_wise(pa.scalar(letter, pa.binary()), words, pa.scalar(b"", pa.binary())),
+                                 block=block)
 
-    return rows.mapInArrow(run, "block bigint, word binary")
+    return rows.mapInArrow(run, "word binary, block bigint")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -425,12 +553,14 @@ def score(docs: DataFrame) -> DataFrame:
     of = [F.when(F.col("class") == x, F.col("n")) for x in letters]
     words = written(_counted(rows.select("text", (~F.col("held_out")).alias("learned")), told).groupBy("word").agg(
         F.sum("n").alias("c"), F.array(*map(F.sum, of)).alias("own")))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct, n_words = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0),
+        F.coalesce(F.sum(F.size(F.filter("own", lambda n: n > 0))), F.lit(0))).first()
     counts = words.select("word", F.col("c").alias("all"), F.posexplode("own").alias("at", "c")).filter(
         "c is not null").select(F.concat(F.encode(F.get(F.array(*map(F.lit, letters)), "at"), "utf-8"), "word").alias("word"),
                                 "c", "all")
     together = counts.repartition(F.substring("word", 1, ORDERS)).sortWithinPartitions("word")
-    costs = written(word_scores(together, train(together.select("word", "c"))))
+    costs = written(word_scores(together, train(together.select("word", "c"), n_words)))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))),
                                             F.lit(blocks).cast("bigint"))).repartition("block")
@@ -442,30 +572,37 @@ def score(docs: DataFrame) -> DataFrame:
     scale = np.log10(total + distinct + 1)
 
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        words = lists.column("word").combine_chunks()
-        first, rest = pc.binary_slice(words, 0, 1), pc.binary_slice(words, 1, 1 << 30)
-        place: dict[bytes, dict[bytes, int]] = {}
+        named = lists.column("word").combine_chunks()
+        first, rest = pc.binary_slice(named, 0, 1), pc.binary_slice(named, 1, 1 << 30)
+        c, bits = (lists.column(n).to_numpy() for n in ("c", "bits"))
+        # per class its words, their costs, their base scores and whether they are known; the end is among them
+        of_class = []
         for letter in told.value.letters:
-            own = pc.equal(first, pa.scalar(letter, words.type))
-            place[letter] = dict(zip(rest.filter(own).to_pylist(), pc.indices_nonzero(own).to_pylist(), strict=True))
-        c = lists.column("c").to_numpy()
-        of_word = np.stack([lists.column("bits").to_numpy(), np.log10(c + 1.0) - scale, c > 0], 1)
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for batch in texts.to_batches(max_chunksize=500):
-            for doc, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
-                                       strings(batch, "text"), strict=True):
-                some = [*words_of(text), END]
-                own = Counter(some)
-                of_class = place[told.value.letter_of(own)]
-                n = np.fromiter(own.values(), float, len(own))
-                at = np.fromiter(map(of_class.__getitem__, own), np.int64, len(own))
-                bits, base, known = n @ of_word[at]
-                cost = bits + np.log2(len(letters))
-                values = (doc, held, len(some), round(known), total, base, -cost * np.log10(2),
-                          cost / max(1, sum(map(len, some)) - 1))
-                for name, value in zip(schema.names, values, strict=True):
-                    out[name].append(value)
-        return pa.table({n: pa.array(out[n], schema.field(n).type) for n in schema.names})
+            own = pc.equal(first, pa.scalar(letter, named.type))
+            at = pc.indices_nonzero(own).to_numpy()
+            known, some = c[at] > 0, rest.filter(own)
+            of_class.append((some, (bits[at].astype(float), np.log10(c[at] + 1.0) - scale, known.astype(float)),
+                             pc.index(some, pa.scalar(END, some.type)).as_py()))
+        out = []
+        for batch in texts.to_batches(max_chunksize=2000):
+            words = Words(batch.column("text"))
+            # of each word: bits, base score, known
+            values, ends = np.zeros((3, len(words.flat))), np.zeros((3, words.n_texts))
+            for k, some, asked, which in words.by_group(told.value.of(words)):
+                known_words, costs, end = of_class[k]
+                at = pc.index_in(asked, value_set=known_words).to_numpy()
+                for place, cost in enumerate(costs):
+                    values[place, which] = cost[at]
+                    ends[place, some] = cost[end]
+            cost, base, known = (words.sums(v) + e for v, e in zip(values, ends, strict=True))
+            cost += np.log2(len(told.value.letters))
+            size = words.sums(pc.binary_length(words.flat).to_numpy())
+            out.append(arrays(schema, {
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                "n_tokens": np.bincount(words.of, minlength=words.n_texts) + 1, "n_known": np.rint(known).astype(np.int64),
+                "train_tokens": np.full(words.n_texts, total), "base_score": base, "score": -cost * np.log10(2),
+                "bits_per_byte": cost / np.maximum(1, size)}))
+        return pa.Table.from_batches(out, schema)
 
     return dealt.groupBy("block").cogroup(
         lists.groupBy("block")).applyInArrow(
