@@ -169,6 +169,14 @@ def test_what_is_learned_last_does_not_decide():
     assert max(costs) < 1.05 * min(costs) and max(costs) < 1.5 * base
 
 
+def test_slot_rows_do_not_grow_with_partitions(spark):
+    words = sorted(f"A{k * 7919:x}".encode() for k in range(3000))
+    counts = spark.createDataFrame([(w, 1) for w in words], "word binary, c bigint")
+    few, many = (counts.repartitionByRange(n, "word").sortWithinPartitions("word") for n in (1, 40))
+    assert mixing.slot_sums(many, len(words)).count() == mixing.slot_sums(few, len(words)).count()
+    assert np.array_equal(mixing.context_tables(many, len(words)), mixing.context_tables(few, len(words)))
+
+
 def test_scores_of_messy_rows(spark, messy):
     rows = mixing.score(messy).collect()
     assert len(rows) == messy.count()

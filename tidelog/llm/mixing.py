@@ -249,7 +249,7 @@ def slot_sums(counts: DataFrame, n_words: int) -> DataFrame:
                     yield arrays(schema, {"slot": order << SLOT_BITS | lot, "zeros": sums[order, 0, lot].astype(np.int64),
                                           "ones": sums[order, 1, lot].astype(np.int64)})
 
-    few = counts.filter("c > 0")
+    few = counts.filter("c > 0").coalesce(max(1, -(-n_words // SUMMED)))
     return few.mapInArrow(run, "slot int, zeros bigint, ones bigint")
 
 
