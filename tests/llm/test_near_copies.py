@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from tidelog.llm import near_copies
+from tidelog.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -74,6 +75,32 @@ def test_stage_takes_a_copy_at_a_similarity_of_0_8(spark, folder):
     assert sorted(r.doc_id for r in stage(spark, frame, folder).collect()) == [0, 7]
 
 
+def test_stage_links_fingerprints_within_two_bits(spark, folder):
+    """A long text with other words in a row at one place: few shingles of a set are common, but these repeat."""
+    common = " ".join("w%d" % (k % 7) for k in range(4000))
+    texts = [common, common + " " + " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(300)), None]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and not alike(shingles(texts[0]), shingles(texts[1]))
+    frame = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, frame, folder).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == [1, 2, 3, 4]
+
+
+def test_stage_finds_what_both_methods_link(spark, folder):
+    rows = near()
+    prints, sets = [simhash.fingerprint(t, 5) for _, t in rows], [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if alike(sets[a], sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
+                old, new = sorted((root[a], root[b]))[::-1]
+                root = [new if r == old else r for r in root]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r.doc_id for r in stage(spark, frame, folder).collect()} == set(root)
+
+
 def test_rows_are_decided_one_by_one(spark):
     rows = [(1, "one text of a few words here"), (9, "one text of a few words here"), (9, "another text that nobody else has"),
             (None, "one text of a few words here"), (None, "a text without an id that is alone"),

@@ -1,4 +1,4 @@
-"""Near copies of whole documents: an exact similarity join on word shingles."""
+"""Near copies of whole documents: SimHash fingerprints and an exact similarity join on word shingles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidelog.llm import simhash
 from tidelog.llm.common import arrays, nonempty, plain_names, strings, words_of, written
 from tidelog.llm.components import components
 from tidelog.session import durable
@@ -60,15 +61,30 @@ def _mapped(texts: DataFrame, fn, **types: str) -> DataFrame:
 
 
 def _digests(texts: DataFrame, size: int) -> DataFrame:
-    """(row, n, d1, d2): how many shingles a text has, and two sums over them that tell equal sets."""
+    """(row, n, d1, d2, fp): how many shingles a text has, two sums over them that tell equal sets, and the
+    text's SimHash fingerprint over its shingles."""
 
     def digest(rows, some):
         sets = [shingles(t, size) for t in some]
         sums = np.array([[s.sum(dtype=np.uint64), ((s ^ s >> np.uint64(31)) * _MULTIPLIER ^ s).sum(dtype=np.uint64)]
                          for s in sets], np.uint64).view(np.int64)
-        return rows, [len(s) for s in sets], sums[:, 0], sums[:, 1]
+        prints = np.array([simhash.fingerprint(t, size) for t in some], np.uint64).view(np.int64)
+        return rows, [len(s) for s in sets], sums[:, 0], sums[:, 1], prints
 
-    return _mapped(texts, digest, row="bigint", n="int", d1="bigint", d2="bigint")
+    return _mapped(texts, digest, row="bigint", n="int", d1="bigint", d2="bigint", fp="bigint")
+
+
+def _fingerprint_links(prints: DataFrame, firsts: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that connect all first rows of a shingle set with a text whose fingerprint differs in at most
+    ``radius`` bits. Copies of a text meet as one row before anything is joined; a fingerprint stands for its
+    smallest row."""
+    held = written(prints.groupBy("n", "d1", "d2", "fp").agg(F.count(F.lit(1)).alias("rows")).join(
+        firsts.select("n", "d1", "d2", F.col("first.row").alias("row")), ["n", "d1", "d2"]).select("fp", "row"))
+    lowest = written(held.groupBy("fp").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("rows")))
+    same = held.join(lowest.filter("rows > 1"), "fp").filter("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    found = written(simhash.links(lowest.select("fp"), radius))
+    of_a, of_b = (lowest.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
+    return written(same.union(found.join(of_a, "a").join(of_b, "b").select("low_a", "low_b")))
 
 
 def _levels(texts: DataFrame, total: int, size: int) -> np.ndarray:
@@ -192,11 +208,12 @@ def links(texts: DataFrame, total: int, size: int, pivots: int = PIVOTS) -> Data
     return found.union(_verified(second, texts, size))
 
 
-def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
 
     Texts are linked if the Jaccard similarity of their word shingles, by hashes of 64 bits, is at least 0.8;
-    texts without words are alike. Each group keeps the row with the smallest id, rows without one last and
+    with a ``radius`` also those whose SimHash fingerprints over these shingles differ in at most so many bits.
+    Texts without words are alike. Each group keeps the row with the smallest id, rows without one last and
     of one id the first as written. Rows are decided one by one, so copies that share an id or have none go
     too, and a row stays if only another text with its id goes. Other columns may have any names.
     """
@@ -205,14 +222,15 @@ def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS) -> DataFrame:
     texts = rows.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     ids = rows.select("__row", F.col(doc_id).cast("bigint").alias("doc_id"))
     prints = written(_digests(texts, size).join(ids, F.col("row") == F.col("__row")).select(
-        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2"))
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2", "fp"))
     firsts = written(prints.groupBy("n", "d1", "d2").agg(
         F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("rows")))
     copies = written(prints.join(firsts.filter("rows > 1"), ["n", "d1", "d2"]).filter("row <> first.row").select("row"))
-    different = texts.join(copies, "row", "left_anti")
-    roots = written(components(links(different, firsts.count(), size, pivots), "a", "b"))
-    linked = written(prints.join(roots, F.col("row") == F.col("node")).select(F.struct(*order).alias("own"), "root"))
-    lowest = linked.groupBy("root").agg(F.min("own").alias("lowest"))
-    later = linked.join(lowest, "root").filter("own <> lowest").select("own.row")
+    linked = None if radius is None else _fingerprint_links(prints, firsts, radius)
+    found = links(texts.join(copies, "row", "left_anti"), firsts.count(), size, pivots)
+    roots = written(components(found if linked is None else found.union(linked), "a", "b"))
+    members = written(prints.join(roots, F.col("row") == F.col("node")).select(F.struct(*order).alias("own"), "root"))
+    lowest = members.groupBy("root").agg(F.min("own").alias("lowest"))
+    later = members.join(lowest, "root").filter("own <> lowest").select("own.row")
     gone = written(copies.union(later).withColumnRenamed("row", "__row"))
     return rows.join(gone, "__row", "left_anti").select(*named.columns).toDF(*docs.columns)
