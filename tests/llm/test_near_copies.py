@@ -101,6 +101,16 @@ def test_stage_finds_what_both_methods_link(spark, folder):
     assert {r.doc_id for r in stage(spark, frame, folder).collect()} == set(root)
 
 
+def test_levels_come_as_one_byte_for_each_bucket(spark):
+    texts = ["a b c d e f", "a b c d e g", "a b c d e f h i"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(2)
+    seen = np.zeros(1 << near_copies.BUCKET_BITS, int)
+    for t in texts:
+        np.add.at(seen, (near_copies.shingles(t, 5) >> np.uint64(64 - near_copies.BUCKET_BITS)).astype(int), 1)
+    levels = near_copies._levels(frame, len(texts), 5)
+    assert levels.dtype == np.uint8 and np.array_equal(levels, (8 * np.log2(1 + seen)).astype(np.uint8))
+
+
 def test_rows_are_decided_one_by_one(spark):
     rows = [(1, "one text of a few words here"), (9, "one text of a few words here"), (9, "another text that nobody else has"),
             (None, "one text of a few words here"), (None, "a text without an id that is alone"),

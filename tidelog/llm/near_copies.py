@@ -90,22 +90,33 @@ def _fingerprint_links(prints: DataFrame, firsts: DataFrame, radius: int) -> Dat
 def _levels(texts: DataFrame, total: int, size: int) -> np.ndarray:
     """How common the shingles of each bucket are, in 256 steps."""
     chosen = (F.xxhash64("row", F.lit("levels")).cast("double") / 2.0**64 + 0.5) * max(total, 1) < SAMPLE_DOCS
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    part_bits = min(12, BUCKET_BITS)
+    schema = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("n", pa.binary())])
 
     def run(batches):
         seen = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in nonempty(batches):
             for text in strings(batch, "text"):
                 np.add.at(seen, (shingles(text, size) >> _LAST_BITS).astype(np.int64), 1)
-        there = np.flatnonzero(seen)
-        for lot in np.array_split(there, max(1, len(there) // 100_000)):
-            yield arrays(schema, {"bucket": lot, "n": seen[lot]})
-
-    found = texts.filter(chosen).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(
-        F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    out[found.column("bucket").to_numpy()] = np.minimum(255, 8 * np.log2(1.0 + found.column("n").to_numpy()))
-    return out
+        for part, some in enumerate(seen.reshape(-1, 1 << part_bits)):
+            there = np.flatnonzero(some)
+            if len(there):
+                yield arrays(schema, {"part": [part], "places": [there.astype(np.uint16).tobytes()], "n": [some[there].tobytes()]})
+
+    def put_together(some: pa.Table) -> pa.Table:
+        # a byte for each bucket, so that the driver gets no more than the table it hands out
+        part = some.column("part")[0].as_py()
+        at, of = (np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in (("places", np.uint16), ("n", np.int64)))
+        n = np.bincount(at, of, 1 << part_bits)
+        levels = np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8)
+        return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    found = texts.filter(chosen).mapInArrow(run, "part int, places binary, n binary").groupBy("part").applyInArrow(
+        put_together, "part int, levels binary")
+    out = np.zeros((1 << BUCKET_BITS - part_bits, 1 << part_bits), np.uint8)
+    for row in found.toArrow().to_pylist():
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.ravel()
 
 
 def _lists(texts: DataFrame, levels: np.ndarray, size: int) -> DataFrame:
