@@ -83,6 +83,8 @@ class Index:
                for low, high in pieces(bag, len(q))]
         #: the item of every entry
         self.of = np.array([k for k, _ in cut])
+        #: whether an entry is its item as a whole: the first of its pieces
+        self.whole = np.diff(self.of, prepend=-1) > 0
         mean = sum(map(len, bags)) / len(bags)
         lists: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, piece) in enumerate(cut):
@@ -131,7 +133,18 @@ class Index:
         self.limit = np.maximum.reduceat(self.block_top, self.block_starts[:-1])
         self.blocks = blocks
 
+    @property
+    def items(self) -> np.ndarray:
+        """Per posting the item that it is of as a whole; -1 for postings of its other pieces."""
+        return np.where(self.whole, self.of, -1)[self.entries]
+
     def search(self, word_lists: list[list[str]], least: float = LEAST_SCORE):
+        """All (document, first word, item, score) whose score for the whole item reaches ``least``."""
+        for d, start, entry, score in self.search_pieces(word_lists, least):
+            if self.whole[entry]:
+                yield d, start, int(self.of[entry]), score
+
+    def search_pieces(self, word_lists: list[list[str]], least: float = LEAST_SCORE):
         """All (document, first word, entry, score) whose score reaches ``least``, passages in order.
 
         Block-max WAND for many passages at once: a passage is passed over if its terms' bounds cannot
@@ -232,7 +245,7 @@ def leaks(found: list[Index], texts: list[str | None], least_overlap: float, lea
     for index in found:
         # the parts of an item may lie far from each other, so its shares are those of the document
         of, shares, runs = -1, {}, {}
-        for d, start, entry, score in index.search(word_lists):
+        for d, start, entry, score in index.search_pieces(word_lists):
             item = int(index.of[entry])
             whole, question, answer = index.shingles[item], index.questions[item], index.answers[item]
             wanted = whole | question | answer
