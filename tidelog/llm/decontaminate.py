@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,9 @@ class Index:
                 break
             bound, late[t] = with_it, True
         self.late = late
+        #: per late term the impacts by entry
+        self.late_lists = {int(t): dict(zip(self.entries[(own := slice(self.starts[t], self.starts[t + 1]))].tolist(),
+                                            self.impact[own].tolist(), strict=True)) for t in np.flatnonzero(late)}
         #: what late terms can add to an entry: the largest of its block
         self.rest = np.maximum.reduceat(bound, np.arange(0, n, BLOCK)).repeat(BLOCK)[:n]
         #: per term, its largest impact in each block that it occurs in, and in any
@@ -155,8 +159,7 @@ class Index:
         sizes = np.array([len(w) for w in word_lists])
         windows = np.maximum(1, -(-sizes // self.stride) - 1)
         first = np.concatenate(([0], np.cumsum(windows)))
-        get = self.terms.get
-        flat = np.fromiter((get(w, -1) for some in word_lists for w in some), np.int64, sizes.sum())
+        flat = np.fromiter(map(self.terms.get, chain.from_iterable(word_lists), repeat(-1)), np.int64, sizes.sum())
         owner = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         hit = np.flatnonzero(flat >= 0)
@@ -167,7 +170,10 @@ class Index:
         in_second = half > 0
         passage = np.concatenate([(first[doc] + half)[in_first], (first[doc] + half - 1)[in_second]])
         term = np.concatenate([term[in_first], term[in_second]])
-        keys = np.unique(passage * len(self.terms) + term)
+        # 0. most passages cannot reach it even if words that they repeat counted again
+        reach = np.bincount(passage, self.limit[term], first[-1]) + self.rest.max()
+        kept = (reach >= least - 1e-9)[passage]
+        keys = _distinct(passage[kept] * len(self.terms) + term[kept], first[-1] * len(self.terms))
         passage, term = keys // len(self.terms), keys % len(self.terms)
         if not len(keys):
             return
@@ -177,40 +183,33 @@ class Index:
         passage, term = passage[kept], term[kept]
         # 2. blocks of a passage by the sum of its terms' block bounds
         entry, of = _expand(self.block_starts, term)
-        cell = passage[of] * self.blocks + self.block_of[entry]
-        cells, at = np.unique(cell, return_inverse=True)
+        cells, bound = _sums(passage[of] * self.blocks + self.block_of[entry], self.block_top[entry], first[-1] * self.blocks)
         if not len(cells):
             return
-        bound = np.bincount(at, self.block_top[entry]) + self.rest[cells % self.blocks * BLOCK]
-        cells = cells[bound >= least - 1e-9]
+        cells = cells[bound + self.rest[cells % self.blocks * BLOCK] >= least - 1e-9]
         # 3. early terms' postings in those blocks, added up by passage and entry
         posting, of = _expand(self.starts, term)
         passage, n = passage[of], len(self.of)
-        inside = np.isin(passage * self.blocks + self.block[posting], cells)
+        inside = _among(passage * self.blocks + self.block[posting], cells, first[-1] * self.blocks)
         posting, passage = posting[inside], passage[inside]
         if not len(posting):
             return
-        key, of = np.unique(passage * n + self.entries[posting], return_inverse=True)
-        early = np.bincount(of, self.impact[posting])
+        key, early = _sums(passage * n + self.entries[posting], self.impact[posting], first[-1] * n)
         good = np.flatnonzero(early + self.rest[key % n] >= least - 1e-9)
         # 4. complete scores of what is left
-        for k in good:
-            window, entry = int(key[k] // n), int(key[k] % n)
-            d = int(np.searchsorted(first, window, side="right") - 1)
-            start = (window - int(first[d])) * self.stride
-            score = early[k] + self.late_score(word_lists[d][start:start + 2 * self.stride], entry)
-            if score >= least:
-                yield d, start, entry, float(score)
-
-    def late_score(self, passage: list[str], entry: int) -> float:
-        total = 0.0
-        for t in {self.terms[w] for w in passage if w in self.terms}:
-            if self.late[t]:
-                own = self.entries[self.starts[t]:self.starts[t + 1]]
-                k = np.searchsorted(own, entry)
-                if k < len(own) and own[k] == entry:
-                    total += self.impact[self.starts[t] + k]
-        return total
+        begins, seen, late = np.cumsum(sizes) - sizes, -1, []
+        for window, entry, score in zip((key[good] // n).tolist(), (key[good] % n).tolist(), early[good].tolist(), strict=True):
+            if window != seen:
+                d = int(np.searchsorted(first, window, side="right") - 1)
+                start = (window - int(first[d])) * self.stride
+                end = min(start + 2 * self.stride, int(sizes[d]))
+                there = {t for t in flat[begins[d] + start:begins[d] + end].tolist() if t >= 0}
+                seen, late = window, [self.late_lists[t] for t in there if t in self.late_lists]
+            rest = 0.0
+            for own in late:
+                rest += own.get(entry, 0.0)
+            if score + rest >= least:
+                yield d, start, entry, score + rest
 
 
 def _expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +219,38 @@ def _expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(count.sum()) + np.repeat(starts[rows] - (np.cumsum(count) - count), count), of
 
 
+def _dense(n: int, size: int) -> bool:
+    """Whether an array of ``size`` costs less than sorting n keys, in time and, up to a bound, in memory."""
+    return size <= min(1 << 24, 16 * n)
+
+
+def _distinct(keys: np.ndarray, size: int) -> np.ndarray:
+    """The different keys, all below ``size``, in order."""
+    if not _dense(len(keys), size):
+        return np.unique(keys)
+    there = np.zeros(size, bool)
+    there[keys] = True
+    return np.flatnonzero(there)
+
+
+def _sums(keys: np.ndarray, numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, all below ``size``, in order, and the sum of the numbers of each."""
+    if not _dense(len(keys), size):
+        some, of = np.unique(keys, return_inverse=True)
+        return some, np.bincount(of, numbers, len(some))
+    some = _distinct(keys, size)
+    return some, np.bincount(keys, numbers, size)[some]
+
+
+def _among(keys: np.ndarray, some: np.ndarray, size: int) -> np.ndarray:
+    """Whether each key, all below ``size``, is one of some."""
+    if not _dense(len(keys), size):
+        return np.isin(keys, some)
+    there = np.zeros(size, bool)
+    there[some] = True
+    return there[keys]
+
+
 def share(wanted: set, there: set) -> float:
     return len(wanted & there) / len(wanted) if wanted else 0.0
 
