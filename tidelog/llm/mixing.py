@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -99,27 +100,39 @@ class Tree:
 def trees(batches: Iterator[pa.RecordBatch], whole_prefix: int = ORDERS) -> Iterator[tuple[pa.RecordBatch, Tree]]:
     """Trees of the sorted words of a task. Words with the same first bytes come into one tree, so
     that its counts are whole, up to three times TREE_WORDS of them."""
-    held: list[tuple[bytes, int, int]] = []
+    words: list[bytes] = []
+    counts: list[int] = []
+    wholes: list[int] = []
 
     def cut():
-        table = pa.RecordBatch.from_pydict({"word": pa.array([h[0] for h in held], pa.binary()),
-                                            "all": pa.array([h[2] for h in held], pa.int64())})
-        tree = Tree([h[0] for h in held], np.array([h[1] for h in held], float))
-        held.clear()
+        table = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "all": pa.array(wholes, pa.int64())})
+        tree = Tree(words, np.array(counts, float))
+        for held in (words, counts, wholes):
+            held.clear()
         return table, tree
 
     size = 0
     for batch in nonempty(batches):
-        c = batch.column("c").to_pylist()
+        some, c = batch.column("word").to_pylist(), batch.column("c").to_pylist()
         every = batch.column("all").to_pylist() if "all" in batch.schema.names else c
-        for now, c, whole in zip(batch.column("word").to_pylist(), c, every, strict=True):
+        more = sum(map(len, some)) + len(some)
+        if len(words) + len(some) <= TREE_WORDS and size + more < TREE_BYTES:
+            # no tree is full before the end of the batch
+            size += more
+            words += some
+            counts += c
+            wholes += every
+            continue
+        for now, n, whole in zip(some, c, every, strict=True):
             size += len(now) + 1
-            full = len(held) >= TREE_WORDS or size >= TREE_BYTES
-            if held and full and (now[:whole_prefix] != held[-1][0][:whole_prefix] or len(held) >= 3 * TREE_WORDS):
+            full = len(words) >= TREE_WORDS or size >= TREE_BYTES
+            if words and full and (now[:whole_prefix] != words[-1][:whole_prefix] or len(words) >= 3 * TREE_WORDS):
                 yield cut()
                 size = len(now) + 1
-            held.append((now, c, whole))
-    if held:
+            words.append(now)
+            counts.append(n)
+            wholes.append(whole)
+    if words:
         yield cut()
 
 
@@ -146,21 +159,20 @@ class Mixer:
         """Predictions in the logistic domain (a row for each), the gate, and the true bit. ``leave_out`` takes one
         occurrence of the word itself out of all counts, as if it were met for the first time."""
         truth = tree.symbol >> (7 - bit) & 1
-        own_one = (truth * (leave_out * np.minimum(tree.weight, 1))).astype(np.float32)
-        own_zero = ((1 - truth) * (leave_out * np.minimum(tree.weight, 1))).astype(np.float32)
+        own = np.minimum(tree.weight, 1).astype(np.float32) if leave_out else np.zeros(len(truth), np.float32)
+        own_one = truth.astype(np.float32) * own
+        own_zero = own - own_one
         x = np.empty((INPUTS, len(truth)), np.float32)
-        known = None
         for order in range(1, ORDERS + 1):
             slots = tree.slots(order, bit)
             if not leave_out:
-                x[order - 1] = self.logits[order - 1][slots]
+                x[order - 1] = self.logits[order - 1].take(slots)
                 continue
-            n = self.tables[order - 1][slots]
+            # both numbers of a slot are fetched at once
+            n = self.pairs[order - 1].take(slots).view(np.float32).reshape(-1, 2)
             zeros, ones = np.maximum(n[:, 0] - own_zero, 0), np.maximum(n[:, 1] - own_one, 0)
             x[order - 1] = np.log((ones + PRIOR) / (zeros + PRIOR))
-            known = _low_gate(zeros + ones)
-        if known is None:
-            known = self.low_gates[slots]
+        known = _low_gate(zeros + ones) if leave_out else self.low_gates.take(slots)
         zeros, ones = (v.astype(np.float32) for v in tree.prefix_counts(bit))
         zeros, ones = np.maximum(zeros - own_zero, 0), np.maximum(ones - own_one, 0)
         # words that begin alike are together from ORDERS bytes on; before, order 4 has the whole word
@@ -171,6 +183,11 @@ class Mixer:
         gate = np.where(met > 0, 6 + np.minimum(9, np.log2(met + 1).astype(int)), known)
         return x, gate, truth
 
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """Both numbers of each slot as one item of eight bytes."""
+        return np.ascontiguousarray(self.tables, np.float32).view(np.uint64)[..., 0]
+
     @cached_property
     def logits(self) -> np.ndarray:
         """What each slot predicts, worked out once where nothing is left out of its counts."""
@@ -181,7 +198,10 @@ class Mixer:
         return _low_gate(self.tables[-1, :, 0] + self.tables[-1, :, 1])
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,kn->n", x, self.weights.T[:, gate]), -12, 12)
+        logit = np.zeros(len(gate))
+        for k in range(INPUTS):
+            logit += x[k] * self.weights[:, k].take(gate)
+        return np.clip(logit, -12, 12, out=logit)
 
     def bucket(self, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.clip((logit + 12) / 24 * (BUCKETS - 1), 0, BUCKETS - 1.001)
@@ -192,17 +212,16 @@ class Mixer:
         go on. Edges are taken in a mixed order, since neighbours are alike."""
         mixed = np.argsort(np.arange(len(tree.symbol), dtype=np.uint64) * _MULTIPLIER, kind="stable")
         for bit in range(8):
-            x, gate, truth = (v[..., mixed] for v in self.inputs(tree, bit, leave_out=True))
+            x, gate, truth = (v.take(mixed, axis=-1) for v in self.inputs(tree, bit, leave_out=True))
             part = np.where(tree.given, 0, tree.weight)[mixed]
             mixed_to = np.empty(len(truth), np.float32)
             for at in range(0, len(truth), STEP):
                 now = slice(at, at + STEP)
                 logit = self.mixed(x[:, now], gate[now])
                 error = (truth[now] - 1 / (1 + np.exp(-logit))) * part[now]
-                through = np.zeros((GATES, len(error)))
-                through[gate[now], np.arange(len(error))] = 1
-                n = through @ part[now] + 50
-                self.weights += RATE * (through @ (x[:, now] * error).T) / n[:, None]
+                n = np.bincount(gate[now], part[now], GATES) + 50
+                moved = [np.bincount(gate[now], x[k, now] * error, GATES) for k in range(INPUTS)]
+                self.weights += RATE * np.stack(moved, 1) / n[:, None]
                 self.passed += (n - 50)[:, None] * np.concatenate([self.weights, np.ones((GATES, 1))], 1)
                 mixed_to[now] = logit
             place, up = self.bucket(mixed_to)
@@ -364,7 +383,7 @@ class Words:
         self.n_texts = len(lists)
         self.flat = flat.filter(real).cast(pa.binary())
         sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-        self.of = np.repeat(np.arange(self.n_texts), sizes)[real.to_numpy(zero_copy_only=False)]
+        self.of = np.repeat(np.arange(self.n_texts, dtype=np.int32), sizes)[real.to_numpy(zero_copy_only=False)]
 
     def sums(self, of_word: np.ndarray) -> np.ndarray:
         """Per text the sum over its words."""
@@ -462,7 +481,7 @@ def _batch(word: pa.Array | pa.ChunkedArray, **others) -> pa.RecordBatch:
     """Words and other columns; a single value stands for all rows."""
     columns = {"word": word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word}
     for k, v in others.items():
-        kind = pa.string() if k == "class" else pa.int64()
+        kind = pa.int32() if k == "class" else pa.int64()
         columns[k] = v if isinstance(v, pa.Array) else pa.repeat(pa.scalar(v, kind), len(word))
     return pa.RecordBatch.from_pydict(columns)
 
@@ -489,7 +508,7 @@ def _lots(batches: Iterator[pa.RecordBatch], read) -> Iterator[dict]:
 
 
 def _counted(rows: DataFrame, told: Broadcast) -> DataFrame:
-    """(word, class, n) for rows (learned, text): word counts of a task, HELD words at a time.
+    """(word, class, n) for rows (learned, text): word counts of a task by number of the class, HELD words at a time.
     Documents that are not learned from name their words with n = 0."""
 
     def read(batch):
@@ -501,12 +520,22 @@ def _counted(rows: DataFrame, told: Broadcast) -> DataFrame:
     def run(batches):
         for held in _lots(batches, read):
             for k, (some, n_texts) in held.items():
-                name, learned = told.value.letters[k // 2].decode(), k % 2
+                name, learned = k // 2, k % 2
                 found = pc.value_counts(some)
                 yield _batch(found.field("values"), **{"class": name, "n": found.field("counts") if learned else 0})
                 yield _batch(pa.array([END], pa.binary()), **{"class": name, "n": n_texts * learned})
 
-    return rows.mapInArrow(run, "word binary, class string, n bigint")
+    return rows.mapInArrow(run, "word binary, class int, n bigint")
+
+
+def _places(known: pa.Array, asked: list[pa.Array]) -> list[np.ndarray]:
+    """For each of some arrays of words their places in ``known``, which has all of them and may repeat some; words are
+    hashed once for all arrays."""
+    codes = pa.concat_arrays([known, *asked]).dictionary_encode().indices.to_numpy()
+    own = codes[:len(known)]
+    place = np.empty(own.max() + 1, np.int32)
+    place[own] = np.arange(len(known))
+    return np.split(place[codes[len(known):]], np.cumsum([len(a) for a in asked])[:-1])
 
 
 def _asked(rows: DataFrame, told: Broadcast) -> DataFrame:
@@ -550,7 +579,7 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-size // BLOCK_BYTES))
     found = classes(rows.filter(~F.col("held_out")))
     told, letters = docs.sparkSession.sparkContext.broadcast(found), [x.decode() for x in found.letters]
-    of = [F.when(F.col("class") == x, F.col("n")) for x in letters]
+    of = [F.when(F.col("class") == k, F.col("n")) for k in range(len(letters))]
     words = written(_counted(rows.select("text", (~F.col("held_out")).alias("learned")), told).groupBy("word").agg(
         F.sum("n").alias("c"), F.array(*map(F.sum, of)).alias("own")))
     total, distinct, n_words = words.agg(
@@ -583,14 +612,25 @@ def score(docs: DataFrame) -> DataFrame:
             known, some = c[at] > 0, rest.filter(own)
             of_class.append((some, (bits[at].astype(float), np.log10(c[at] + 1.0) - scale, known.astype(float)),
                              pc.index(some, pa.scalar(END, some.type)).as_py()))
+        del named, first, rest, own, some
+        parts = [(batch, Words(batch.column("text"))) for batch in texts.to_batches(max_chunksize=2000)]
+        # (class, place of the words among those of the class) per part: a class's words are hashed once for all parts
+        asked: dict[int, list] = defaultdict(list)
+        for part, (_, words) in enumerate(parts):
+            for k, some, own, which in words.by_group(told.value.of(words)):
+                asked[k].append((part, some, own, which.astype(np.int32)))
+        found: list[list] = [[] for _ in parts]
+        for k, of_parts in asked.items():
+            places = _places(of_class[k][0], [own for _, _, own, _ in of_parts])
+            for (part, some, _, which), at in zip(of_parts, places, strict=True):
+                found[part].append((k, some, which, at))
+            of_parts.clear()
         out = []
-        for batch in texts.to_batches(max_chunksize=2000):
-            words = Words(batch.column("text"))
+        for (batch, words), of_part in zip(parts, found, strict=True):
             # of each word: bits, base score, known
             values, ends = np.zeros((3, len(words.flat))), np.zeros((3, words.n_texts))
-            for k, some, asked, which in words.by_group(told.value.of(words)):
-                known_words, costs, end = of_class[k]
-                at = pc.index_in(asked, value_set=known_words).to_numpy()
+            for k, some, which, at in of_part:
+                _, costs, end = of_class[k]
                 for place, cost in enumerate(costs):
                     values[place, which] = cost[at]
                     ends[place, some] = cost[end]
