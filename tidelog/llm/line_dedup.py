@@ -18,6 +18,8 @@ BUCKET_BITS = 22
 FLAG_BITS = 23
 #: Lines of a word's list that all others of the list are compared with first.
 PIVOTS = 64
+#: What stands between words inside a line, as SQL.
+BLANK = "' \\t\\r\\u000b\\u000c'"
 # Two lines match if their common words are at least 4/9 of both lines' words: Jaccard 0.8.
 NUMERATOR, DENOMINATOR = 4, 9
 
@@ -196,8 +198,8 @@ def _decided(docs: DataFrame, kept: DataFrame) -> DataFrame:
     named, (doc_id, own) = plain_names(docs, "doc_id", "text")
     text = F.coalesce(F.col(own).cast("string"), F.lit(""))
     keyed = named.withColumn("d", F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text)))
-    stays = ("transform(array(split(lines, '\\n')), l -> filter(l, (x, i) -> trim(translate(x, '\\t\\r\\u000b\\f',"
-             " '    ')) = '' or array_contains(coalesce(kept, array()), i)))[0]")
+    stays = (f"transform(array(split(lines, '\\n')), l -> filter(l, (x, i) -> trim(BOTH {BLANK} FROM x) = '' "
+             "or array_contains(coalesce(kept, array()), i)))[0]")
     left = keyed.join(kept, "d", "left").withColumn("lines", text).withColumn("lines", F.expr(stays))
     return left.withColumn(own, F.when(F.col(own).isNotNull(), F.array_join("lines", "\n"))).select(
         *named.columns).toDF(*docs.columns)
@@ -225,8 +227,7 @@ def line_report(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """
     kept = removed_lines(docs, pivots)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    worded = F.expr("filter(transform(split(t, '\\n'), (x, i) -> if(trim(translate(x, '\\t\\r\\u000b\\f', '    ')) <> '', i, -1)),"
-                    " i -> i >= 0)")
+    worded = F.expr(f"filter(transform(split(t, '\\n'), (x, i) -> if(trim(BOTH {BLANK} FROM x) <> '', i, -1)), i -> i >= 0)")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t")).select(
         "doc_id", F.coalesce("doc_id", F.xxhash64("t")).alias("own"), F.size(F.split("t", "\n")).alias("n_lines"),
         worded.alias("worded"))
