@@ -40,10 +40,12 @@ def _clean(text: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(d, line_no, line): lines with at least one word, cleaned, one blank between words."""
+    # in a step of its own a text is put into lower case once; inside a generator, once for every mention
+    cleaned = rows.select("d", _clean(F.col("text")).alias("text"))
     line = F.trim("line")
-    single = F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
-    return rows.select("d", F.posexplode(F.split(_clean(F.col("text")), "\n")).alias("line_no", "line")).select(
-        "d", "line_no", single.alias("line")).filter("line <> ''")
+    single = F.when(F.contains(F.col("line"), F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+    return cleaned.select("d", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(line != "").select(
+        "d", "line_no", single.alias("line"))
 
 
 def _by_bucket(counts: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def _variable(counts: DataFrame) -> Iterator[str]:
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """How often the words of each bucket occur, over all lines of all documents."""
-    every = rows.select(F.explode(F.split(F.replace(_clean(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    cleaned = rows.select(F.replace(_clean(F.col("text")), F.lit("\n"), F.lit(" ")).alias("text"))
+    every = cleaned.select(F.explode(F.split("text", " ")).alias("w"))
     return _by_bucket(every.filter("w <> ''").groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")))
 
@@ -91,11 +94,11 @@ def line_sets(rows: DataFrame) -> DataFrame:
     share one of the first n - ceil(0.8 n) + 1 words of each.
     """
     with _variable(word_counts(rows)) as table:
-        place = f"cast({table}[cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) as int)] as bigint)"
+        place = f"cast({table}[cast(shiftrightunsigned(h, {64 - BUCKET_BITS}) as int)] as bigint)"
         hashed = _lines(rows).select(
             "d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
-            F.expr(f"sort_array(array_distinct(transform(split(line, ' '), w -> shiftleft({place}, 43) | "
-                   "shiftrightunsigned(xxhash64(w), 21))))").alias("words"))
+            F.expr(f"sort_array(transform(array_distinct(transform(split(line, ' '), w -> xxhash64(w))), "
+                   f"h -> shiftleft({place}, 43) | shiftrightunsigned(h, 21)))").alias("words"))
         ordered = hashed.select(
             "h1", "h2", "d", "line_no", F.size("words").alias("n"),
             F.expr("aggregate(words, 0L, (b, h) -> b ^ shiftleft(1L, cast(h & 63 as int)))").alias("bits0"),
@@ -147,9 +150,10 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     bits of fixed size pass over most documents and lines that are in no pair."""
     ends = pairs.select("d", "line_no").union(pairs.select("a_d", "a_line_no"))
     own, line = F.xxhash64("d"), F.xxhash64("d", "line_no")
-    needed = _lines(rows.filter(_among(_bits(ends.select(own.alias("at"))), own))).filter(
+    # written, as both joins take it: texts are not read once for each, and a line in many pairs may be split
+    needed = written(_lines(rows.filter(_among(_bits(ends.select(own.alias("at"))), own))).filter(
         _among(_bits(ends.select(line.alias("at"))), line)).select(
-        "d", "line_no", F.array_distinct(F.split("line", " ")).alias("words"))
+        "d", "line_no", F.array_distinct(F.split("line", " ")).alias("words")))
     other = needed.select(F.col("d").alias("a_d"), F.col("line_no").alias("a_line_no"), F.col("words").alias("a_words"))
     common = F.size(F.array_intersect("words", "a_words"))
     return pairs.join(needed, ["d", "line_no"]).join(other, ["a_d", "a_line_no"]).filter(
@@ -227,9 +231,9 @@ def line_report(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """
     kept = removed_lines(docs, pivots)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    worded = F.expr(f"filter(transform(split(t, '\\n'), (x, i) -> if(trim(BOTH {BLANK} FROM x) <> '', i, -1)), i -> i >= 0)")
+    worded = F.expr(f"filter(transform(lines, (x, i) -> if(trim(BOTH {BLANK} FROM x) <> '', i, -1)), i -> i >= 0)")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t")).select(
-        "doc_id", F.coalesce("doc_id", F.xxhash64("t")).alias("own"), F.size(F.split("t", "\n")).alias("n_lines"),
-        worded.alias("worded"))
+        "doc_id", F.coalesce("doc_id", F.xxhash64("t")).alias("own"), F.split("t", "\n").alias("lines")).select(
+        "doc_id", "own", F.size("lines").alias("n_lines"), worded.alias("worded"))
     return own.join(kept, F.col("own") == F.col("d"), "left").select(
         "doc_id", "n_lines", F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
