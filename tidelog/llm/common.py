@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -69,6 +69,22 @@ def plain_names(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*(f"c{k}" for k in range(len(low)))), [f"c{low.index(w)}" for w in wanted]
 
 
+def let_go() -> None:
+    """Give back the memory that arrays have left. Arrow keeps it for the next ones, and an executor's idle
+    workers would keep what their largest step took."""
+    pa.default_memory_pool().release_unused()
+
+
+def letting_go(run: Callable) -> Callable:
+    """``run``, a function of batches for ``mapInArrow``, after which a worker gives memory back."""
+
+    def then_let_go(batches):
+        yield from run(batches)
+        let_go()
+
+    return then_let_go
+
+
 def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 

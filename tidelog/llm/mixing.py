@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.llm.common import arrays, held_out, nonempty, written
+from tidelog.llm.common import arrays, held_out, let_go, letting_go, nonempty, written
 
 #: Hashed-context predictors look back 1 to 4 bytes, as far as the blank before the word; each has
 #: 2^19 slots, whatever the corpus. A fifth one has the whole word so far as its context.
@@ -23,6 +23,8 @@ RATE, PRIOR, STEP = 0.2, 0.25, 8192
 BLOCK_BYTES, TREE_WORDS, TREE_BYTES = 24 << 20, 20_000, 1 << 19
 #: Words (repeats included) that a task holds before it hands their counts on.
 HELD = 3_000_000
+#: Words (repeats included) of a block that are looked up at once among those with a score.
+PLACED = 2_000_000
 #: Words by class whose slots are summed in a task.
 SUMMED = 200_000
 #: What stands for the end of a text: no word can hold it.
@@ -269,7 +271,7 @@ def slot_sums(counts: DataFrame, n_words: int) -> DataFrame:
                                           "ones": sums[order, 1, lot].astype(np.int64)})
 
     few = counts.filter("c > 0").coalesce(max(1, -(-n_words // SUMMED)))
-    return few.mapInArrow(run, "slot int, zeros bigint, ones bigint")
+    return few.mapInArrow(letting_go(run), "slot int, zeros bigint, ones bigint")
 
 
 def context_tables(counts: DataFrame, n_words: int) -> np.ndarray:
@@ -303,7 +305,7 @@ def train(counts: DataFrame, n_words: int) -> Mixer:
         yield arrays(schema, {"place": np.arange(size + len(seen)), "part": np.concatenate([weight, np.ones(len(seen))]),
                               "value": np.concatenate([own.passed[:, :-1].ravel(), seen])})
 
-    sums = counts.filter("c > 0").mapInArrow(run, "place int, part double, value double").groupBy("place").agg(
+    sums = counts.filter("c > 0").mapInArrow(letting_go(run), "place int, part double, value double").groupBy("place").agg(
         F.sum("part").alias("part"), F.sum("value").alias("value")).toArrow()
     value, part = np.zeros(size + mixer.seen.size), np.zeros(size + mixer.seen.size)
     place = sums.column("place").to_numpy()
@@ -325,7 +327,7 @@ def word_scores(counts: DataFrame, mixer: Mixer) -> DataFrame:
             yield arrays(schema, {"word": table.column("word"), "c": table.column("all"),
                                   "bits": shared.value.code_lengths(tree).astype(np.float32)})
 
-    return counts.mapInArrow(run, "word binary, c bigint, bits float")
+    return counts.mapInArrow(letting_go(run), "word binary, c bigint, bits float")
 
 
 # ---- documents --------------------------------------------------------------------------------
@@ -433,15 +435,17 @@ def class_words(rows: DataFrame) -> list[bytes]:
     than that share of all words: more frequent ones are never lost.
     """
 
+    def frequent(some):
+        found = pc.value_counts(some)
+        n = found.field("counts")
+        often = pc.greater_equal(n, len(some) / RARE)
+        return _batch(found.field("values").filter(often), n=n.filter(often))
+
     def run(batches):
         for held in _lots(batches, lambda batch: [(None, Words(batch.column("text")).flat, 0)]):
-            (some, _), = held.values()
-            found = pc.value_counts(some)
-            n = found.field("counts")
-            often = pc.greater_equal(n, len(some) / RARE)
-            yield _batch(found.field("values").filter(often), n=n.filter(often))
+            yield frequent(held.pop(None)[0])
 
-    found = rows.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = rows.select("text").mapInArrow(letting_go(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in found.orderBy(F.desc("n"), "word").limit(CLASS_WORDS).collect()]
 
 
@@ -468,7 +472,7 @@ def classes(rows: DataFrame) -> Classes:
             if len(held):
                 yield arrays(schema, {"use": list(_groups(held, FINE).astype(np.int64))})
 
-        return run
+        return letting_go(run)
 
     if not words:
         return Classes([], [])
@@ -488,7 +492,8 @@ def _batch(word: pa.Array | pa.ChunkedArray, **others) -> pa.RecordBatch:
 
 def _lots(batches: Iterator[pa.RecordBatch], read) -> Iterator[dict]:
     """key -> (words, number of texts), of so many batches that they have about HELD words. ``read`` gives
-    (key, words, number of texts) for a batch."""
+    (key, words, number of texts) for a batch. Who takes a lot takes the words of its keys out of it, so that they are
+    gone before the next lot is read."""
     held: dict[tuple, tuple[list, int]] = {}
     size = 0
 
@@ -501,10 +506,13 @@ def _lots(batches: Iterator[pa.RecordBatch], read) -> Iterator[dict]:
             held[key] = [*some, words], before + n
             size += len(words)
         if size >= HELD:
-            yield given()
-            held, size = {}, 0
+            lot, held, size = given(), {}, 0
+            del words
+            yield lot
+            let_go()
     if held:
-        yield given()
+        lot, held = given(), {}
+        yield lot
 
 
 def _counted(rows: DataFrame, told: Broadcast) -> DataFrame:
@@ -517,15 +525,19 @@ def _counted(rows: DataFrame, told: Broadcast) -> DataFrame:
         for k, texts, some, _ in words.by_group(2 * told.value.of(words) + learned):
             yield k, some, len(texts)
 
+    def counted(k, some, n_texts):
+        name, learned = k // 2, k % 2
+        found = pc.value_counts(some)
+        del some
+        yield _batch(found.field("values"), **{"class": name, "n": found.field("counts") if learned else 0})
+        yield _batch(pa.array([END], pa.binary()), **{"class": name, "n": n_texts * learned})
+
     def run(batches):
         for held in _lots(batches, read):
-            for k, (some, n_texts) in held.items():
-                name, learned = k // 2, k % 2
-                found = pc.value_counts(some)
-                yield _batch(found.field("values"), **{"class": name, "n": found.field("counts") if learned else 0})
-                yield _batch(pa.array([END], pa.binary()), **{"class": name, "n": n_texts * learned})
+            for k in list(held):
+                yield from counted(k, *held.pop(k))
 
-    return rows.mapInArrow(run, "word binary, class int, n bigint")
+    return rows.mapInArrow(letting_go(run), "word binary, class int, n bigint")
 
 
 def _places(known: pa.Array, asked: list[pa.Array]) -> list[np.ndarray]:
@@ -549,15 +561,17 @@ def _asked(rows: DataFrame, told: Broadcast) -> DataFrame:
         for k, _, some, _ in words.by_group(block * size + own):
             yield (int(names[k // size]), k % size), some, 0
 
+    def named(some, letter, block):
+        return _batch(pc.binary_join_element_wise(pa.scalar(letter, pa.binary()), some, pa.scalar(b"", pa.binary())), block=block)
+
     def run(batches):
         for held in _lots(batches, read):
-            for (block, k), (some, _) in held.items():
+            for block, k in list(held):
                 letter = told.value.letters[k]
-                for words in (pc.unique(some), pa.array([END], pa.binary())):
-                    yield _batch(pc.binary_join_element_wise(pa.scalar(letter, pa.binary()), words, pa.scalar(b"", pa.binary())),
-                                 block=block)
+                yield named(pc.unique(held.pop((block, k))[0]), letter, block)
+                yield named(pa.array([END], pa.binary()), letter, block)
 
-    return rows.mapInArrow(run, "word binary, block bigint")
+    return rows.mapInArrow(letting_go(run), "word binary, block bigint")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -600,35 +614,26 @@ def score(docs: DataFrame) -> DataFrame:
                         ("score", pa.float64()), ("bits_per_byte", pa.float64())])
     scale = np.log10(total + distinct + 1)
 
-    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        named = lists.column("word").combine_chunks()
-        first, rest = pc.binary_slice(named, 0, 1), pc.binary_slice(named, 1, 1 << 30)
-        c, bits = (lists.column(n).to_numpy() for n in ("c", "bits"))
-        # per class its words, their costs, their base scores and whether they are known; the end is among them
-        of_class = []
-        for letter in told.value.letters:
-            own = pc.equal(first, pa.scalar(letter, named.type))
-            at = pc.indices_nonzero(own).to_numpy()
-            known, some = c[at] > 0, rest.filter(own)
-            of_class.append((some, (bits[at].astype(float), np.log10(c[at] + 1.0) - scale, known.astype(float)),
-                             pc.index(some, pa.scalar(END, some.type)).as_py()))
-        del named, first, rest, own, some
-        parts = [(batch, Words(batch.column("text"))) for batch in texts.to_batches(max_chunksize=2000)]
+    def of_parts(parts: list[tuple[pa.RecordBatch, Words]], of_class: list[tuple]) -> list[pa.RecordBatch]:
+        """The rows of some batches, which are taken out of the list."""
         # (class, place of the words among those of the class) per part: a class's words are hashed once for all parts
         asked: dict[int, list] = defaultdict(list)
+        sizes = []
         for part, (_, words) in enumerate(parts):
             for k, some, own, which in words.by_group(told.value.of(words)):
                 asked[k].append((part, some, own, which.astype(np.int32)))
+            sizes.append(words.sums(pc.binary_length(words.flat).to_numpy()))
+            words.flat = None  # from here on they are held by class
         found: list[list] = [[] for _ in parts]
-        for k, of_parts in asked.items():
-            places = _places(of_class[k][0], [own for _, _, own, _ in of_parts])
-            for (part, some, _, which), at in zip(of_parts, places, strict=True):
+        for k, of_part in asked.items():
+            places = _places(of_class[k][0], [own for _, _, own, _ in of_part])
+            for (part, some, _, which), at in zip(of_part, places, strict=True):
                 found[part].append((k, some, which, at))
-            of_parts.clear()
+            of_part.clear()
         out = []
-        for (batch, words), of_part in zip(parts, found, strict=True):
+        for (batch, words), size, of_part in zip(parts, sizes, found, strict=True):
             # of each word: bits, base score, known
-            values, ends = np.zeros((3, len(words.flat))), np.zeros((3, words.n_texts))
+            values, ends = np.zeros((3, len(words.of))), np.zeros((3, words.n_texts))
             for k, some, which, at in of_part:
                 _, costs, end = of_class[k]
                 for place, cost in enumerate(costs):
@@ -636,12 +641,40 @@ def score(docs: DataFrame) -> DataFrame:
                     ends[place, some] = cost[end]
             cost, base, known = (words.sums(v) + e for v, e in zip(values, ends, strict=True))
             cost += np.log2(len(told.value.letters))
-            size = words.sums(pc.binary_length(words.flat).to_numpy())
             out.append(arrays(schema, {
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "n_tokens": np.bincount(words.of, minlength=words.n_texts) + 1, "n_known": np.rint(known).astype(np.int64),
                 "train_tokens": np.full(words.n_texts, total), "base_score": base, "score": -cost * np.log10(2),
                 "bits_per_byte": cost / np.maximum(1, size)}))
+        parts.clear()
+        return out
+
+    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        out = scored(texts, lists)
+        let_go()
+        return out
+
+    def scored(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        named = lists.column("word").combine_chunks()
+        first, rest = pc.binary_slice(named, 0, 1), pc.binary_slice(named, 1, 1 << 30)
+        c, bits = (lists.column(n).to_numpy() for n in ("c", "bits"))
+        # per class its words, their costs, their base scores and whether they are known; the end is among them
+        of_class = []
+        for letter in told.value.letters:
+            own = pc.equal(first, pa.scalar(letter, named.type))
+            at = pc.indices_nonzero(own).to_numpy()
+            known, some = c[at] > 0, rest.filter(own)
+            of_class.append((some, (bits[at].astype(float), np.log10(c[at] + 1.0) - scale, known.astype(float)),
+                             pc.index(some, pa.scalar(END, some.type)).as_py()))
+        del named, first, rest, own, some
+        out, parts, size = [], [], 0
+        for batch in texts.to_batches(max_chunksize=2000):
+            parts.append((batch, Words(batch.column("text"))))
+            size += len(parts[-1][1].of)
+            if size >= PLACED:
+                out += of_parts(parts, of_class)
+                size = 0
+        out += of_parts(parts, of_class)
         return pa.Table.from_batches(out, schema)
 
     return dealt.groupBy("block").cogroup(
