@@ -86,8 +86,10 @@ def links(prints: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFra
     sizes = written(entry.groupBy(*key).agg(F.count(F.lit(1)).alias("members")))
     full = sizes.filter(F.col("members") > crowded).select(*key)
     # only a table value that exists can be fetched; each fetched entry says whether it is crowded
-    held = entry.join(sizes, key).select(*key, F.col("fp").alias("found"), (F.col("members") > crowded).alias("full"))
-    fetched = ask.join(held.filter("not full"), key)
+    held = entry.hint("merge").join(sizes, key).select(
+        *key, F.col("fp").alias("found"), (F.col("members") > crowded).alias("full"))
+    # Spark takes exploded rows for as many as before and would send them to the driver and all executors, hence the hints
+    fetched = ask.hint("merge").join(held.filter("not full"), key)
     pairs = fetched.filter((F.col("fp") < F.col("found")) & (
         F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= radius)).select(
         F.col("fp").alias("a"), F.col("found").alias("b"))
@@ -98,11 +100,11 @@ def links(prints: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFra
         points = members.select("fp", (_flips(F.col("fp"), 0, 64) if radius else F.col("fp")).alias("point"))
     lowest = points.groupBy("point").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n"))
     shared = lowest.filter("n > 1").select("point", "low")
-    star = points.join(shared, "point").filter(
+    star = points.hint("merge").join(shared, "point").filter(
         (F.col("fp") != F.col("low")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= radius))
     if radius == 1:
         members_at = members.select(F.col("fp").alias("point"))
-        star = points.join(members_at, "point").filter("fp <> point").select("fp", F.col("point").alias("low"))
+        star = points.hint("merge").join(members_at, "point").filter("fp <> point").select("fp", F.col("point").alias("low"))
     return pairs.union(star.select(F.col("low").alias("a"), F.col("fp").alias("b"))).distinct()
 
 
