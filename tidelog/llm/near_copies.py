@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,24 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique((out ^ out >> np.uint64(32)) * _MULTIPLIER)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the elements of a set that fall on each place, of which there are a power of two and at least as
+    many as elements. The sketches of two sets differ in no more places than the sets do in elements."""
+    bits = max(64, 1 << max(len(hashes) - 1, 0).bit_length())
+    place = ((hashes ^ hashes >> np.uint64(29)) * _MULTIPLIER >> np.uint64(32)).astype(np.int64) & bits - 1
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """In how many places two sketches differ, the longer one folded to the length of the other."""
+    short, long = sorted((one, other), key=len)
+    bits, folded = 8 * len(long), int.from_bytes(long, "little")
+    while bits > 8 * len(short):
+        bits //= 2
+        folded = folded >> bits ^ folded & (1 << bits) - 1
+    return (int.from_bytes(short, "little") ^ folded).bit_count()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written, with the number of each row in ``__row``: its file and its place in it."""
     file = F.col("_metadata.file_name")
@@ -46,7 +66,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def _mapped(texts: DataFrame, fn, **types: str) -> DataFrame:
     """``fn(row numbers, lists of shingle hashes)`` gives columns of these types."""
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
     schema = pa.schema([(k, kinds[v]) for k, v in types.items()])
 
     def run(batches):
@@ -60,18 +80,19 @@ def _mapped(texts: DataFrame, fn, **types: str) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in types.items()))
 
 
-def _digests(texts: DataFrame, size: int) -> DataFrame:
-    """(row, n, d1, d2, fp): how many shingles a text has, two sums over them that tell equal sets, and the
-    text's SimHash fingerprint over its shingles."""
+def _digests(texts: DataFrame, size: int, prints: tuple[int, ...] = ()) -> DataFrame:
+    """(row, n, d1, d2, odd, fp3, ...): how many shingles a text has, two sums over them that tell equal sets, their
+    sketch, and SimHash fingerprints of the text over runs of as many words as ``prints`` says."""
 
     def digest(rows, some):
         sets = [shingles(t, size) for t in some]
         sums = np.array([[s.sum(dtype=np.uint64), ((s ^ s >> np.uint64(31)) * _MULTIPLIER ^ s).sum(dtype=np.uint64)]
                          for s in sets], np.uint64).view(np.int64)
-        prints = np.array([simhash.fingerprint(t, size) for t in some], np.uint64).view(np.int64)
-        return rows, [len(s) for s in sets], sums[:, 0], sums[:, 1], prints
+        of = (np.array([simhash.fingerprint(t, words) for t in some], np.uint64).view(np.int64) for words in prints)
+        return rows, [len(s) for s in sets], sums[:, 0], sums[:, 1], [sketch(s) for s in sets], *of
 
-    return _mapped(texts, digest, row="bigint", n="int", d1="bigint", d2="bigint", fp="bigint")
+    return _mapped(texts, digest, row="bigint", n="int", d1="bigint", d2="bigint", odd="binary",
+                   **{f"fp{words}": "bigint" for words in prints})
 
 
 def _fingerprint_links(prints: DataFrame, firsts: DataFrame, radius: int) -> DataFrame:
@@ -143,8 +164,8 @@ def _may_match(n, place, a_n, a_place, least):
 
 
 def _candidates(lists: DataFrame, pivots: int) -> DataFrame:
-    """(a, b, h, n, place): pairs of each list's first ``pivots`` texts with all others of it; with a null ``a``,
-    the texts of the list behind those."""
+    """(a, b, h, n, place): pairs of each list's first ``pivots`` texts with all others of it, the rest null; with a
+    null ``a``, the texts of the list behind those."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def run(batches):
@@ -163,8 +184,8 @@ def _candidates(lists: DataFrame, pivots: int) -> DataFrame:
                 good = _may_match(n[at].astype(np.int64), place[at], n[to].astype(np.int64), place[to], np.minimum)
                 at, to = at[good], to[good]
                 if len(at):
-                    none = np.zeros(len(at), np.int32)
-                    yield arrays(schema, {"a": row[to], "b": row[at], "h": h[at], "n": none, "place": none})
+                    none = {f.name: pa.nulls(len(at), f.type) for f in schema}
+                    yield arrays(schema, none | {"a": row[to], "b": row[at]})
             late = np.flatnonzero(rank >= pivots)
             late = late[late >= done]
             if len(late):
@@ -177,6 +198,26 @@ def _candidates(lists: DataFrame, pivots: int) -> DataFrame:
         run, "a bigint, b bigint, h bigint, n int, place int")
 
 
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The (a, b) that sketches do not tell apart: texts alike differ in at most a ninth of both texts' shingles.
+
+    A sketch has a 64th to a 32nd of the bytes of a text's hashes, and unlike texts differ in about half of its places.
+    So of the many pairs that share a shingle, whose number grows faster than that of the texts, only near copies and
+    few others meet with all their shingles.
+    """
+    of = [sketches.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in nonempty(batches):
+            ends = (batch.column(c).to_pylist() for c in ("n", "odd_a", "odd_b"))
+            good = [apart(x, y) * DENOMINATOR <= n * (DENOMINATOR - 2 * NUMERATOR) for n, x, y in zip(*ends, strict=True)]
+            yield arrays(schema, {c: batch.column(c).to_numpy()[good] for c in "ab"})
+
+    return pairs.join(of[0], "a").join(of[1], "b").select(
+        "a", "b", (F.col("n_a").cast("bigint") + F.col("n_b")).alias("n"), "odd_a", "odd_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The (a, b) whose similarity is high enough, by all their shingles."""
     ends = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
@@ -191,16 +232,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         common * DENOMINATOR >= (F.size("of_a") + F.size("of_b")) * NUMERATOR).select("a", "b")
 
 
-def links(texts: DataFrame, total: int, size: int, pivots: int = PIVOTS) -> DataFrame:
+def _connecting(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs that are near copies and connect all that are: each text's first pair is verified, then what is left
+    between texts that these do not connect."""
+    pairs = written(pairs)
+    if pairs.isEmpty():
+        return pairs
+    lead = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = written(_verified(lead, texts, size))
+    roots = written(components(found, "a", "b"))
+    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    left = written(pairs.join(lead, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").filter(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    return found if left.isEmpty() else found.union(_verified(left, texts, size))
+
+
+def links(texts: DataFrame, total: int, size: int, pivots: int = PIVOTS, sketches: DataFrame | None = None) -> DataFrame:
     """(a, b): links that connect all of these texts, (row, text) of different shingle sets, that are near copies.
 
     Near copies share one of the rarest fifth of their shingles. Each shingle's list is first compared
     with its first texts, which connects the many variants of one text. In what is behind them, only
     texts that are not yet connected are compared: those outside a list's largest component with all of it.
+    ``sketches`` (row, n, odd) of ``_digests`` are made if they are not given.
     """
+    if sketches is None:
+        sketches = written(_digests(texts, size).select("row", "n", "odd"))
     first = written(_candidates(_lists(texts, _levels(texts, total, size), size), pivots))
-    pairs = written(first.filter("a is not null").select("a", "b").distinct())
-    found = written(_verified(pairs, texts, size))
+    found = written(_connecting(_close(first.filter("a is not null").select("a", "b").distinct(), sketches), texts, size))
     late = first.filter("a is null").select("h", F.col("b").alias("row"), "n", "place")
     if late.isEmpty():
         return found
@@ -213,10 +271,10 @@ def links(texts: DataFrame, total: int, size: int, pivots: int = PIVOTS) -> Data
     open_ = rooted.join(main, "h")
     other = open_.select("h", *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "place", "root")])
     once: Column = (F.col("row") < F.col("a_row")) | (F.col("a_root") == F.col("main"))
-    second = written(open_.filter("root <> main").join(other, "h").filter(
+    second = open_.filter("root <> main").join(other, "h").filter(
         (F.col("root") != F.col("a_root")) & once & _may_match(*map(F.col, ("n", "place", "a_n", "a_place")), F.least)).select(
-        F.least("row", "a_row").alias("a"), F.greatest("row", "a_row").alias("b")).distinct())
-    return found.union(_verified(second, texts, size))
+        F.least("row", "a_row").alias("a"), F.greatest("row", "a_row").alias("b")).distinct()
+    return found.union(_connecting(_close(second, sketches), texts, size))
 
 
 def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int | None = None) -> DataFrame:
@@ -232,14 +290,15 @@ def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int |
     rows, order = numbered(named), ("nameless", "doc_id", "row")
     texts = rows.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     ids = rows.select("__row", F.col(doc_id).cast("bigint").alias("doc_id"))
-    prints = written(_digests(texts, size).join(ids, F.col("row") == F.col("__row")).select(
-        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2", "fp"))
+    sizes = () if radius is None else (size,)
+    prints = written(_digests(texts, size, sizes).join(ids, F.col("row") == F.col("__row")).select(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2", "odd", *(f"fp{words}" for words in sizes)))
     firsts = written(prints.groupBy("n", "d1", "d2").agg(
         F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("rows")))
     copies = written(prints.join(firsts.filter("rows > 1"), ["n", "d1", "d2"]).filter("row <> first.row").select("row"))
-    linked = None if radius is None else _fingerprint_links(prints, firsts, radius)
-    found = links(texts.join(copies, "row", "left_anti"), firsts.count(), size, pivots)
-    roots = written(components(found if linked is None else found.union(linked), "a", "b"))
+    linked = [_fingerprint_links(prints.withColumnRenamed(f"fp{words}", "fp"), firsts, radius) for words in sizes]
+    found = links(texts.join(copies, "row", "left_anti"), firsts.count(), size, pivots, prints.select("row", "n", "odd"))
+    roots = written(components(reduce(DataFrame.union, linked, found), "a", "b"))
     members = written(prints.join(roots, F.col("row") == F.col("node")).select(F.struct(*order).alias("own"), "root"))
     lowest = members.groupBy("root").agg(F.min("own").alias("lowest"))
     later = members.join(lowest, "root").filter("own <> lowest").select("own.row")
