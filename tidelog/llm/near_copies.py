@@ -16,9 +16,9 @@ from tidelog.session import durable
 
 #: Texts are near copies if the Jaccard similarity of their shingles is at least 0.8: 9 x common >= 4 x (a + b).
 NUMERATOR, DENOMINATOR = 4, 9
-#: Shingles are ordered by how often their bucket is met in about SAMPLE_DOCS documents. The order
-#: decides what is compared first, not what is found.
-BUCKET_BITS, SAMPLE_DOCS = 22, 50_000
+#: Shingles are ordered by how often their bucket is met in all documents. The order decides what is compared
+#: first, not what is found.
+BUCKET_BITS = 22
 #: Documents at the head of a shingle's list that all others of the list are compared with first.
 PIVOTS = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -109,8 +109,9 @@ def _fingerprint_links(prints: DataFrame, firsts: DataFrame, radius: int) -> Dat
 
 
 def _levels(texts: DataFrame, total: int, size: int) -> np.ndarray:
-    """How common the shingles of each bucket are, in 256 steps."""
-    chosen = (F.xxhash64("row", F.lit("levels")).cast("double") / 2.0**64 + 0.5) * max(total, 1) < SAMPLE_DOCS
+    """How common the shingles of each bucket are in all of the ``total`` texts, in 256 steps."""
+    if not total:
+        return np.zeros(1 << BUCKET_BITS, np.uint8)
     part_bits = min(12, BUCKET_BITS)
     schema = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("n", pa.binary())])
 
@@ -132,7 +133,7 @@ def _levels(texts: DataFrame, total: int, size: int) -> np.ndarray:
         levels = np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8)
         return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    found = texts.filter(chosen).mapInArrow(run, "part int, places binary, n binary").groupBy("part").applyInArrow(
+    found = texts.mapInArrow(run, "part int, places binary, n binary").groupBy("part").applyInArrow(
         put_together, "part int, levels binary")
     out = np.zeros((1 << BUCKET_BITS - part_bits, 1 << part_bits), np.uint8)
     for row in found.toArrow().to_pylist():
@@ -277,11 +278,13 @@ def links(texts: DataFrame, total: int, size: int, pivots: int = PIVOTS, sketche
     return found.union(_connecting(_close(second, sketches), texts, size))
 
 
-def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int | None = None,
+             prints_of: tuple[int, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
 
     Texts are linked if the Jaccard similarity of their word shingles, by hashes of 64 bits, is at least 0.8;
-    with a ``radius`` also those whose SimHash fingerprints over these shingles differ in at most so many bits.
+    with a ``radius`` also those whose SimHash fingerprints differ in at most so many bits. Fingerprints are over runs
+    of ``size`` words, or over runs of each of the numbers of words in ``prints_of``, any of which links.
     Texts without words are alike. Each group keeps the row with the smallest id, rows without one last and
     of one id the first as written. Rows are decided one by one, so copies that share an id or have none go
     too, and a row stays if only another text with its id goes. Other columns may have any names.
@@ -290,7 +293,7 @@ def keep_one(docs: DataFrame, size: int = 5, pivots: int = PIVOTS, radius: int |
     rows, order = numbered(named), ("nameless", "doc_id", "row")
     texts = rows.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text"))
     ids = rows.select("__row", F.col(doc_id).cast("bigint").alias("doc_id"))
-    sizes = () if radius is None else (size,)
+    sizes = () if radius is None else prints_of or (size,)
     prints = written(_digests(texts, size, sizes).join(ids, F.col("row") == F.col("__row")).select(
         F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n", "d1", "d2", "odd", *(f"fp{words}" for words in sizes)))
     firsts = written(prints.groupBy("n", "d1", "d2").agg(
